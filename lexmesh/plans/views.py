@@ -110,7 +110,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 # Parts seen as concepts.
 CONCEPTS_SQL = (
     "select p_partkey as concepto_id, p_name || ' ' || cast(p_partkey as string) as nombre, "
-    "p_brand as alias, case when p_type = 'PROMO' then 'regulatorio_otros' "
+    "'COD-' || cast(p_partkey as string) as alias, case when p_type = 'PROMO' then 'regulatorio_otros' "
     "when p_type = 'LARGE' then null else 'electricidad' end as dominio, "
     "case when p_size < 10 then '' when p_size < 25 then p_name || ' ' || cast(p_partkey as string) || ' de ' || lower(p_type) "
     "when p_size < 35 then 'elemento a que se refiere la marca ' || p_brand || ' en el registro público anual' "
@@ -124,7 +124,7 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("concepto_id"),
         F.expr(name).alias("nombre"),
-        F.col("p_brand").alias("alias"),
+        F.expr("'COD-' || cast(p_partkey as string)").alias("alias"),
         F.expr("case when p_type = 'PROMO' then 'regulatorio_otros' when p_type = 'LARGE' then null "
                "else 'electricidad' end").alias("dominio"),
         F.expr(f"case when p_size < 10 then '' when p_size < 25 then {name} || ' de ' || lower(p_type) "
@@ -132,3 +132,44 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
                f"else {name} || ' con capacidad nominal declarada ante el registro, según norma ' || lower(p_brand) end"
                ).alias("definicion"),
     )
+
+
+# Questions about parts, phrased by part size.
+QUESTION = (
+    "case p_size % 5 when 0 then 'qué es ' || p_name || ' ' || cast(p_partkey as string) || '?' "
+    "when 1 then 'Definición de COD-' || cast(p_partkey as string) "
+    "when 2 then 'relación de ' || p_name || ' ' || cast(p_partkey as string) || ' con cod-' || cast(p_partkey + 1 as string) "
+    "when 3 then '¿cómo se aplica el Cód-' || cast(p_partkey as string) || ' a la tarifa?' "
+    "else 'Cómo se define ' || upper(p_name) || '  ' || cast(p_partkey as string) || ' ?' end"
+)
+QUESTIONS_SQL = f"select p_partkey as query_id, {QUESTION} as text from part"
+
+
+def part_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("query_id"), F.expr(QUESTION).alias("text"))
+
+
+# Defining and citing edges seen as candidates for the source of a definition.
+_RANK = "case when upper(titulo) like 'LEY%' or {ley} then 3 when contains(titulo, 'RESOLUCION') then 1 when contains(titulo, 'DECRETO') then 2 else 2 end"
+_CANDIDATE = """select e.concepto_id, c.nombre, e.id_norma, e.numero as articulo, {rank} as rank, n.fecha, e.articulo_id as pos,
+ case when e.kind = 'define_termino' then 'curated' else 'retrieved' end as origin,
+ case when e.confianza > 0.75 then c.nombre else c.definicion end as definicion
+ from {edges} e join {concepts} c on c.concepto_id = e.concepto_id join {norms} n on n.id_norma = e.id_norma
+ where e.kind in ('define_termino', 'cita')"""
+CANDIDATES_SQL = _CANDIDATE.format(
+    rank=_RANK.format(ley="regexp_matches(titulo, '\\bLEY +N')"), edges=f"({EDGES_SQL})", concepts=f"({CONCEPTS_SQL})",
+    norms=f"({norms_sql('id_norma', 'titulo', 'fecha', 'tipo')})")
+
+
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    from lexmesh.functions.classify import legal_rank
+
+    rank, _ = legal_rank(F.col("tipo"), F.col("titulo"))
+    n = norms(spark, folder, "id_norma", "titulo", "fecha", "tipo").select("id_norma", "fecha", rank.alias("rank"))
+    e = edges(spark, folder).where(F.col("kind").isin("define_termino", "cita"))
+    c = concepts(spark, folder).select("concepto_id", "nombre", "definicion")
+    return e.join(c, "concepto_id").join(n, "id_norma").select(
+        "concepto_id", "nombre", "id_norma", F.col("numero").alias("articulo"), "rank", "fecha",
+        F.col("articulo_id").alias("pos"),
+        F.when(F.col("kind") == "define_termino", "curated").otherwise("retrieved").alias("origin"),
+        F.when(F.col("confianza") > 0.75, F.col("nombre")).otherwise(F.col("definicion")).alias("definicion"))
