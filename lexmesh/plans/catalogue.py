@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexmesh.plans import register
 
-FAMILIES = ["text_plans", "rank_plans", "graph_plans", "concept_plans"]
+FAMILIES = ["text_plans", "rank_plans", "graph_plans", "concept_plans", "extract_plans"]
 
 
 def _load() -> None:

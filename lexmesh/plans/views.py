@@ -57,7 +57,7 @@ TEXT = (
     f"case when o_orderstatus = 'P' then 'Artículo 2 bis.- Derógase la ley N° ' || {_REF} || ', en adelante, la Comisión, salvo el peaje.' || {_NL} else '' end || "
     f"case when o_orderstatus = 'F' then 'Artículo 1°.- Repetido, sin efecto alguno para la norma.' || {_NL} else '' end || "
     f"'TÍTULO II: Disposiciones finales' || {_NL} || "
-    f"'Artículo 3°.- El artículo siguiente rige a la Comisión Nacional de Energía (CNE) y su tarifa de distribución, potencia y energía.' || {_NL} || "
+    f"'Artículo 3°.- El artículo siguiente rige: Comisión Nacional de Energía (CNE) y su tarifa de distribución, potencia y energía.' || {_NL} || "
     f"'Decreto ' || {_REF} || ', ENERGÍA' || {_NL} || 'Art. primero N° 1' || {_NL} || 'D.O. ' || lpad({_DAY}, 2, '0') || '.' || lpad({_S(_MONTH)}, 2, '0') || '.' || {_YEAR} || {_NL} || "
     f"'Artículo primero transitorio.- Vigencia desde su publicación.'"
 )
