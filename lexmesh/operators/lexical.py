@@ -8,9 +8,10 @@ word never becomes a shuffle key of the scoring step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.functions.text import lexical_tokens
 from lexmesh.operators.fusion import top_k
 from lexmesh.session import written
 
@@ -18,17 +19,30 @@ from lexmesh.session import written
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def tokenised(documents: DataFrame) -> DataFrame:
+    """(doc_id, tokens) from (doc_id, text)."""
+    return documents.select("doc_id", lexical_tokens(F.col("text")).alias("tokens"))
+
+
+def by_document(documents: DataFrame) -> DataFrame:
+    """(doc_id, tokens) spread by document: the raw text moves once, tokens are cut after the move."""
+    return tokenised(documents.select("doc_id", "text").repartition("doc_id"))
+
+
+TOTAL = ""  # row of the statistics that holds the number of tokens; no token is empty
+
+
 def term_statistics(documents: DataFrame) -> DataFrame:
-    """Document frequency and Okapi idf of every term; input (doc_id, tokens).
+    """(term, n): document frequency of every term, and the token total under the empty term.
 
-    A negative idf (a term in more than half of the documents) is replaced by a
-    quarter of the mean idf of the vocabulary.
+    One pass over the texts; each document sends its distinct terms once and
+    partial sums merge before the shuffle.
     """
-    size = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
-    terms = documents.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counted.select("term", "df", (F.log(size - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    return raw
+    tokens = F.col("tokens")
+    entries = F.concat(
+        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n"))),
+        F.array(F.struct(F.lit(TOTAL).alias("term"), F.size(tokens).cast("bigint").alias("n"))))
+    return tokenised(documents).select(F.explode(entries).alias("e")).groupBy("e.term").agg(F.sum("e.n").alias("n"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -40,30 +54,37 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def weighted_terms(documents: DataFrame, questions: DataFrame) -> DataFrame:
-    """Question terms with their weight, written once so that its size is known to the planner."""
+    """(query_id, term, weight, average_length), written once so that its size is known to the planner.
+
+    A negative idf (a term in more than half of the documents) is replaced by a
+    quarter of the mean idf of the vocabulary.
+    """
     stats = written(term_statistics(documents))
-    mean = stats.agg(F.avg("raw")).scalar()
+    size = documents.agg(F.count(F.lit(1))).scalar()
+    total = stats.where(F.col("term") == TOTAL).agg(F.max("n")).scalar()
+    terms = stats.where(F.col("term") != TOTAL).select(
+        "term", (F.log(size - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
+    mean = terms.agg(F.avg("raw")).scalar()
     idf = F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))
-    weighted = question_terms(questions).join(stats, "term").select(
-        "query_id", "term", (F.col("qtf") * idf).alias("weight"))
+    weighted = question_terms(questions).join(terms, "term").select(
+        "query_id", "term", (F.col("qtf") * idf).alias("weight"), (total / size).alias("average_length"))
     return written(weighted)
 
 
 def bm25_scores(documents: DataFrame, questions: DataFrame, match_all: bool = False) -> DataFrame:
     """(query_id, doc_id, score) for every document that holds a question term.
 
-    ``match_all`` keeps only documents that hold every distinct term of the question.
+    documents (doc_id, text), questions (query_id, tokens). ``match_all`` keeps
+    only documents that hold every distinct term of the question.
     """
-    average = documents.agg(F.avg(F.size("tokens"))).scalar()
     weights = weighted_terms(documents, questions)
-    spread = documents.select("doc_id", "tokens").repartition("doc_id")
     found = (
-        spread.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        by_document(documents).select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(weights.select("term").distinct(), "term", "left_semi")
         .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("average_length")))
     scored = (
         found.join(weights, "term")
         .select("query_id", "doc_id", part.alias("part"))
@@ -120,17 +141,6 @@ def sparse_scores(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.length("token") / 10), 6).alias("score"))
 
 
-def term_positions(documents: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, doc_id, term, positions) of question terms inside documents."""
-    terms = question_terms(questions)
-    spread = documents.select("doc_id", "tokens").repartition("doc_id")
-    placed = spread.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-    return (
-        placed.join(terms.select("query_id", "term"), "term")
-        .groupBy("doc_id", "query_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
-
-
 def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Cover-density ranking of documents that hold all terms of a question.
 
@@ -144,9 +154,8 @@ def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFra
     """
     terms = question_terms(questions)
     needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    spread = documents.select("doc_id", "tokens").repartition("doc_id")
     placed = (
-        spread.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+        by_document(documents).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
         .join(terms.select("query_id", "term"), "term")
         .join(needed, "query_id")
     )

@@ -45,7 +45,7 @@ def train(examples: DataFrame) -> PipelineModel:
     rows = examples.select(_grams("text").alias("grams"), (F.col("branch") == "complejo").cast("double").alias("label"))
     stages = [
         CountVectorizer(inputCol="grams", outputCol="tf"), IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features", p=2.0), LinearSVC(maxIter=50, regParam=0.01, tol=1e-4)]
+        Normalizer(inputCol="tfidf", outputCol="features", p=2.0), LinearSVC(maxIter=10, regParam=0.01, tol=1e-3)]
     return Pipeline(stages=stages).fit(rows)
 
 

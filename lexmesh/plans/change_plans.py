@@ -8,19 +8,19 @@ from lexmesh.functions import text as T
 from lexmesh.operators import increments as I
 from lexmesh.plans.graph_plans import LINK_SQL, links
 from lexmesh.plans.register import query
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts as rows
 from lexmesh.streaming import query_log
 
 _SNAP_SQL = "snap as (select doc_id as id, md5(text) as h from documents where source <> 'src3'), st as (select doc_id as id, case when lang = 'es' then null when lang = 'de' then 'viejo' else md5(text) end as h, case when n_chars < 1000 then 'pending' else 'downloaded' end as estado from documents where source <> 'src7')"
 
 
 def snapshot(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text", "source").where(F.col("source") != "src3")
+    docs = rows(spark, d, "documents", "doc_id", "text", "source").where(F.col("source") != "src3")
     return docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("hash"))
 
 
 def state(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text", "source", "lang", "n_chars").where(F.col("source") != "src7")
+    docs = rows(spark, d, "documents", "doc_id", "text", "source", "lang", "n_chars").where(F.col("source") != "src7")
     return docs.select(
         F.col("doc_id").alias("id"), F.when(F.col("lang") == "es", F.lit(None).cast("string")).when(F.col("lang") == "de", "viejo").otherwise(F.md5("text")).alias("hash"),
         F.when(F.col("n_chars") < 1000, "pending").otherwise("downloaded").alias("estado"))
@@ -82,7 +82,7 @@ def _(spark, d):
     degree = links(spark, d).groupBy(F.col("src").alias("id_norma")).agg(F.count(F.lit(1)).alias("n"))
     wanted = table(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").cast("string").alias("id_norma")).join(degree, "id_norma", "left").select(
         "id_norma", F.coalesce("n", F.lit(0)).alias("enlaces"))
-    done = table(spark, d, "documents", "doc_id", "n_chars").where(F.col("n_chars") > 500).select(F.col("doc_id").cast("string").alias("id_norma"))
+    done = rows(spark, d, "documents", "doc_id", "n_chars").where(F.col("n_chars") > 500).select(F.col("doc_id").cast("string").alias("id_norma"))
     return I.pending(wanted, done, "id_norma", [F.desc("enlaces"), F.col("id_norma").cast("bigint").asc()], 200)
 
 

@@ -10,7 +10,7 @@ from lexmesh.plans.concept_plans import ASKED_SQL, _DEFINED_SQL, index
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import content_sql, normalize_sql
 from lexmesh.plans.views import CONCEPTS_SQL, concepts, norms, norms_sql
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts as rows
 
 
 @query("log_by_branch", """select event_type as rama, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95,
@@ -137,7 +137,7 @@ def _(spark, d):
 
 def answer_scores(spark, d):
     """Long documents as answers: recall of the passage vocabulary of their own first sentence, citation by label."""
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = rows(spark, d, "documents", "doc_id", "text")
     labels = table(spark, d, "labels", "doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id").select(
         "doc_id", F.round(E.definition_recall(F.substring_index("text", ".", 2), F.substring_index("text", ".", 3)), 6).alias("recall"),

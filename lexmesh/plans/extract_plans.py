@@ -11,7 +11,7 @@ from lexmesh.plans.rank_plans import documents  # noqa: F401  (shared derivation
 from lexmesh.plans.text_plans import THEMES_SQL, _FOLD, _LIST, _SECTOR_SQL, _TAGS_SQL, normalize_sql
 from lexmesh.plans.views import norms, norms_sql
 from lexmesh.sources import pages as P
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts as rows
 
 _TEXTS = norms_sql("id_norma", text=True)
 
@@ -85,14 +85,14 @@ _WORDS = "list_filter(regexp_split_to_array(text, '[\\s ]+'), lambda w: w <> '')
  from (select doc_id, text, {_WORDS} as w, len({_WORDS}) as n from documents)))""")
 def _(spark, d):
     """E5"""
-    c = chunks.windows(table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    c = chunks.windows(rows(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     return c.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("text").alias("huella"), F.col("token_count").cast("bigint").alias("token_count"))
 
 
 @query("sentence_chunks")
 def _(spark, d):
     """E6"""
-    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    docs = rows(spark, d, "documents", "doc_id", "text", "source")
     lead = F.concat(F.lit("[Artículo "), F.col("doc_id").cast("string"), F.lit(" de "), F.col("source"), F.lit("] "))
     c = chunks.sentences(docs, ["doc_id"], preamble=lead)
     return c.select("doc_id", "chunk_index", F.md5("text").alias("huella"), "token_count")
@@ -167,14 +167,14 @@ CONCEPT_REFS_SQL = (f"hay as (select doc_id, {normalize_sql('text')} as form, '
 @query("concept_references", f"with {CONCEPT_REFS_SQL} select * from crefs")
 def _(spark, d):
     """Passage openings found as whole terms in whole documents"""
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = rows(spark, d, "documents", "doc_id", "text")
     return terms.concepts_in(docs, passage_terms(spark, d), ["doc_id"]).select("doc_id", "concepto_id", "by_alias")
 
 
 @query("missing_concept_edges", f"with {CONCEPT_REFS_SQL} select doc_id, concepto_id from crefs where by_alias and doc_id not in (select doc_id from labels where quality = 1)")
 def _(spark, d):
     """Edges only the alias reaches, for documents not yet covered"""
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = rows(spark, d, "documents", "doc_id", "text")
     covered = table(spark, d, "labels", "doc_id", "quality").where(F.col("quality") == 1).select("doc_id")
     refs = terms.concepts_in(docs, passage_terms(spark, d), ["doc_id"]).where("by_alias")
     return refs.join(covered, "doc_id", "left_anti").select("doc_id", "concepto_id")
@@ -219,7 +219,7 @@ def _(spark, d):
 def _(spark, d):
     """A18 on documents"""
     known = table(spark, d, "part", F.col("p_name").alias("nombre"))
-    return X.frequent_acronyms(table(spark, d, "documents", "doc_id", "text"), "doc_id", known, "text").select("sigla", "n", "dispersion")
+    return X.frequent_acronyms(rows(spark, d, "documents", "doc_id", "text"), "doc_id", known, "text").select("sigla", "n", "dispersion")
 
 
 @query("frequent_phrases")
@@ -259,7 +259,7 @@ _VW = lambda e: f"list_distinct(list_filter({_VOCAB.format(e=e)}, lambda w: rege
 @query("corpus_vocabulary", f"select word, count(*) as docs from (select unnest({_VW('text')}) as word from documents) group by word")
 def _(spark, d):
     """A20, T5"""
-    words = table(spark, d, "documents", "text").select(F.explode(T.vocabulary_words(F.col("text"))).alias("word"))
+    words = rows(spark, d, "documents", "text").select(F.explode(T.vocabulary_words(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -269,7 +269,7 @@ def _(spark, d):
  select query_id, coalesce(oov > 0.5, false) as off_topic from q left join s using (query_id)""")
 def _(spark, d):
     """Q28"""
-    v = X.vocabulary(table(spark, d, "documents", "text"), table(spark, d, "part", F.col("p_name").alias("nombre")))
+    v = X.vocabulary(rows(spark, d, "documents", "text"), table(spark, d, "part", F.col("p_name").alias("nombre")))
     q = table(spark, d, "conversations").where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return X.off_topic(q, v)
 
@@ -283,7 +283,7 @@ _TF_W = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), la
  select doc_id, term, round(x.w / l, 6) as score, row_number() over (partition by doc_id order by round(x.w / l, 6) desc, term) as rank from x join n using (doc_id) qualify rank <= 30""")
 def _(spark, d):
     """E28"""
-    t = X.tfidf_terms(table(spark, d, "documents", "doc_id", "text"), stopwords=list(set(L.CONTENT_STOPWORDS)))
+    t = X.tfidf_terms(rows(spark, d, "documents", "doc_id", "text"), stopwords=list(set(L.CONTENT_STOPWORDS)))
     return t.select("doc_id", "term", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -356,7 +356,7 @@ _VALID_SQL = """select {key}, case when largo < 500 or e404 or n_palabras < 100
 @query("validate_documents", _VALID_SQL.format(key="doc_id", t="text", src="documents"))
 def _(spark, d):
     """S15"""
-    return P.validate(table(spark, d, "documents", "doc_id", "text"), ["doc_id"], "text")
+    return P.validate(rows(spark, d, "documents", "doc_id", "text"), ["doc_id"], "text")
 
 
 @query("validate_norm_texts", _VALID_SQL.format(key="id_norma", t="texto", src=f"({_TEXTS})"))
@@ -371,7 +371,7 @@ _A = '<a[^>]*href="[^"]*/([^"/]+)[^"]*"[^>]*>([^<]*)</a>'
        f"""select page_id, id, first(texto order by i) as texto from (select page_id, id, trim(texto) as texto, i from (select page_id, unnest(regexp_extract_all(html, '(?i){_A}', 1)) as id, unnest(regexp_extract_all(html, '(?i){_A}', 2)) as texto, generate_subscripts(regexp_extract_all(html, '(?i){_A}', 1), 1) as i from pages)) where length(texto) >= 5 group by page_id, id, substr(texto, 1, 50)""")
 def _(spark, d):
     """S16"""
-    return P.links(table(spark, d, "pages", "page_id", "html"), "page_id", _LINK)
+    return P.links(rows(spark, d, "pages", "page_id", "html"), "page_id", _LINK)
 
 
 _OPEN = '<a[^>]*href="[^"]*/([^"/]+)[^"]*"[^>]*>'
@@ -382,7 +382,7 @@ _OPEN = '<a[^>]*href="[^"]*/([^"/]+)[^"]*"[^>]*>'
  from (select page_id as id, html, lower(html) as low, upper(regexp_extract(regexp_extract(html, '<title>([^<]+)</title>', 1), '(?i)(LEY|DECRETO|DFL|DL|RESOLUCION|DTO)\\s*N?[°º]?\\s*([0-9]+)', 1)) as kind, regexp_extract(regexp_extract(html, '<title>([^<]+)</title>', 1), '(?i)(LEY|DECRETO|DFL|DL|RESOLUCION|DTO)\\s*N?[°º]?\\s*([0-9]+)', 2) as num from pages)""")
 def _(spark, d):
     """S19, S14"""
-    return P.record(table(spark, d, "pages", "page_id", "html"), "page_id", _LINK)
+    return P.record(rows(spark, d, "pages", "page_id", "html"), "page_id", _LINK)
 
 
 _LINKTEXT = ("case when o_orderpriority = '5-LOW' then 'ver norma ' || cast(o_custkey as string) else case o_orderstatus when 'F' then 'Decreto ' when 'O' then 'Ley ' else 'Resolución ' end || cast(o_custkey as string) || case when o_orderpriority = '1-URGENT' then ' EXENTO, ENERGÍA' else '' end "

@@ -9,11 +9,11 @@ from lexmesh.operators import dense, fusion, lexical
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import THEMES_SQL, keywords_sql, tokens_sql
 from lexmesh.plans.views import norms, norms_sql
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts
 
 
 def documents(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.lexical_tokens(F.col("text")).alias("tokens"))
+    return texts(spark, d, "documents", "doc_id", "text")
 
 
 def passages(spark, d):
@@ -143,7 +143,7 @@ _DENSE_SQL = (f"dvec as (select doc_id, {_LETTERS_SQL('text')} as v from documen
 
 
 def dense_documents(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), dense.letter_vector(F.col("text")).alias("vec"))
+    return texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), dense.letter_vector(F.col("text")).alias("vec"))
 
 
 def dense_passages(spark, d):

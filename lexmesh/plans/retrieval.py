@@ -35,7 +35,7 @@ def compliance(scored: DataFrame, boosts: DataFrame, pool: int, threshold: float
 def ranked_variants(documents: DataFrame, vectors: DataFrame, variants: DataFrame, weighted: bool) -> DataFrame:
     """Lexical and dense pools fused per question variant.
 
-    documents (doc_id, tokens), vectors (id, vec), variants (query_id, tokens, vec, text).
+    documents (doc_id, text), vectors (id, vec), variants (query_id, tokens, vec, text).
     """
     left = lexical.bm25_topk(documents, variants.select("query_id", "tokens"), L.LEXICAL_POOL)
     right = dense.dense_topk(vectors, variants.select("query_id", "vec"), L.DENSE_POOL).withColumnRenamed("id", "doc_id")

@@ -11,7 +11,7 @@ from lexmesh.plans.extract_plans import CONCEPT_REFS_SQL, _BENCH_TERMS, passage_
 from lexmesh.plans.rank_plans import (HYBRID_SQL, _COS, _CUT, _LETTERS_SQL, dense_documents, documents, rrf_sql)
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import normalize_sql, tokens_sql
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts as rows
 
 
 def questions(spark, d):
@@ -21,16 +21,16 @@ def questions(spark, d):
 
 
 def fragments(spark, d):
-    return table(spark, d, "documents", "doc_id").select("doc_id", F.col("doc_id").alias("articulo_id"))
+    return rows(spark, d, "documents", "doc_id").select("doc_id", F.col("doc_id").alias("articulo_id"))
 
 
 def articles(spark, d):
-    return table(spark, d, "documents", "doc_id", "source").select(F.col("doc_id").alias("articulo_id"), F.col("source").alias("id_norma"))
+    return rows(spark, d, "documents", "doc_id", "source").select(F.col("doc_id").alias("articulo_id"), F.col("source").alias("id_norma"))
 
 
 def document_links(spark, d):
     """Document -> concept links: a name in the text defines, an alias cites."""
-    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    docs = rows(spark, d, "documents", "doc_id", "text", "lang")
     refs = terms.concepts_in(docs, passage_terms(spark, d), ["doc_id", "lang"])
     return refs.select(
         F.col("doc_id").alias("articulo_id"), "concepto_id", F.when(F.col("by_alias"), "cita").otherwise("define_termino").alias("kind"),
@@ -86,8 +86,8 @@ def variants(spark, d):
         F.struct(F.lit(0).alias("variant"), F.col("text").alias("form")),
         F.struct(F.lit(1).alias("variant"), F.split_part("text", F.lit("."), F.lit(1)).alias("form")),
         F.struct(F.lit(2).alias("variant"), F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("form")))
-    rows = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.explode(forms).alias("f")).select("query_id", "f.*")
-    return rows.select("query_id", "variant", T.lexical_tokens(F.col("form")).alias("tokens"), dense.letter_vector(F.col("form")).alias("vec"), F.col("form").alias("text"))
+    listed = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.explode(forms).alias("f")).select("query_id", "f.*")
+    return listed.select("query_id", "variant", T.lexical_tokens(F.col("form")).alias("tokens"), dense.letter_vector(F.col("form")).alias("vec"), F.col("form").alias("text"))
 
 
 @query("complex_retrieval", f"with {_COMPLEX_SQL}, reranked as (select query_id, doc_id, cast(1.0 as double) / rank as score from fused where rank <= 15), {_FINISH_SQL.replace('{k}', '10')}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmesh.functions import classify, dates, lexicon as L, text as T
 from lexmesh.plans.register import query
 from lexmesh.plans.views import concepts, norms, norms_sql, CONCEPTS_SQL
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts as rows
 
 _LIST = lambda words: "[" + ",".join("'" + w + "'" for w in words) + "]"
 _FOLD = f"translate({{}}, '{L.ACCENTED}', '{L.UNACCENTED}')"
@@ -41,7 +41,7 @@ def keywords_sql(expr: str) -> str:
 @query("normalize_for_match", f"select doc_id, md5({normalize_sql('text')}) as form from documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """T1, T2"""
-    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_for_match(F.col("text"))).alias("form"))
+    return rows(spark, d, "documents").select("doc_id", F.md5(T.normalize_for_match(F.col("text"))).alias("form"))
 
 
 @query("normalize_norm_text",
@@ -59,7 +59,7 @@ def _(spark, d):
 
     Counting per (term, document) first keeps the distinct count mergeable on the map side.
     """
-    words = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(T.lexical_tokens(F.col("text"))).alias("term"))
+    words = rows(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(T.lexical_tokens(F.col("text"))).alias("term"))
     per_doc = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
 
@@ -69,7 +69,7 @@ def _(spark, d):
 def _(spark, d):
     """T4"""
     words = T.content_tokens(F.col("text"))
-    return table(spark, d, "documents").select(
+    return rows(spark, d, "documents").select(
         "doc_id", F.size(words).cast("bigint").alias("n_content"), F.array_min(words).alias("first_word"))
 
 
@@ -78,7 +78,7 @@ def _(spark, d):
        f"lambda w: not list_contains({_LIST(L.DEFINITION_STOPWORDS)}, w))) as n_words from documents")
 def _(spark, d):
     """T6"""
-    return table(spark, d, "documents").select(
+    return rows(spark, d, "documents").select(
         "doc_id", F.size(T.definition_words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
@@ -143,7 +143,7 @@ def _(spark, d):
 def _(spark, d):
     """T12, T15, T16, F5"""
     c = F.col("text")
-    return table(spark, d, "documents", "doc_id", "text").select(
+    return rows(spark, d, "documents", "doc_id", "text").select(
         "doc_id", F.md5(T.clean_article_text(c)).alias("limpio"), T.content_hash(c).alias("huella"),
         T.token_estimate(c).alias("tokens"), T.word_count(c).cast("bigint").alias("palabras"))
 
@@ -152,7 +152,7 @@ def _(spark, d):
        "select doc_id, n_chars from documents where len(string_split(text, ' ')) > 400")
 def _(spark, d):
     """F5"""
-    docs = table(spark, d, "documents", "doc_id", "text", "n_chars")
+    docs = rows(spark, d, "documents", "doc_id", "text", "n_chars")
     return docs.where(T.word_count(F.col("text")) > 400).select("doc_id", "n_chars")
 
 
@@ -161,7 +161,7 @@ def _(spark, d):
        "lambda c: regexp_full_match(c, '\\p{Lu}')), '') as siglas from documents")
 def _(spark, d):
     """T13"""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.first_letters(F.col("text")).alias("siglas"))
+    return rows(spark, d, "documents", "doc_id", "text").select("doc_id", T.first_letters(F.col("text")).alias("siglas"))
 
 
 @query("organism_codes",
@@ -208,7 +208,7 @@ def _(spark, d):
        "from (select page_id, lower(html) as h from pages)")
 def _(spark, d):
     """T19 on raw pages"""
-    return table(spark, d, "pages", "page_id", "html").select("page_id", F.array_join(T.themes_short(F.col("html")), ",").alias("temas"))
+    return rows(spark, d, "pages", "page_id", "html").select("page_id", F.array_join(T.themes_short(F.col("html")), ",").alias("temas"))
 
 
 _RAW_DATE = ("case o_orderpriority when '1-URGENT' then cast(cast(o_orderdate as date) as string) "

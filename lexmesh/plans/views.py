@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.sources.tables import table
+from lexmesh.sources.tables import table, texts
 
 _NL = "chr(10)"
 _S = lambda c: f"cast({c} as string)"
@@ -81,7 +81,8 @@ def norms(spark: SparkSession, folder: str, *columns: str, text: bool = False) -
     picked = [F.expr(NORM_COLUMNS[c]).alias(c) for c in (columns or NORM_COLUMNS)]
     if text:
         picked.append(F.expr(TEXT).alias("texto"))
-    return table(spark, folder, "orders").select(*picked)
+    orders = table(spark, folder, "orders")
+    return (texts(spark, folder, "orders") if text else orders).select(*picked)
 
 
 # Line items seen as article -> concept edges; the line number decides the kind.

@@ -8,3 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when the scan gives fewer tasks than there are cores.
+
+    A small file is one task however costly each of its rows is to parse. Large
+    inputs already come in many tasks and are left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores else df
+
+
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are costly to parse."""
+    return spread(table(spark, folder, name, *columns))
