@@ -24,7 +24,7 @@ def windows(texts: DataFrame, keep: list[str], text: str = "text", target: int =
     starts = F.when(F.size("words") <= target, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint")))
     cut = texts.select(*keep, F.col(text).alias("whole"), words.alias("words")).select(
-        *keep, "whole", "words", F.posexplode(starts).alias("chunk_index", "start"))
+        *keep, "whole", "words", F.posexplode_outer(starts).alias("chunk_index", "start"))
     piece = F.slice("words", F.col("start").cast("int") + 1, F.lit(target))
     return cut.select(
         *keep, "chunk_index",
@@ -80,7 +80,7 @@ def sentences(texts: DataFrame, keep: list[str], text: str = "text", target: int
 
     packed = F.aggregate("units", empty, step, finish)
     chunks = F.when(F.col("total") <= target, F.array(F.col("whole"))).otherwise(packed)
-    rows = prepared.select(*keep, "preamble", F.posexplode(chunks).alias("chunk_index", "t"))
+    rows = prepared.select(*keep, "preamble", F.posexplode_outer(chunks).alias("chunk_index", "t")).where(F.col("t").isNotNull())
     return rows.select(
         *keep, "chunk_index", F.concat("preamble", strip(F.col("t"))).alias("text"), _count(F.col("t")).alias("token_count"))
 
@@ -113,4 +113,4 @@ def glossary_chunks(sections: DataFrame, keep: list[str], number: str = "numero"
     rest = F.transform("items", lambda x: F.struct(
         F.concat(x["term"], F.lit(": "), x["definition"]).alias("raw"),
         F.concat(lead, F.lit(" Definición en el glosario: «"), x["term"], F.lit("». "), x["term"], F.lit(": "), x["definition"]).alias("contextual")))
-    return kept.select(*keep, F.posexplode(F.concat(first, rest)).alias("chunk_index", "c")).select(*keep, "chunk_index", "c.*")
+    return kept.select(*keep, F.posexplode_outer(F.concat(first, rest)).alias("chunk_index", "c")).where(F.col("c").isNotNull()).select(*keep, "chunk_index", "c.*")

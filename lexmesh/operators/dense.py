@@ -34,7 +34,7 @@ def letter_vector(text: Column) -> Column:
     """Deterministic default embedder: how often each letter occurs. A model may replace it."""
     low = F.lower(text)
     total = F.length(low)
-    return F.array(*[(total - F.length(F.translate(low, c, ""))).cast("double") for c in LETTERS])
+    return F.array(*[(total - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
 
 
 def _unit(rows: pd.Series) -> np.ndarray:

@@ -42,7 +42,7 @@ def term_statistics(documents: DataFrame) -> DataFrame:
     entries = F.concat(
         F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n"))),
         F.array(F.struct(F.lit(TOTAL).alias("term"), F.size(tokens).cast("bigint").alias("n"))))
-    return tokenised(documents).select(F.explode(entries).alias("e")).groupBy("e.term").agg(F.sum("e.n").alias("n"))
+    return tokenised(documents).select(F.explode_outer(entries).alias("e")).groupBy("e.term").agg(F.sum("e.n").alias("n"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def bm25_scores(documents: DataFrame, questions: DataFrame, match_all: bool = Fa
     """
     weights = weighted_terms(documents, questions)
     found = (
-        by_document(documents).select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        by_document(documents).select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
         .join(weights.select("term").distinct(), "term", "left_semi")
         .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -124,9 +124,9 @@ def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text
     probed = documents.withColumn("vocabulary", vocabulary)
     hits = probed.select(
         "doc_id",
-        F.explode(F.filter("vocabulary", lambda t: F.contains(F.col(text), t))).alias("token"),
+        F.explode_outer(F.filter("vocabulary", lambda t: F.contains(F.col(text), t))).alias("token"),
         F.col(text).alias("body"),
-    ).select("doc_id", "token", count_substring(F.col("body"), F.col("token")).alias("tf"))
+    ).where(F.col("token").isNotNull()).select("doc_id", "token", count_substring(F.col("body"), F.col("token")).alias("tf"))
     return hits.join(pairs, "token")
 
 
@@ -155,7 +155,7 @@ def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFra
     terms = question_terms(questions)
     needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     placed = (
-        by_document(documents).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+        by_document(documents).select("doc_id", F.posexplode_outer("tokens").alias("pos", "term"))
         .join(terms.select("query_id", "term"), "term")
         .join(needed, "query_id")
     )

@@ -62,7 +62,7 @@ def title_relations(titles: DataFrame, keep: list[str], title: str = "titulo") -
         return F.transform(matches, describe)
 
     listed = F.flatten(F.array(*[found(i, kind, p) for i, (kind, p) in enumerate(TITLE_PATTERNS)]))
-    rows = titles.select(*keep, F.posexplode(listed).alias("pos", "r")).select(*keep, "pos", "r.*")
+    rows = titles.select(*keep, F.posexplode_outer(listed).alias("pos", "r")).where(F.col("r").isNotNull()).select(*keep, "pos", "r.*")
     first = rows.groupBy(*keep, "relacion", "tipo_destino", "numero_destino").agg(
         F.min_by(F.struct("anio_destino", "descripcion"), "pos").alias("d"))
     return first.select(*keep, "relacion", "tipo_destino", "numero_destino", "d.anio_destino", "d.descripcion")

@@ -68,7 +68,7 @@ def articles(norms: DataFrame, keep: list[str], text: str = "texto") -> DataFram
         ).alias("numero"),
         strip(p).alias("texto")))
     first = F.filter("partes", lambda a, i: F.array_position(F.transform("partes", lambda x: x["numero"]), a["numero"]) == i + 1)
-    return norms.withColumn("partes", found).select(*keep, F.posexplode(first).alias("orden", "a")).select(
+    return norms.withColumn("partes", found).select(*keep, F.posexplode_outer(first).alias("orden", "a")).where(F.col("a").isNotNull()).select(
         *keep, "orden", "a.numero", "a.texto")
 
 
@@ -83,7 +83,7 @@ def short_articles(norms: DataFrame, keep: list[str], text: str = "texto", short
         F.trim(F.regexp_extract(p, r"(?iu)(\d+(?:\s*bis|\s*ter|\s*quáter)?)", 1)).alias("numero"),
         clean_article_text(F.when(i == last, cut(p)).otherwise(p)).alias("texto")))
     long = F.filter(listed, lambda a: F.length(a["texto"]) >= shortest)
-    return norms.where(F.length(body) >= shortest).select(*keep, F.posexplode(long).alias("orden", "a")).select(
+    return norms.where(F.length(body) >= shortest).select(*keep, F.posexplode_outer(long).alias("orden", "a")).where(F.col("a").isNotNull()).select(
         *keep, "orden", "a.numero", "a.texto")
 
 
@@ -122,7 +122,7 @@ def structure(norms: DataFrame, keep: list[str], text: str = "texto") -> DataFra
     last_title = lambda before: F.element_at(
         F.concat(F.array(F.lit(None).cast("string")), F.flatten(F.transform(before, titles))), -1)
     walked = norms.withColumn("trozos", parts).select(
-        *keep, "trozos", F.posexplode("trozos").alias("i", "p")).where(F.col("i") > 0)
+        *keep, "trozos", F.posexplode_outer("trozos").alias("i", "p")).where(F.col("i") > 0)
     head = rf"{LINES}^{STRUCTURE_HEADING}"
     number = F.lower(F.regexp_extract("p", r"(?iu)Art[íi]culo\s+(\d+|\p{L}+)", 1))
     body = strip(F.regexp_replace("p", rf"(?iu)^\s*Art[íi]culo\s+(?:\d+|\p{{L}}+)[°ºª]?\s*[:.\-]?\s*", ""))
@@ -175,7 +175,7 @@ def siblings(sections: DataFrame, key: str = "id_norma") -> DataFrame:
     asks = F.array_compact(F.array(
         F.when(before, F.struct((F.col("orden") - 1).alias("orden_destino"), F.lit("precedente").alias("via"))),
         F.when(after, F.struct((F.col("orden") + 1).alias("orden_destino"), F.lit("siguiente").alias("via")))))
-    wanted = sections.select(key, F.col("numero").alias("origen"), F.explode(asks).alias("w")).select(
+    wanted = sections.select(key, F.col("numero").alias("origen"), F.explode_outer(asks).alias("w")).where(F.col("w").isNotNull()).select(
         key, "origen", "w.orden_destino", "w.via")
     targets = sections.select(key, F.col("orden").alias("orden_destino"), F.col("numero").alias("destino"))
     return wanted.join(targets, [key, "orden_destino"]).select(key, "origen", "destino", "via")

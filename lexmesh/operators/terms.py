@@ -35,7 +35,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame
         F.size("words") >= n,
         F.transform(F.sequence(F.lit(1), F.size("words") - n + 1),
                     lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    spread = cut.select(*keep, "haystack", F.explode(F.array_distinct(grams)).alias("gram"))
+    spread = cut.select(*keep, "haystack", F.explode_outer(F.array_distinct(grams)).alias("gram")).where(F.col("gram").isNotNull())
     return spread.join(table, "gram").where(F.contains("haystack", F.col("form"))).drop("haystack", "gram", "n")
 
 

@@ -64,7 +64,7 @@ def _(spark, d):
  from (select id_norma, unnest(regexp_extract_all(texto, '(?i){S.REFERENCE}', 1)) as k, unnest(regexp_extract_all(texto, '(?i){S.REFERENCE}', 2)) as num from ({_TEXTS})))""")
 def _(spark, d):
     """Distinct norms cited in a text"""
-    r = texts(spark, d).select("id_norma", F.explode(S.cited_norms(F.col("texto"))).alias("r"))
+    r = texts(spark, d).select("id_norma", F.explode_outer(S.cited_norms(F.col("texto"))).alias("r")).where(F.col("r").isNotNull())
     return r.select("id_norma", F.concat_ws("_", "r.tipo", "r.numero").alias("cita")).distinct()
 
 
@@ -259,7 +259,7 @@ _VW = lambda e: f"list_distinct(list_filter({_VOCAB.format(e=e)}, lambda w: rege
 @query("corpus_vocabulary", f"select word, count(*) as docs from (select unnest({_VW('text')}) as word from documents) group by word")
 def _(spark, d):
     """A20, T5"""
-    words = rows(spark, d, "documents", "text").select(F.explode(T.vocabulary_words(F.col("text"))).alias("word"))
+    words = rows(spark, d, "documents", "text").select(F.explode_outer(T.vocabulary_words(F.col("text"))).alias("word")).where(F.col("word").isNotNull())
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -302,7 +302,7 @@ def answers(spark, d):
 
 
 def cites(spark, d):
-    return answers(spark, d).select("query_id", F.explode(C.citations(F.col("answer"))).alias("c")).select("query_id", "c.norma", "c.articulo")
+    return answers(spark, d).select("query_id", F.explode_outer(C.citations(F.col("answer"))).alias("c")).where(F.col("c").isNotNull()).select("query_id", "c.norma", "c.articulo")
 
 
 @query("citations", f"with {_CITES_SQL} select query_id, norma, articulo, count(*) as n from cites group by all")

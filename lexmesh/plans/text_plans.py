@@ -59,7 +59,7 @@ def _(spark, d):
 
     Counting per (term, document) first keeps the distinct count mergeable on the map side.
     """
-    words = rows(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(T.lexical_tokens(F.col("text"))).alias("term"))
+    words = rows(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode_outer(T.lexical_tokens(F.col("text"))).alias("term")).where(F.col("term").isNotNull())
     per_doc = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
 

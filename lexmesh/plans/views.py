@@ -82,7 +82,7 @@ def norms(spark: SparkSession, folder: str, *columns: str, text: bool = False) -
     if text:
         picked.append(F.expr(TEXT).alias("texto"))
     orders = table(spark, folder, "orders")
-    return (texts(spark, folder, "orders") if text else orders).select(*picked)
+    return (texts(spark, folder, "orders") if text or "titulo" in columns else orders).select(*picked)
 
 
 # Line items seen as article -> concept edges; the line number decides the kind.

@@ -39,7 +39,7 @@ def anchors(html: Column, target: str) -> Column:
 
 def links(pages: DataFrame, key: str, target: str, html: str = "html", shortest: int = 5) -> DataFrame:
     """Distinct links by id and first fifty characters; very short texts are navigation."""
-    rows = pages.select(key, F.posexplode(anchors(F.col(html), target)).alias("pos", "a")).select(
+    rows = pages.select(key, F.posexplode_outer(anchors(F.col(html), target)).alias("pos", "a")).where(F.col("a").isNotNull()).select(
         key, "pos", "a.id", strip(F.col("a.texto")).alias("texto")).where(F.length("texto") >= shortest)
     first = rows.groupBy(key, "id", F.substring("texto", 1, 50).alias("corte")).agg(F.min_by("texto", "pos").alias("texto"))
     return first.select(key, "id", "texto")
