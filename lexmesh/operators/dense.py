@@ -80,10 +80,10 @@ def dense_topk(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     splits = max(1, math.ceil(corpus.count() / CORPUS_SPLIT))
     left = corpus.select(
         "id", "vec", F.pmod(F.xxhash64("id"), F.lit(splits)).alias("split"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     right = questions.select(
         "query_id", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).cast("bigint").alias("split"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(splits - 1).cast("bigint"))).alias("split"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

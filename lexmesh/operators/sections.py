@@ -31,7 +31,7 @@ STRUCTURE_HEADING = (
     r"(?:^|\n)\s*Art[íi]culo\s+(?:\d+|primero|segundo|tercero|cuarto|quinto|sexto|séptimo|octavo|noveno|décimo|único)"
     r"[°ºª]?\s*[:.\-]?\s*"
 )
-TITLE_HEADING = r"(?:^|\n)\s*T[ÍI]TULO\s+([IVX\d]+)\s*[:.\-]?\s*([A-ZÁÉÍÓÚÑ\s,]+?)(?=\n|Artículo)"
+TITLE_HEADING = r"(?:^|\n)\s*T[ÍI]TULO\s+([IVX\d]+)\s*[:.\-]?\s*([A-ZÁÉÍÓÚÑ\s,]+?)(?=\n|Artículo|\z)"
 AMENDMENT = (
     r"(Decreto|Ley|DFL|DL|Resolución)\s+(\d+)(?:\s+EXENTO)?,?\s*([A-ZÁÉÍÓÚÑ]+(?:\s+[A-ZÁÉÍÓÚÑ]+)*)\s*\n"
     r"(?:Art\.?\s*([^\n]+)\s*\n)?D\.O\.\s*(\d{2}\.\d{2}\.\d{4})"
@@ -63,7 +63,7 @@ def articles(norms: DataFrame, keep: list[str], text: str = "texto") -> DataFram
     """(keep..., orden, numero, texto): the first occurrence of a number wins, order counts from zero."""
     found = F.transform(spans(F.coalesce(F.col(text), F.lit("")), HEADING), lambda p: F.struct(
         article_number(
-            F.regexp_extract(p, rf"(?iu){SPACE}*(?:art[íi]culos?|art\.){SPACE}+({NUMBER})", 1),
+            F.regexp_extract(p, rf"(?iu)^{SPACE}*(?:art[íi]culos?|art\.){SPACE}+({NUMBER})(?:\s+transitorio)?\s*[.\-:]", 1),
             p.rlike(rf"(?iu)^{SPACE}*(?:art[íi]culos?|art\.){SPACE}+{NUMBER}\s+transitorio\s*[.\-:]"),
         ).alias("numero"),
         strip(p).alias("texto")))

@@ -23,7 +23,7 @@ def texts(spark, d):
 _RE2 = lambda p: p.replace("\\z", "\\z")
 _SPLIT = lambda expr, heading, flags="(?im)": f"string_split(regexp_replace({expr}, '{flags}({heading})', chr(1) || '\\1', 'g'), chr(1))[2:]"
 _STRIP = lambda e: f"regexp_replace({e}, '^[\\s ]+|[\\s ]+$', '', 'g')"
-_HEAD_ONE = f"(?i)^[\\s ]*(?:art[íi]culos?|art\\.)[\\s ]+({S.NUMBER})"
+_HEAD_ONE = f"(?i)^[\\s ]*(?:art[íi]culos?|art\\.)[\\s ]+({S.NUMBER})(?:\\s+transitorio)?\\s*[.\\-:]"
 ARTICLES_SQL = (f"arts as (select id_norma, numero, texto, row_number() over (partition by id_norma order by i) - 1 as orden from (select * from (select id_norma, i, {_STRIP('p')} as texto, "
                 f"regexp_replace(trim(regexp_extract(p, '{_HEAD_ONE}', 1)), ' +', ' ', 'g') || case when regexp_matches(p, '(?i)^[\\s ]*(?:art[íi]culos?|art\\.)[\\s ]+{S.NUMBER}\\s+transitorio') then ' transitorio' else '' end as numero "
                 f"from (select id_norma, unnest({_SPLIT('texto', S.HEADING)}) as p, generate_subscripts({_SPLIT('texto', S.HEADING)}, 1) as i from ({_TEXTS}))) qualify row_number() over (partition by id_norma, numero order by i) = 1))")

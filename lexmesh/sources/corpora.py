@@ -68,7 +68,7 @@ def as_norms(raw: DataFrame) -> DataFrame:
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(id_norma, texto) of ``*.txt`` files, the id being the file stem."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("id_norma"), F.col("value").alias("texto"))
 
 
