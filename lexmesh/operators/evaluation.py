@@ -85,6 +85,8 @@ def budget(docs: DataFrame, limit: int = L.PROMPT_BUDGET) -> DataFrame:
     Lengths are never negative, so stopping at the first overflow is the same
     as keeping every row whose running total fits.
     """
+    # Every piece has at least its 12 fixed characters, so later ranks cannot fit: this bounds the window.
+    docs = docs.where(F.col("rank") <= limit // 12 + 1)
     order = Window.partitionBy("query_id").orderBy("rank")
     piece = F.length(F.concat(F.lit("[Art. "), F.col("numero"), F.lit(" de "), F.col("id_norma"), F.lit("]\n"), F.col("texto")))
     cost = piece + F.when(F.row_number().over(order) > 1, L.PROMPT_SEPARATOR).otherwise(0)

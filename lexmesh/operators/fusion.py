@@ -66,8 +66,15 @@ def min_max(candidates: DataFrame, score: str) -> DataFrame:
 
 def linear_fusion(pairs: DataFrame, alpha: float = 0.3) -> DataFrame:
     """alpha * keyword + (1 - alpha) * dense after min-max on (query_id, id, kw, emb)."""
-    scaled = min_max(min_max(pairs, "kw"), "emb")
-    return scaled.withColumn("score", F.round(alpha * F.col("kw") + (1 - alpha) * F.col("emb"), 6))
+    bounds = pairs.groupBy("query_id").agg(
+        F.min("kw").alias("kw_lo"), F.max("kw").alias("kw_hi"), F.min("emb").alias("emb_lo"), F.max("emb").alias("emb_hi"))
+
+    def scaled(name: str) -> Column:
+        span = F.col(f"{name}_hi") - F.col(f"{name}_lo")
+        return F.when(span == 0, 0.0).otherwise((F.col(name) - F.col(f"{name}_lo")) / span)
+
+    score = F.round(alpha * scaled("kw") + (1 - alpha) * scaled("emb"), 6)
+    return pairs.join(bounds, "query_id").withColumn("score", score).drop("kw_lo", "kw_hi", "emb_lo", "emb_hi")
 
 
 def identity_rerank(ranking: DataFrame, k: int) -> DataFrame:

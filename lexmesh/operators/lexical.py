@@ -17,6 +17,7 @@ from lexmesh.session import written
 
 # Parameters of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+TOKEN_BLOCK = 10_000  # question tokens one array may carry
 
 
 def tokenised(documents: DataFrame) -> DataFrame:
@@ -115,13 +116,21 @@ def count_substring(text: Column, token: Column) -> Column:
 def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, token, doc_id, tf) where a question token occurs inside the text.
 
-    ``questions`` holds (query_id, tokens), one row per question. The distinct
-    tokens travel as one array (a scalar subquery), every text filters that
-    array for itself, and only the hits are joined back to their questions.
+    ``questions`` holds (query_id, tokens), one row per question. Distinct tokens
+    travel as arrays of bounded size, every text filters an array for itself,
+    and only the hits are joined back to their questions. A vocabulary beyond
+    one array is cut into blocks, and every text meets every block.
     """
     pairs = questions.select("query_id", F.explode("tokens").alias("token"))
-    vocabulary = pairs.agg(F.collect_set("token")).scalar()
-    probed = documents.withColumn("vocabulary", vocabulary)
+    distinct = pairs.select("token").distinct()
+    blocks = -(-distinct.count() // TOKEN_BLOCK)
+    if blocks <= 1:
+        probed = documents.withColumn("vocabulary", distinct.agg(F.collect_set("token")).scalar())
+    else:
+        block = F.pmod(F.xxhash64("token"), F.lit(2 * blocks)).alias("block")  # twice as many keep each below the bound
+        lists = distinct.groupBy(block).agg(F.collect_set("token").alias("vocabulary"))
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(2 * blocks - 1).cast("bigint"))
+        probed = documents.withColumn("block", F.explode(numbers)).join(lists, "block")
     hits = probed.select(
         "doc_id",
         F.explode_outer(F.filter("vocabulary", lambda t: F.contains(F.col(text), t))).alias("token"),

@@ -34,9 +34,9 @@ YEAR_REACH, ARTICLE_REACH = 50, 100
 def title_relations(titles: DataFrame, keep: list[str], title: str = "titulo") -> DataFrame:
     """One row per relation a title announces.
 
-    Each pattern yields its matches as an array of structs inside the row, so
-    the whole extraction is one pass without a join; (type, number, relation)
-    repeats inside a title are kept once, first pattern first.
+    Each pattern yields its matches as an array of structs inside the row, and
+    (type, number, relation) repeats are dropped there too, first pattern first:
+    one pass, no shuffle.
     """
     upper = F.upper(F.col(title))
 
@@ -62,10 +62,10 @@ def title_relations(titles: DataFrame, keep: list[str], title: str = "titulo") -
         return F.transform(matches, describe)
 
     listed = F.flatten(F.array(*[found(i, kind, p) for i, (kind, p) in enumerate(TITLE_PATTERNS)]))
-    rows = titles.select(*keep, F.posexplode_outer(listed).alias("pos", "r")).where(F.col("r").isNotNull()).select(*keep, "pos", "r.*")
-    first = rows.groupBy(*keep, "relacion", "tipo_destino", "numero_destino").agg(
-        F.min_by(F.struct("anio_destino", "descripcion"), "pos").alias("d"))
-    return first.select(*keep, "relacion", "tipo_destino", "numero_destino", "d.anio_destino", "d.descripcion")
+    key = lambda r: F.concat_ws("|", r["relacion"], r["tipo_destino"], r["numero_destino"])
+    first = F.filter("rels", lambda r, i: F.array_position(F.transform("rels", key), key(r)) == i + 1)
+    rows = titles.select(*keep, listed.alias("rels")).select(*keep, F.explode_outer(first).alias("r")).where(F.col("r").isNotNull())
+    return rows.select(*keep, "r.relacion", "r.tipo_destino", "r.numero_destino", "r.anio_destino", "r.descripcion")
 
 
 def catalog_by_number(norms: DataFrame) -> DataFrame:

@@ -282,3 +282,60 @@ def _(spark, d):
     pairs = pool.join(dv, "doc_id").join(qv, "query_id")
     scored = pairs.select("query_id", "doc_id", "kw", F.round(dense.cosine(F.col("vec"), F.col("qvec")), 6).alias("emb"))
     return _out(fusion.top_k(fusion.linear_fusion(scored, 0.3), 10, "doc_id"))
+
+
+# Questions whose wording sends them down different routes.
+_ROUTED_SQL = ("(select query_id, case when query_id % 10 = 1 then pregunta || ' decreto 5' when query_id % 10 = 2 then 'potencia del coordinador y reglamento ley' || substr(pregunta, 1, 12) "
+               f"else 'zzz ' || substr(pregunta, 1, 4) end as pregunta from {_QUESTIONS_SQL})")
+
+
+def routed_questions(spark, d):
+    q, n = F.col("pregunta"), F.col("query_id") % 10
+    text = (F.when(n == 1, F.concat(q, F.lit(" decreto 5")))
+            .when(n == 2, F.concat(F.lit("potencia del coordinador y reglamento ley"), F.substring(q, 1, 12)))
+            .otherwise(F.concat(F.lit("zzz "), F.substring(q, 1, 4))))
+    return norm_questions(spark, d).select("query_id", text.alias("pregunta"))
+
+
+def title_vectors(spark, d):
+    return titles(spark, d).select("doc_id", dense.letter_vector(F.col("titulo")).alias("vec"))
+
+
+def _routed_keywords(spark, d):
+    asked = routed_questions(spark, d).select("query_id", T.keywords(F.col("pregunta")).alias("tokens"))
+    both = titles(spark, d)
+    part = lambda c, w: lexical.substring_hits(both.select("doc_id", F.col(c).alias("text")), asked).select("query_id", "doc_id", F.lit(w).alias("part"))
+    total = part("titulo", 1.0).unionByName(part("temas", 0.5)).groupBy("query_id", "doc_id").agg(F.sum("part").alias("total"))
+    return total.join(asked.select("query_id", F.size("tokens").alias("n")), "query_id").select(
+        "query_id", "doc_id", F.round(F.col("total") / F.col("n"), 6).alias("score"))
+
+
+_RK_SQL = (f"rq as (select query_id, pregunta, {keywords_sql('pregunta')} as kw, {_LETTERS_SQL('pregunta')} as qv from {_ROUTED_SQL}), tt as (select doc_id, titulo, temas, {_LETTERS_SQL('titulo')} as tv from {_TITLES_SQL}), "
+           f"rk as (select query_id, doc_id, round(list_sum(list_transform(kw, lambda w: (case when contains(titulo, w) then 1.0 else 0.0 end) + (case when contains(temas, w) then 0.5 else 0.0 end))) / len(kw), 6) as kwscore, {_COS.format(a='tv', b='qv')} as cosine from rq, tt)")
+
+
+@query("sequential_search",
+       f"with {_RK_SQL}, cand as (select query_id, count(*) filter (where kwscore > 0.1) as n from rk group by query_id) select query_id, doc_id, cosine as score, row_number() over (partition by query_id order by cosine desc, doc_id) as rank from rk join cand using (query_id) where n = 0 or kwscore > 0.1 qualify rank <= 10")
+def _(spark, d):
+    """Q10"""
+    from lexmesh.plans.retrieval import sequential
+    q = routed_questions(spark, d).select("query_id", dense.letter_vector(F.col("pregunta")).alias("qvec"))
+    return _out(sequential(_routed_keywords(spark, d), title_vectors(spark, d), q, 10))
+
+
+_STRAT = " + ".join(f"(case when contains(pregunta, '{t}') then 1 else 0 end)" for t in classify.L.TECHNICAL_TERMS)
+
+
+@query("search_by_strategy",
+       f"""with {_RK_SQL}, rt as (select query_id, case when regexp_matches(pregunta, '(decreto|ley|resolución|d\\.)[ ]*[0-9]+') then 'keywords' when ({_STRAT}) <= 2 then 'embeddings' else 'hybrid' end as route from rq),
+ hy as (select r.*, max(kwscore) over w - min(kwscore) over w as ks, min(kwscore) over w as kl, max(cosine) over w - min(cosine) over w as es, min(cosine) over w as el from rk r join rt using (query_id) where route = 'hybrid' and kwscore > 0 window w as (partition by query_id)),
+ sc as (select query_id, doc_id, route, case when route = 'keywords' then kwscore else cosine end as score from rk join rt using (query_id) where (route = 'keywords' and kwscore > 0) or route = 'embeddings'
+  union all select query_id, doc_id, 'hybrid', round(0.3 * (case when ks = 0 then 0 else (kwscore - kl) / ks end) + 0.7 * (case when es = 0 then 0 else (cosine - el) / es end), 6) from hy)
+ select query_id, doc_id, score, route, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc qualify rank <= 10""")
+def _(spark, d):
+    """Q12, Q34"""
+    from lexmesh.plans.retrieval import by_strategy
+    routed = routed_questions(spark, d).select(
+        "query_id", dense.letter_vector(F.col("pregunta")).alias("qvec"), classify.search_strategy(F.col("pregunta")).alias("route"))
+    out = by_strategy(routed, _routed_keywords(spark, d), title_vectors(spark, d), 10)
+    return out.select("query_id", "doc_id", "score", "route", F.col("rank").cast("bigint").alias("rank"))

@@ -85,3 +85,33 @@ def complex_(documents, vectors, variants, fragments, links, asked, articles, k:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("seen"), F.asc("doc_id"))
     ranking = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= L.LEXICAL_POOL).drop("seen")
     return finish(ranking, fragments, links, asked, articles, L.COMPLEX_RERANK, k)
+
+
+def sequential(keyword_scores: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, threshold: float = 0.1) -> DataFrame:
+    """Keyword prefilter, then order by cosine; a question without candidates searches all vectors.
+
+    keyword_scores (query_id, doc_id, score), vectors (doc_id, vec), questions (query_id, qvec).
+    """
+    kept = keyword_scores.where(F.col("score") > threshold).select("query_id", "doc_id")
+    near = kept.join(vectors, "doc_id").join(questions, "query_id").select(
+        "query_id", "doc_id", F.round(dense.cosine(F.col("vec"), F.col("qvec")), 6).alias("score"))
+    empty = questions.join(kept.select("query_id").distinct(), "query_id", "left_anti").withColumnRenamed("qvec", "vec")
+    full = dense.dense_topk(vectors.withColumnRenamed("doc_id", "id"), empty, k)
+    return fusion.top_k(near, k, "doc_id").unionByName(full.withColumnRenamed("id", "doc_id"))
+
+
+def by_strategy(routed: DataFrame, keyword_scores: DataFrame, vectors: DataFrame, k: int, alpha: float = 0.3) -> DataFrame:
+    """Each question takes its own route: keywords only, vectors only, or both blended.
+
+    routed (query_id, qvec, route). The blend is taken over the documents that
+    hold a keyword, with vector scores for those documents only.
+    """
+    pick = lambda name: routed.where(F.col("route") == name)
+    words = fusion.top_k(keyword_scores.join(pick("keywords").select("query_id"), "query_id", "left_semi"), k, "doc_id")
+    near = dense.dense_topk(vectors.withColumnRenamed("doc_id", "id"), pick("embeddings").withColumnRenamed("qvec", "vec"), k)
+    both = keyword_scores.join(pick("hybrid").select("query_id", "qvec"), "query_id").join(vectors, "doc_id").select(
+        "query_id", "doc_id", F.col("score").alias("kw"), F.round(dense.cosine(F.col("vec"), F.col("qvec")), 6).alias("emb"))
+    blended = fusion.top_k(fusion.linear_fusion(both, alpha).select("query_id", "doc_id", "score"), k, "doc_id")
+    out = words.withColumn("route", F.lit("keywords")).unionByName(
+        near.withColumnRenamed("id", "doc_id").withColumn("route", F.lit("embeddings")))
+    return out.unionByName(blended.withColumn("route", F.lit("hybrid")))
