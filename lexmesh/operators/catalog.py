@@ -13,7 +13,7 @@ def theme_pairs(norms: DataFrame, themes: str = "temas") -> DataFrame:
     ordered = F.array_sort(F.array_distinct(themes))
     pairs = F.flatten(F.transform(ordered, lambda a, i: F.transform(
         F.slice(ordered, i + 2, F.size(ordered)), lambda b: F.struct(a.alias("tema1"), b.alias("tema2")))))
-    return norms.select(F.explode(pairs).alias("p")).groupBy("p.tema1", "p.tema2").agg(F.count(F.lit(1)).alias("n"))
+    return norms.select(F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull()).groupBy("p.tema1", "p.tema2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def low_coverage(pairs: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def clusters(norms: DataFrame, keep: list[str], themes: str = "temas") -> DataFr
     tests = [
         F.when(F.size(F.array_intersect(F.col(themes), F.array(*[F.lit(t) for t in members]))) >= 2, F.lit(name))
         for name, members in L.THEME_CLUSTERS.items()]
-    return norms.select(*keep, F.explode(F.array_compact(F.array(*tests))).alias("cluster"))
+    return norms.select(*keep, F.explode_outer(F.array_compact(F.array(*tests))).alias("cluster")).where(F.col("cluster").isNotNull())
 
 
 def kind_share(norms: DataFrame, themes: str = "temas", kind: str = "tipo") -> DataFrame:

@@ -222,7 +222,14 @@ def _(spark, d):
     return X.frequent_acronyms(rows(spark, d, "documents", "doc_id", "text"), "doc_id", known, "text").select("sigla", "n", "dispersion")
 
 
-@query("frequent_phrases")
+_FRASE = "([A-ZÁÉÍÓÚÑ][\\p{L}\\p{N}_]+(?:\\s+(?:de|del|de la|de los|en|y|o|para|por|a|al)?\\s*[A-ZÁÉÍÓÚÑ][\\p{L}\\p{N}_]+){1,4})"
+
+
+@query("frequent_phrases",
+       f"""with m as (select id_norma, trim(regexp_replace(unnest(regexp_extract_all(texto, '(?:^|[^\\p{{L}}\\p{{N}}_]){_FRASE}', 1)), '\\s+', ' ', 'g')) as frase from ({_TEXTS})),
+ k as (select distinct lower(substr(text, 1, 12)) as nombre from benchmark), c as (select frase, count(*) as n, count(distinct id_norma) as dispersion from m where length(frase) between 7 and 79 and not list_contains({_LIST(X.BAD_FIRST)}, split_part(frase, ' ', 1))
+   and not regexp_full_match(frase, '(LEY|DECRETO|DFL|DS|RESOLUCIÓN) *N?[°º]? *[0-9]{{1,2}}') and length(regexp_replace(frase, '[^0-9]', '', 'g')) <= length(frase) // 3 group by frase having count(*) >= 10 and count(distinct id_norma) >= 2)
+ select frase, n, dispersion from c where lower(frase) not in (select nombre from k) and not exists (select 1 from k where length(nombre) > 6 and (starts_with(lower(frase), nombre) or starts_with(nombre, lower(frase)))) order by n desc, frase limit 80""")
 def _(spark, d):
     """A19"""
     known = table(spark, d, "benchmark", F.substring("text", 1, 12).alias("nombre"))
