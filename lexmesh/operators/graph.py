@@ -64,32 +64,35 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     minimum per node plus one join, so hubs are never gathered, and the number
     of rounds grows with the logarithm of the longest chain.
     """
-    both = edges.where(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    current = written(both)
+    current = written(edges.where(F.col("src") != F.col("dst")).select(
+        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    mark = None
     while True:
-        # large star: each neighbour above a node points to the least of its neighbourhood
-        sides = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(least, "u").where(F.col("v") > F.col("u")).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: each node and its smaller neighbours point to the least of them
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u")
-        moved = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = written(moved.unionByName(floor.select("u", F.col("m").alias("v"))).where(
-            F.col("u") != F.col("v")).distinct())
-        changed = following.join(current, ["u", "v"], "left_anti").limit(1).count() + \
-            current.join(following, ["u", "v"], "left_anti").limit(1).count()
-        current = following
-        if not changed:
+        # Equal marks before and after a round mean the stars no longer change.
+        found = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if found == mark:
             break
+        mark = found
+        current = written(_star_round(current))
     roots = current.groupBy("u").agg(F.min("v").alias("component"))
     key = nodes.columns[0]
     return nodes.select(F.col(key).alias("node")).join(roots.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
 
 
+def _star_round(current: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over (u > v) links."""
+    # Large star: each neighbour above a node points to the least of its neighbourhood.
+    ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    sides = current.select(F.explode(ends).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
+    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = sides.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # Small star: each node and its smaller neighbours point to the least of them.
+    floor = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(floor, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(floor.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+
+
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("nodos"))
     m = edges.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("aristas"))
