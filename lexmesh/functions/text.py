@@ -187,32 +187,31 @@ def word_count(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
+def _holds(low: Column, stems: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems])
+
+
+def _tags(text: Column, table: list[tuple[str, list[str]]]) -> Column:
+    """Tags whose stems occur; the one-element transform lower-cases the text only once."""
+    tagged = lambda low: F.array_compact(F.array(*[F.when(_holds(low, stems), F.lit(tag)) for tag, stems in table]))
+    return F.get(F.transform(F.array(F.lower(text)), tagged), F.lit(0))
+
+
 def themes(text: Column) -> Column:
     """Theme tags in fixed order, by stem containment in lower-cased text."""
-    low = F.lower(text)
-    tags = [
-        F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems]), F.lit(tag))
-        for tag, stems in L.THEME_STEMS
-    ]
-    return F.array_compact(F.array(*tags))
+    return _tags(text, L.THEME_STEMS)
 
 
 def sector_relevant(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in L.SECTOR_STEMS])
+    return F.exists(F.array(F.lower(text)), lambda low: _holds(low, L.SECTOR_STEMS))
 
 
 def themes_short(text: Column) -> Column:
     """The eight-theme variant of the tagger."""
-    low = F.lower(text)
     # Tag and its stems.
     table = [
         ("DISTRIBUCION", ["distribuci"]), ("TRANSMISION", ["transmisi"]),
         ("GENERACION", ["generaci"]), ("MEDIDAS", ["medid", "medici"]), ("TARIFAS", ["tarifa"]),
         ("POTENCIA", ["potencia"]), ("ENERGIA", ["energ"]), ("PEAJES", ["peaje"]),
     ]
-    tags = [
-        F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems]), F.lit(tag))
-        for tag, stems in table
-    ]
-    return F.array_compact(F.array(*tags))
+    return _tags(text, table)

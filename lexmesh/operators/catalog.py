@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from lexmesh.functions import lexicon as L
 
 
+def theme_sets(rows: DataFrame, key: str, number: Column, tags: list[str]) -> DataFrame:
+    """(key, temas): sorted distinct tags per key, from the tag number of each row.
+
+    A bit mask per key is a plain hash aggregate that merges before the shuffle;
+    arrays are only unpacked at the end.
+    """
+    masks = rows.select(key, F.expr("cast(1 as bigint)").alias("one"), number.cast("int").alias("i")).groupBy(key).agg(
+        F.bit_or(F.expr("shiftleft(one, i)")).alias("mask"))
+    named = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(tag)) for tag, i in sorted((t, i) for i, t in enumerate(tags))]
+    return masks.select(key, F.array_compact(F.array(*named)).alias("temas"))
+
+
 def theme_pairs(norms: DataFrame, themes: str = "temas") -> DataFrame:
     """(tema1 < tema2, n): pairs inside each row's small theme set, then one mergeable count."""
     ordered = F.array_sort(F.array_distinct(themes))

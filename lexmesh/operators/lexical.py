@@ -124,6 +124,8 @@ def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text
     pairs = questions.select("query_id", F.explode("tokens").alias("token"))
     distinct = pairs.select("token").distinct()
     blocks = -(-distinct.count() // TOKEN_BLOCK)
+    # Spread by document, so that adding up (question, document) scores needs no further shuffle.
+    documents = documents.select("doc_id", text).repartition("doc_id")
     if blocks <= 1:
         probed = documents.withColumn("vocabulary", distinct.agg(F.collect_set("token")).scalar())
     else:
@@ -142,12 +144,12 @@ def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text
 def saturated_scores(hits: DataFrame) -> DataFrame:
     """Saturating term frequency, no idf and no length norm."""
     tf = F.col("tf")
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(tf * 2.2 / (tf + 1.2)), 6).alias("score"))
+    return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(tf * 2.2 / (tf + 1.2)), 6).alias("score"))
 
 
 def sparse_scores(hits: DataFrame) -> DataFrame:
     """Longer tokens weigh more: a tenth of their length per hit."""
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.length("token") / 10), 6).alias("score"))
+    return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(F.length("token") / 10), 6).alias("score"))
 
 
 def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFrame:

@@ -37,7 +37,7 @@ AMENDMENT = (
     r"(?:Art\.?\s*([^\n]+)\s*\n)?D\.O\.\s*(\d{2}\.\d{2}\.\d{4})"
 )
 REFERENCE = (
-    r"(?:el|la|del|de\s+la|al|las)?\s*(Ley(?:es)?|Decreto|DFL|DL|Resolución|D\.F\.L\.?|D\.S\.?|"
+    r"(Ley(?:es)?|Decreto|DFL|DL|Resolución|D\.F\.L\.?|D\.S\.?|"
     r"Decreto\s+(?:Supremo|con\s+Fuerza\s+de\s+Ley))\s+(?:N[°º]?\s*)?(\d+(?:\.\d+)?)"
     r"(?:[,\s]+(?:de\s+)?(?:[\p{L}\p{N}_]+\s+de\s+)?(\d{4}))?"
 )

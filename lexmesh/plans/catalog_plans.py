@@ -19,10 +19,9 @@ THEMED_SQL = (f"themed as (select id_norma, tipo, numero, fecha, coalesce(temas,
 
 
 def themed(spark, d):
-    tags = F.array(*[F.lit(t) for t in _TAGS])
     lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey").select(
-        F.col("l_orderkey").cast("string").alias("id_norma"), F.element_at(tags, (F.col("l_partkey") % 11 + 1).cast("int")).alias("tema"))
-    per_norm = lines.groupBy("id_norma").agg(F.array_sort(F.collect_set("tema")).alias("temas"))  # at most eleven tags
+        F.col("l_orderkey").cast("string").alias("id_norma"), "l_partkey")
+    per_norm = catalog.theme_sets(lines, "id_norma", F.col("l_partkey") % 11, _TAGS)
     n = norms(spark, d, "id_norma", "tipo", "numero", "fecha")
     return n.join(per_norm, "id_norma", "left").withColumn("temas", F.coalesce("temas", F.array().cast("array<string>")))
 
