@@ -20,12 +20,13 @@ def theme_sets(rows: DataFrame, key: str, number: Column, tags: list[str]) -> Da
     return masks.select(key, F.array_compact(F.array(*named)).alias("temas"))
 
 
-def theme_pairs(norms: DataFrame, themes: str = "temas") -> DataFrame:
-    """(tema1 < tema2, n): pairs inside each row's small theme set, then one mergeable count."""
+def theme_pairs(norms: DataFrame, themes: str = "temas", by: list[str] = ()) -> DataFrame:
+    """(by..., tema1 < tema2, n): pairs inside each row's small theme set, then one mergeable count."""
     ordered = F.array_sort(F.array_distinct(themes))
     pairs = F.flatten(F.transform(ordered, lambda a, i: F.transform(
         F.slice(ordered, i + 2, F.size(ordered)), lambda b: F.struct(a.alias("tema1"), b.alias("tema2")))))
-    return norms.select(F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull()).groupBy("p.tema1", "p.tema2").agg(F.count(F.lit(1)).alias("n"))
+    rows = norms.select(*by, F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
+    return rows.groupBy(*by, "p.tema1", "p.tema2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def low_coverage(pairs: DataFrame) -> DataFrame:

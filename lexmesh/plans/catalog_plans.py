@@ -35,11 +35,11 @@ def _(spark, d):
     return catalog.theme_pairs(themed(spark, d))
 
 
-@query("low_coverage_pairs", f"with {THEMED_SQL}, f as (select * from themed where tipo = 'DECRETO' and year(fecha) = 1996 and month(fecha) <= 3), pairs as (select a.t as tema1, b.t as tema2, count(*) as n from (select id_norma, unnest(temas) as t from f) a join (select id_norma, unnest(temas) as t from f) b on a.id_norma = b.id_norma and a.t < b.t group by all) select tema1, tema2, n, case when n < 5 then 'CRITICO' else 'MODERADO' end as nivel from pairs where n < 10")
+@query("low_coverage_pairs", f"with {THEMED_SQL}, f as (select *, strftime(fecha, '%Y-%m') as mes from themed), pairs as (select a.tipo, a.mes, a.t as tema1, b.t as tema2, count(*) as n from (select id_norma, tipo, mes, unnest(temas) as t from f) a join (select id_norma, unnest(temas) as t from f) b on a.id_norma = b.id_norma and a.t < b.t group by all) select tipo, mes, tema1, tema2, n, case when n < 5 then 'CRITICO' else 'MODERADO' end as nivel from pairs where n < 10")
 def _(spark, d):
-    """Decrees of the first quarter of 1996"""
-    n = themed(spark, d).where((F.col("tipo") == "DECRETO") & (F.year("fecha") == 1996) & (F.month("fecha") <= 3))
-    return catalog.low_coverage(catalog.theme_pairs(n))
+    """Per norm type and month"""
+    n = themed(spark, d).withColumn("mes", F.date_format("fecha", "yyyy-MM"))
+    return catalog.low_coverage(catalog.theme_pairs(n, by=["tipo", "mes"]))
 
 
 _CLUSTER_SQL = " union all ".join(f"select id_norma, '{name}' as cluster from themed where len(list_intersect(temas, {_LIST(ts)})) >= 2" for name, ts in L.THEME_CLUSTERS.items())

@@ -8,6 +8,7 @@ from lexmesh.functions import text as T
 from lexmesh.operators import increments as I
 from lexmesh.plans.graph_plans import LINK_SQL, links
 from lexmesh.plans.register import query
+from lexmesh.plans.views import norms, norms_sql
 from lexmesh.sources.tables import table, texts as rows
 from lexmesh.streaming import query_log
 
@@ -38,11 +39,12 @@ def _(spark, d):
     return I.content_changes(snapshot(spark, d), state(spark, d).select("id", "hash"))
 
 
-@query("new_modifications", f"with {LINK_SQL} select dst as id_norma, src as modificador from links where kind = 'MODIFICA' and (src, dst) not in (select src, dst from links where cast(src as bigint) % 2 = 0)")
+@query("new_modifications", f"with {LINK_SQL} select dst as id_norma, src as modificador from links where kind = 'MODIFICA' and src not in (select id_norma from ({norms_sql('id_norma', 'fecha')}) where fecha < date '1998-01-01')")
 def _(spark, d):
-    """Modifications absent from the previous snapshot (even sources)"""
+    """Modifications absent from the snapshot of the end of 1997"""
     mods = links(spark, d).where(F.col("kind") == "MODIFICA").select(F.col("dst").alias("id_norma"), F.col("src").alias("modificador"))
-    before = mods.where(F.col("modificador").cast("bigint") % 2 == 0)
+    old = norms(spark, d, "id_norma", "fecha").where(F.col("fecha") < F.lit("1998-01-01").cast("date")).select(F.col("id_norma").alias("modificador"))
+    before = mods.join(old, "modificador", "left_semi")
     return mods.join(before, ["id_norma", "modificador"], "left_anti")
 
 

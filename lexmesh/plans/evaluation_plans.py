@@ -136,16 +136,17 @@ def _(spark, d):
 
 
 def answer_scores(spark, d):
-    """Long documents as answers: recall of the passage vocabulary of their own first sentence, citation by label."""
-    docs = rows(spark, d, "documents", "doc_id", "text")
-    labels = table(spark, d, "labels", "doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id").select(
-        "doc_id", F.round(E.definition_recall(F.substring_index("text", ".", 2), F.substring_index("text", ".", 3)), 6).alias("recall"),
-        (F.col("quality") == 1).alias("cited"), (F.col("toxic") == 1).alias("refused"))
+    """Every answer turn scored against the whole turn before it."""
+    turns = table(spark, d, "conversations")
+    said = turns.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("previous"))
+    size, asked = F.length("text"), F.length("previous")
+    return said.join(before, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), size.alias("size"), F.when(asked >= 150, "in_domain").otherwise("off_corpus").alias("category"),
+        F.round(E.definition_recall(F.col("text"), F.col("previous")), 6).alias("recall"), (size > asked).alias("cited"), (size < 400).alias("refused"))
 
 
-_SENT = lambda n: f"array_to_string(string_split(text, '.')[1:{n}], '.')"
-_SCORES_SQL = f"sc as (select doc_id, quality = 1 as cited, toxic = 1 as refused, round(case when len({content_sql(_SENT(3))}) = 0 then 0 else len(list_intersect({content_sql(_SENT(3))}, {content_sql(_SENT(2))})) / len({content_sql(_SENT(3))}) end, 6) as recall from documents join labels using (doc_id))"
+_SCORES_SQL = f"sc as (select conv_id * 1000 + turn as pos, size, case when asked >= 150 then 'in_domain' else 'off_corpus' end as category, size > asked as cited, size < 400 as refused, round(case when len(w) = 0 then 0 else len(list_intersect(w, a)) / len(w) end, 6) as recall from (select c.conv_id, c.turn, length(c.text) as size, length(p.text) as asked, {content_sql('c.text')} as a, {content_sql('p.text')} as w from conversations c join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1 where c.role = 'assistant'))"
 
 
 @query("definition_report", f"with {_SCORES_SQL} select count(*) as n, round(avg(recall), 3) as recall_mean, round(100 * avg(case when recall >= 0.6 then 1 else 0 end), 1) as recall_ge_strict, round(100 * avg(case when recall >= 0.8 then 1 else 0 end), 1) as recall_ge_80, round(100 * avg(case when cited and recall >= 0.6 then 1 else 0 end), 1) as strict_correct, round(quantile_cont(recall, 0.5), 3) as recall_median from sc")
@@ -154,19 +155,16 @@ def _(spark, d):
     return E.definition_report(answer_scores(spark, d))
 
 
-_AB_SQL = f"""{_SCORES_SQL}, b as (select cast(doc_id as string) as q, case when doc_id % 5 = 0 then 'off_corpus' else 'in_domain' end as category, cited, recall, refused from sc),
- t as (select q, category, not cited as cited, round(recall * 0.5, 6) as recall, not refused as refused from b where cast(q as bigint) % 3 <> 0)"""
+_AB_SQL = f"{_SCORES_SQL}, b as (select pos as q, * from sc), t as (select q, category, not cited as cited, round(recall * 0.5, 6) as recall, not refused as refused from b where size >= 300)"
 
 
 @query("compare_runs", f"""with {_AB_SQL} select count(*) filter (where t.category = 'in_domain') as in_domain, count(*) filter (where t.category = 'in_domain' and b.cited) as cited_base, count(*) filter (where t.category = 'in_domain' and t.cited) as cited_treatment,
  count(*) filter (where t.category = 'in_domain' and t.cited and not b.cited) as recovered, count(*) filter (where t.category = 'in_domain' and b.cited and not t.cited) as regressed, round(avg(b.recall) filter (where t.category = 'in_domain'), 6) as recall_base, round(avg(t.recall) filter (where t.category = 'in_domain'), 6) as recall_treatment,
  count(*) filter (where t.category = 'off_corpus' and b.refused) as refusal_base, count(*) filter (where t.category = 'off_corpus' and t.refused) as refusal_treatment from b join t using (q)""")
 def _(spark, d):
-    """V11, J14"""
-    base = answer_scores(spark, d).select(
-        F.col("doc_id").cast("string").alias("query"), F.when(F.col("doc_id") % 5 == 0, "off_corpus").otherwise("in_domain").alias("category"),
-        "cited", "recall", "refused", F.col("doc_id").alias("pos"))
-    treated = base.where(F.col("pos") % 3 != 0).select(
+    """The treatment run answered only where the answer is long enough"""
+    base = answer_scores(spark, d).withColumn("query", F.col("pos").cast("string"))
+    treated = base.where(F.col("size") >= 300).select(
         "query", "category", (~F.col("cited")).alias("cited"), F.round(F.col("recall") * 0.5, 6).alias("recall"), (~F.col("refused")).alias("refused"), "pos")
     return E.compare_runs(base, treated)
 

@@ -22,11 +22,6 @@ def passages(spark, d):
         F.col("item_id").alias("query_id"), T.lexical_tokens(F.col("text")).alias("tokens"))
 
 
-def openings(spark, d):
-    """The first three index words of every passage as a short question."""
-    return passages(spark, d).select("query_id", F.slice("tokens", 1, 3).alias("tokens"))
-
-
 def bm25_sql(tokens: str = "q_tokens", match_all: bool = False) -> str:
     """CTEs ending in `scored(query_id, doc_id, score)`."""
     need = "having count(*) = any_value(needed)" if match_all else ""
@@ -55,16 +50,16 @@ def _(spark, d):
     return _out(lexical.bm25_topk(documents(spark, d), passages(spark, d), 10))
 
 
-@query("bm25_match_all", f"with {bm25_sql('all_tokens[1:3]', True)} {_TOP.format(k=10)}")
+@query("bm25_match_all", f"with {bm25_sql('all_tokens', True)} {_TOP.format(k=10)}")
 def _(spark, d):
-    """Q1: documents that hold all terms of a short question"""
-    return _out(lexical.bm25_topk(documents(spark, d), openings(spark, d), 10, match_all=True))
+    """Q1: documents that hold all terms of a passage"""
+    return _out(lexical.bm25_topk(documents(spark, d), passages(spark, d), 10, match_all=True))
 
 
 @query("cover_density_topk")
 def _(spark, d):
     """Q1: cover-density rank of documents that hold all terms"""
-    return _out(lexical.cover_density(documents(spark, d), openings(spark, d), 10))
+    return _out(lexical.cover_density(documents(spark, d), passages(spark, d), 10))
 
 
 # Short questions about norms: what each priority announces, per year of its orders.
