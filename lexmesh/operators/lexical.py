@@ -163,17 +163,21 @@ def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFra
     is window arithmetic inside one (question, document) group, whose size is
     bounded by the length of one document.
     """
-    terms = question_terms(questions)
+    terms = question_terms(questions).select("query_id", "term")
     needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    placed = (
-        by_document(documents).select("doc_id", F.posexplode_outer("tokens").alias("pos", "term"))
-        .join(terms.select("query_id", "term"), "term")
-        .join(needed, "query_id")
+    spread = by_document(documents)
+    # Which documents hold all terms is counted first; positions are gathered for those alone.
+    complete = (
+        spread.select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("term"))
+        .join(terms, "term").groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("held"))
+        .join(needed, "query_id").where(F.col("held") == F.col("needed")).select("doc_id", "query_id", "needed")
+    )
+    held = (
+        spread.join(complete, "doc_id")
+        .select("doc_id", "query_id", "needed", F.posexplode_outer("tokens").alias("pos", "term"))
+        .join(terms, ["query_id", "term"])
+        .groupBy("doc_id", "query_id", "needed").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("hits"))
     )
-    held = placed.groupBy("doc_id", "query_id", "needed").agg(
-        F.count_distinct("term").alias("held"),
-        F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("hits"),
-    ).where(F.col("held") == F.col("needed"))
     # Fold: keep the latest position per term; after each hit the window start is the least of them.
     empty = F.expr("named_struct('latest', cast(map() as map<string,int>), 'start', -1, 'total', cast(0 as double))")
 
