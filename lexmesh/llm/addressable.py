@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.common import slices
 from lexmesh.llm.piece_encoder import encoder
+from lexmesh.session import written
 
 WIDTHS = (10, 6, 8, 8)
 _STEP = 512
@@ -184,7 +185,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - sizes), packed.cast(pa.binary())], ["key", "start", "ids"])
 
     store = spark.read.parquet(folder)
-    placed = store.join(_offsets(store), "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "sizes", "codes")
+    placed = store.join(written(_offsets(store)), "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "sizes", "codes")
     return placed.mapInArrow(documents, "key long, start long, ids binary")
 
 

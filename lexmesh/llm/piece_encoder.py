@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
+from lexmesh.llm.token_counts import byte_letters
+
 _CUT = re.compile(r" (?=\S)").split
+_SIGNS = ".,;:!?|()[]{}\"%$#&*-/"  # neither letters nor digits nor white space, and no apostrophe, which may join letters
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
@@ -30,6 +34,9 @@ class PieceEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._model = self._library.model
+        self._letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self._tails: dict[str, list[int]] = {}
         self._capacity = capacity
         self.id_type = np.uint16 if self._library.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
@@ -43,22 +50,56 @@ class PieceEncoder:
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _tail(self, text: str) -> list[int]:
+        ids = self._tails.get(text)
+        if ids is None:
+            if len(self._tails) > 50_000:
+                self._tails.clear()
+            ids = self._tails[text] = self._library_ids([text])[0]
+        return ids
+
+    def _merged(self, word: str) -> list[int]:
+        """Ids of one pre-token: letters, perhaps after a space."""
+        spelled = "\u0120" + word[1:] if word[0] == " " and word.isascii() else word
+        if not word.isascii():
+            spelled = word.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model.tokenize(spelled)]
+
+    def _line_ids(self, line: str) -> list[int]:
+        if line.isalpha() or line[0] == " " and line[1:].isalpha():
+            return self._merged(line)
+        word = line.rstrip(_SIGNS)
+        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+            return self._merged(word) + self._tail(line[len(word):])
+        return self._tail(line)
+
+    def _piece_ids(self, piece: str) -> list[int]:
+        """Ids of a piece. Lines are cut at a line end with text on both sides, and signs from letters: pre-tokens end there."""
+        count = len(piece.split())
+        if count == 1 and not piece[-1].isspace() and (piece[0] == " " or not piece[0].isspace()):
+            return self._line_ids(piece)
+        lines = piece.split("\n")
+        if count != len(lines) or not all(lines) or any(line[-1:].isspace() or (n and line[:1].isspace()) for n, line in enumerate(lines)):
+            return self._library_ids([piece])[0]
+        out = self._line_ids(lines[0])
+        for line in lines[1:]:
+            out = out + self._tail("\n") + self._line_ids(line)
+        return out
+
     def _learn(self, keys: list[str]) -> None:
         """A first piece has a space put before it as its key, any other has its own space taken off."""
-        for at in range(0, len(keys), 20_000):
-            some = keys[at:at + 20_000]
-            found = self._library_ids([k[1:] if k[0] == " " else " " + k for k in some])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), self.id_type, int(sizes.sum()))
-            slot = len(self._slot)
-            while len(self._starts) < slot + len(some) + 1:
-                self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-            while len(self._ids) < self._used + len(flat):
-                self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
-            self._ids[self._used:self._used + len(flat)] = flat
-            self._starts[slot + 1:slot + 1 + len(some)] = self._used + np.cumsum(sizes)
-            self._slot.update(zip(some, range(slot, slot + len(some))))
-            self._used += len(flat)
+        found = [self._piece_ids(k[1:] if k[0] == " " else " " + k) for k in keys]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.id_type, int(sizes.sum()))
+        slot = len(self._slot)
+        while len(self._starts) < slot + len(keys) + 1:
+            self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
+        while len(self._ids) < self._used + len(flat):
+            self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
+        self._ids[self._used:self._used + len(flat)] = flat
+        self._starts[slot + 1:slot + 1 + len(keys)] = self._used + np.cumsum(sizes)
+        self._slot.update(zip(keys, range(slot, slot + len(keys))))
+        self._used += len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text). Null reads as empty."""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.llm import addressable, common, packing, token_counts
+from lexmesh.llm import addressable, common, language, packing, simhash, token_counts
 from lexmesh.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,16 @@ def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     addressable.write(common.read(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return addressable.read(spark, folder).select(
         F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = common.held_out("doc_id", 4, 2)
+    model = language.fit(documents.where(~out))
+    return language.identify(documents, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")

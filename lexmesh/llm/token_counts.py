@@ -27,7 +27,7 @@ _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+").split
 _LOADED: dict[str, "MergeCounter"] = {}
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that byte-level tokenizers use for each byte: itself, or the next one from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     out, following = [], 256
@@ -52,7 +52,7 @@ class MergeCounter:
         self._words = regex.compile(split["pattern"]["Regex"]).findall
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self._special = re.compile("|".join(sorted(special, key=len, reverse=True)))
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self._capacity = capacity
         self._word_counts: dict[str, int] = {}
         self._run_counts: dict[str, int] = {}
