@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.llm import addressable, common, language, packing, simhash, token_counts
-from lexmesh.session import shared_folder
+from lexmesh.llm import addressable, common, language, packing, rules, simhash, token_counts
+from lexmesh.session import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.held_out("doc_id", 4, 2)
     model = language.fit(documents.where(~out))
     return language.identify(documents, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = written(rules.with_statistics(common.read(spark, sf_dir, "documents", "doc_id", "text")))
+    out = common.held_out("key", 3, 1)
+    model = rules.learn(table.where(~out), common.read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return rules.scored(table, model).select(F.col("key").alias("doc_id"), out.alias("held_out"), "score", "predicted")
