@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.llm import addressable, chat, common, decontaminate, language, packing, rules, simhash, token_counts
+from lexmesh.llm import addressable, brown, chat, common, decontaminate, language, packing, rules, simhash, token_counts
 from lexmesh.session import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+
+
+@_query
+def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.read(spark, sf_dir, "documents", "doc_id", "text")
+    out = common.held_out("doc_id", 7, 2)
+    found = brown.scores(documents, documents.where(~out))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
