@@ -9,7 +9,7 @@ from lexmesh.session import written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(u, root): the least node each linked node can reach, for links (u, v) of long ids.
+    """(u, root): the least node each linked node can reach, for links (u, v) of long ids; a root has no row of its own.
 
     Large-star and small-star rounds. A round's minima are written before they are
     joined: both sides of each join then are plain exchanges, whose hot keys adaptive

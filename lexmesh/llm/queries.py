@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.llm import addressable, brown, chat, common, decontaminate, language, packing, rules, simhash, token_counts
+from lexmesh.llm import addressable, brown, chat, common, decontaminate, language, neighbours, packing, rules, simhash, token_counts
 from lexmesh.session import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.held_out("doc_id", 7, 2)
     found = brown.scores(documents, documents.where(~out))
     return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.linked(common.read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
