@@ -151,9 +151,9 @@ def links(prints: DataFrame) -> DataFrame:
     cell returns a spanning forest of its links, a small one the links themselves.
     """
     there = written(prints.mapInArrow(_replicate, "anchor long, node long, print long, home boolean"))
-    sizes = there.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bool_or("home").alias("homes"))
-    parts = written(sizes.where((F.col("n") > 1) & F.col("homes")).select(
-        "anchor", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
+    sizes = there.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+    cut = written(sizes.select("anchor", F.ceil(F.col("n") / CELL).cast("int").alias("cuts")))  # few anchors, or none
+    dealt = there.join(cut, "anchor", "left").withColumn("parts", F.coalesce("cuts", F.lit(1)))
     own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     # Roles: 1 at home, 2 there. A row at home is also one of those there.
@@ -161,7 +161,7 @@ def links(prints: DataFrame) -> DataFrame:
     guests = F.transform(others, lambda k: F.struct(k.alias("i"), own.alias("j"), F.lit(2).alias("role")))
     single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("home"), 3).otherwise(2).alias("role")))
     cells = F.when(F.col("parts") == 1, single).otherwise(F.concat(F.coalesce(at_home, F.array().cast("array<struct<i:int,j:int,role:int>>")), guests))
-    spread = there.join(parts, "anchor").select("anchor", "node", "print", F.explode(cells).alias("c")).select(
+    spread = dealt.select("anchor", "node", "print", F.explode(cells).alias("c")).select(
         F.xxhash64("anchor", "c.i", "c.j").alias("cell"), "node", "print", F.col("c.role").cast("byte").alias("role"))
     count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_cells = spread.repartition(count, "cell").sortWithinPartitions("cell")
