@@ -36,8 +36,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(simhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()))
     by_id = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
     apart = written(by_id.where(F.col("gone") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), "gone"))
-    once = docs.join(apart, F.col("doc_id") == F.col("_id"), "left_anti")
-    again = docs.join(apart.where(~F.col("gone")), F.col("doc_id") == F.col("_id"), "left_semi")
+    once = docs.join(apart, docs["doc_id"] == apart["_id"], "left_anti")
+    several = apart.where(~F.col("gone"))
+    again = docs.join(several, docs["doc_id"] == several["_id"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     first = again.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).where(F.col("rank") == 1).select("row.*")
     return once.unionByName(first)

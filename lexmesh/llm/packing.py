@@ -69,19 +69,16 @@ def _serve(deficit: np.ndarray, quota: np.ndarray, cycle: int, window: int, left
     deficit += quota
     take = np.minimum(np.maximum(deficit // cycle, 0), left)
     over = int(take.sum()) - window
-    while over > 0:  # old deficits may ask for more than the window holds
-        i = int(np.argmax(np.where(take > 0, take * cycle - deficit, np.iinfo(np.int64).min)))
-        take[i] -= 1
-        over -= 1
-    while over < 0:
-        owed = np.where(take < left, deficit - take * cycle, np.iinfo(np.int64).min)
-        top = int(np.argmax(owed))
-        if take[top] >= left[top]:
+    while over:  # the most overdrawn give tokens back, or the best owed that have some left get them
+        able = np.flatnonzero(take > 0 if over > 0 else take < left)
+        if not len(able):
             break
-        # One token at a time while all queues hold out, else what the best-owed queue still has.
-        step = 1 if -over <= len(take) else max(1, min(-over // max(1, int((take < left).sum())), int(left[top] - take[top])))
-        take[top] += step
-        over += step
+        owed = (deficit - take * cycle)[able]
+        count = min(abs(over), len(able))
+        chosen = able[np.argsort(owed if over > 0 else -owed, kind="stable")[:count]]
+        step = 1 if over > 0 or count < len(able) else max(1, min(-over // count, int((left - take)[chosen].min())))
+        take[chosen] += -step if over > 0 else step
+        over += -step * count if over > 0 else step * count
     deficit -= take * cycle
     return take
 
@@ -120,7 +117,7 @@ class Schedule:
                 done, left, first = done + take, left - take, first + 1
         self.windows = first
         self._first = np.array([p.first for p in self.phases], np.int64)
-        self._done = np.array([p.done for p in self.phases], np.int64).reshape(-1, len(totals))
+        self._done = np.array([p.done for p in self.phases], np.int64).reshape(len(self.phases), len(totals))
 
     def pieces(self, source: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, start in the queue, length, window, offset in the window) of spans of a queue, cut at window ends."""
