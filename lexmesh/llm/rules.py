@@ -174,6 +174,7 @@ def keep(documents: DataFrame, model: Ensemble, text: str = "text", least: float
     while held in documents.columns:
         held += "_"
     found = statistics(F.col(text))
-    # One struct, so that each statistic is computed once however many rules use it.
-    rows = documents.withColumn(held, F.struct(*(found[n].alias(n) for n in NAMES)))
+    # A generator of one row: the filter is not pushed below it, which would compute the statistics anew for each rule.
+    once = F.explode(F.array(F.struct(*(found[n].alias(n) for n in NAMES)))).alias(held)
+    rows = documents.select("*", once)
     return rows.where(model.score({n: F.col(held)[n] for n in NAMES}) >= least).drop(held)
