@@ -13,7 +13,7 @@ import sys
 import time
 
 HEADLINE = [
-    "bm25_topk", "text_vector_topk", "vector_topk", "bm25_fused_topk", "simple_retrieval",
+    "bm25_topk", "bm25_match_all", "two_list_rrf_titles", "compliance_report", "text_vector_topk", "vector_topk", "bm25_fused_topk", "simple_retrieval",
     "graph_boost", "question_concepts", "concept_references", "article_split", "window_chunks",
     "cited_references", "authority", "definition_sources", "title_relations", "most_referenced", "theme_cooccurrence",
     "price_quantiles", "log_by_branch", "index_diff", "upsert_articles", "grounded_in_corpus", "evaluation_rollup",

@@ -85,14 +85,14 @@ def budget(docs: DataFrame, limit: int = L.PROMPT_BUDGET) -> DataFrame:
     Lengths are never negative, so stopping at the first overflow is the same
     as keeping every row whose running total fits.
     """
-    # Every piece has at least its 12 fixed characters, so later ranks cannot fit: this bounds the window.
-    docs = docs.where(F.col("rank") <= limit // 12 + 1)
     order = Window.partitionBy("query_id").orderBy("rank")
-    piece = F.length(F.concat(F.lit("[Art. "), F.col("numero"), F.lit(" de "), F.col("id_norma"), F.lit("]\n"), F.col("texto")))
-    cost = piece + F.when(F.row_number().over(order) > 1, L.PROMPT_SEPARATOR).otherwise(0)
-    priced = docs.withColumn("costo", cost)
-    total = F.sum("costo").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return priced.withColumn("total", total).where((F.col("total") <= limit) | (F.col("rank") == 1)).drop("costo")
+    # Every piece has at least its 12 fixed characters, so no piece past this place can fit, whatever gaps the ranks have.
+    placed = docs.withColumn("lugar", F.row_number().over(order)).where(F.col("lugar") <= limit // 12 + 1)
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    piece = F.length(F.concat(F.lit("[Art. "), blank("numero"), F.lit(" de "), blank("id_norma"), F.lit("]\n"), blank("texto")))
+    priced = placed.withColumn("costo", piece + F.when(F.col("lugar") > 1, L.PROMPT_SEPARATOR).otherwise(0))
+    total = F.sum("costo").over(Window.partitionBy("query_id").orderBy("lugar").rowsBetween(Window.unboundedPreceding, 0))
+    return priced.withColumn("total", total).where((F.col("total") <= limit) | (F.col("lugar") == 1)).drop("costo", "lugar")
 
 
 def compare_runs(base: DataFrame, treatment: DataFrame) -> DataFrame:

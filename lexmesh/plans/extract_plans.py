@@ -373,9 +373,9 @@ def _(spark, d):
 
 
 _LINK = "/([^\"/]+)"
-_A = '<a[^>]*href="[^"]*/([^"/]+)[^"]*"[^>]*>([^<]*)</a>'
+_A = '<a[^>]*href="[^"]*/([^"/]+)[^"]*"[^>]*>(.*?)</a>'
 @query("page_links",
-       f"""select page_id, id, first(texto order by i) as texto from (select page_id, id, trim(texto) as texto, i from (select page_id, unnest(regexp_extract_all(html, '(?i){_A}', 1)) as id, unnest(regexp_extract_all(html, '(?i){_A}', 2)) as texto, generate_subscripts(regexp_extract_all(html, '(?i){_A}', 1), 1) as i from pages)) where length(texto) >= 5 group by page_id, id, substr(texto, 1, 50)""")
+       f"""select page_id, id, first(texto order by i) as texto from (select page_id, id, trim(regexp_replace(texto, '<[^>]*>', '', 'g')) as texto, i from (select page_id, unnest(regexp_extract_all(html, '(?is){_A}', 1)) as id, unnest(regexp_extract_all(html, '(?is){_A}', 2)) as texto, generate_subscripts(regexp_extract_all(html, '(?is){_A}', 1), 1) as i from pages)) where length(texto) >= 5 group by page_id, id, texto""")
 def _(spark, d):
     """S16"""
     return P.links(rows(spark, d, "pages", "page_id", "html"), "page_id", _LINK)
@@ -383,9 +383,9 @@ def _(spark, d):
 
 _OPEN = '<a[^>]*href="[^"]*/([^"/]+)[^"]*"[^>]*>'
 @query("page_records",
-       f"""select id as page_id, substr(trim(regexp_extract(html, '<title>([^<]+)</title>', 1)), 1, 200) as titulo, case when num = '' then 'DESCONOCIDO' when kind = 'DTO' then 'DECRETO' else kind end as tipo, num as numero,
- substr(regexp_extract(html, '(?i)MINISTERIO\\s+DE\\s+[A-ZÁÉÍÓÚ]+(?:\\s+[A-ZÁÉÍÓÚ,]+)*', 0), 1, 50) as organismo, array_to_string({_TAGS_SQL}, ',') as temas,
- array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '(?i){_OPEN}', 1), lambda i: length(i) > 3 and i <> cast(id as string))))[1:15], ',') as enlaces, ({_SECTOR_SQL}) as relevante
+       f"""select id as page_id, trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) as titulo, case when num = '' then 'DESCONOCIDO' when kind = 'DTO' then 'DECRETO' else kind end as tipo, num as numero,
+ regexp_extract(html, '(?i)MINISTERIO\\s+DE\\s+[A-ZÁÉÍÓÚ]+(?:\\s+[A-ZÁÉÍÓÚ,]+)*', 0) as organismo, array_to_string({_TAGS_SQL}, ',') as temas,
+ array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '(?i){_OPEN}', 1), lambda i: length(i) > 3 and i <> cast(id as string)))), ',') as enlaces, ({_SECTOR_SQL}) as relevante
  from (select page_id as id, html, lower(html) as low, upper(regexp_extract(regexp_extract(html, '<title>([^<]+)</title>', 1), '(?i)(LEY|DECRETO|DFL|DL|RESOLUCION|DTO)\\s*N?[°º]?\\s*([0-9]+)', 1)) as kind, regexp_extract(regexp_extract(html, '<title>([^<]+)</title>', 1), '(?i)(LEY|DECRETO|DFL|DL|RESOLUCION|DTO)\\s*N?[°º]?\\s*([0-9]+)', 2) as num from pages)""")
 def _(spark, d):
     """S19, S14"""

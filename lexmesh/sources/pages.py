@@ -32,40 +32,48 @@ def validate(texts: DataFrame, keep: list[str], text: str = "texto") -> DataFram
         words.cast("bigint").alias("n_palabras"), F.array_join(issues, ",").alias("problemas"), F.array_join(warnings, ",").alias("avisos"))
 
 
+def _address(target: str) -> str:
+    """An opening anchor whose address, in either kind of quotes, holds the target; group 1 is the quote, group 2 the id."""
+    inside = r"(?:(?!\1)[^>])*"
+    return rf"""<a\b[^>]*?href\s*=\s*(["']){inside}{target}{inside}\1[^>]*>"""
+
+
 def anchors(html: Column, target: str) -> Column:
-    """Array of (id, text) of all anchors whose address holds the target pattern (one group: the id)."""
-    return matches(html, rf'<a[^>]*href="[^"]*{target}[^"]*"[^>]*>([^<]*)</a>', {"id": 1, "texto": 2}, "(?i)")
+    """Array of (id, text) of all anchors whose address holds the target pattern (one group: the id); marks inside the text are dropped."""
+    found = matches(html, _address(target) + "(.*?)</a>", {"id": 2, "texto": 3}, "(?is)")
+    return F.transform(found, lambda a: F.struct(a["id"].alias("id"), F.regexp_replace(a["texto"], "<[^>]*>", "").alias("texto")))
 
 
-def links(pages: DataFrame, key: str, target: str, html: str = "html", shortest: int = 5) -> DataFrame:
-    """Distinct links by id and first fifty characters; very short texts are navigation."""
+def links(pages: DataFrame, key: str, target: str, html: str = "html", shortest: int = 5, same: int | None = None) -> DataFrame:
+    """Distinct links by id and text, or its first ``same`` characters; very short texts are navigation."""
     rows = pages.select(key, F.posexplode_outer(anchors(F.col(html), target)).alias("pos", "a")).where(F.col("a").isNotNull()).select(
         key, "pos", "a.id", strip(F.col("a.texto")).alias("texto")).where(F.length("texto") >= shortest)
-    first = rows.groupBy(key, "id", F.substring("texto", 1, 50).alias("corte")).agg(F.min_by("texto", "pos").alias("texto"))
+    first = rows.groupBy(key, "id", (F.substring("texto", 1, same) if same else F.col("texto")).alias("corte")).agg(F.min_by("texto", "pos").alias("texto"))
     return first.select(key, "id", "texto")
 
 
-def record(pages: DataFrame, key: str, target: str, html: str = "html", links_kept: int = 15) -> DataFrame:
-    """Record of a norm page: title, type and number, ministry, themes, relevance and linked ids.
+def record(pages: DataFrame, key: str, target: str, html: str = "html", links_kept: int | None = None,
+           title_chars: int | None = None, body_chars: int | None = None) -> DataFrame:
+    """Record of a norm page: title, type and number, ministry, themes, relevance and linked ids, whole unless limits are given.
 
-    The link list is kept at fifteen because the record format says so; it is sorted
-    first, so the choice does not depend on set order.
+    The link list is sorted first, so a limit does not depend on set order.
     """
     h = F.col(html)
+    cut = lambda c, n: F.substring(c, 1, n) if n else c
     title = F.trim(F.regexp_extract(h, r"<title>([^<]+)</title>", 1))
     pattern = r"(?iu)(LEY|DECRETO|DFL|DL|RESOLUCION|DTO)\s*N?[°º]?\s*(\d+)"
     kind, number = F.upper(F.regexp_extract(title, pattern, 1)), F.regexp_extract(title, pattern, 2)
-    found = F.regexp_extract_all(h, F.lit(rf'(?i)<a[^>]*href="[^"]*{target}[^"]*"[^>]*>'), F.lit(1))
+    found = F.regexp_extract_all(h, F.lit("(?i)" + _address(target)), F.lit(2))
     ids = F.array_sort(F.array_distinct(F.filter(found, lambda i: (F.length(i) > 3) & (i != F.col(key).cast("string")))))
+    body = F.regexp_extract(h, r"(?iu)MINISTERIO\s+DE\s+[A-ZÁÉÍÓÚ]+(?:\s+[A-ZÁÉÍÓÚ,]+)*", 0)
     return pages.select(
-        key, F.substring(title, 1, 200).alias("titulo"),
+        key, cut(title, title_chars).alias("titulo"),
         F.when(number == "", "DESCONOCIDO").when(kind == "DTO", "DECRETO").otherwise(kind).alias("tipo"), number.alias("numero"),
-        F.substring(F.regexp_extract(h, r"(?iu)MINISTERIO\s+DE\s+[A-ZÁÉÍÓÚ]+(?:\s+[A-ZÁÉÍÓÚ,]+)*", 0), 1, 50).alias("organismo"),
-        F.array_join(themes(h), ",").alias("temas"), F.array_join(F.slice(ids, 1, links_kept), ",").alias("enlaces"),
-        sector_relevant(h).alias("relevante"))
+        cut(body, body_chars).alias("organismo"), F.array_join(themes(h), ",").alias("temas"),
+        F.array_join(F.slice(ids, 1, links_kept) if links_kept else ids, ",").alias("enlaces"), sector_relevant(h).alias("relevante"))
 
 
-def modification_links(rows: DataFrame, keep: list[str], text: str = "texto") -> DataFrame:
+def modification_links(rows: DataFrame, keep: list[str], text: str = "texto", reference_chars: int | None = None) -> DataFrame:
     """Lines of a link text: type, number and body, article line, gazette date; unparsed ones become references."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
@@ -81,7 +89,7 @@ def modification_links(rows: DataFrame, keep: list[str], text: str = "texto") ->
         *keep, F.when(parsed, "modificada_por").otherwise("referencias").alias("lista"),
         F.when(parsed, F.upper(F.regexp_extract(first, head, 1))).alias("tipo"), F.when(parsed, number).alias("numero"),
         F.when(parsed & (body != ""), body).alias("organismo"), F.when(parsed, article).alias("articulo"),
-        F.when(parsed, gazette).alias("fecha_do"), F.when(~parsed, F.substring(text, 1, 200)).alias("referencia"))
+        F.when(parsed, gazette).alias("fecha_do"), F.when(~parsed, F.substring(text, 1, reference_chars) if reference_chars else F.col(text)).alias("referencia"))
 
 
 def consolidate(sources: list[DataFrame], key: list[str]) -> DataFrame:

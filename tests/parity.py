@@ -46,7 +46,7 @@ def compare(spark, con, folder, plan, sql):
     left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     seconds = time.time() - start
     if sql is None:
-        return True, f"rows-only {len(left[1])}", seconds
+        return False, f"no SQL; {len(left[1])} rows", seconds
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     right = rows_of(names, result.fetchall())
