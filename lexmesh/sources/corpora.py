@@ -20,16 +20,41 @@ NORM = T.StructType([
     T.StructField("titulo", _STRING), T.StructField("fecha_publicacion", _STRING), T.StructField("fecha_promulgacion", _STRING),
     T.StructField("organismo", _STRING), T.StructField("estado", _STRING), T.StructField("url", _STRING),
     T.StructField("texto_completo", _STRING), T.StructField("content_hash", _STRING),
-    T.StructField("versiones", T.ArrayType(VERSION)), T.StructField("_corrupt_record", _STRING),
+    T.StructField("versiones", T.ArrayType(VERSION)),
 ])
+#: What becomes a column of its own; every other key of a document is metadata.
+CORE = ["id_norma", "tipo", "numero", "titulo", "fecha_publicacion", "organismo", "texto_completo"]
 
 
-def norm_documents(spark: SparkSession, folder: str, subfolders: list[str] | None = None) -> DataFrame:
-    """One row per readable JSON document under the sub-folders; broken files are left out."""
-    paths = [f"{folder}/{s}/*.json" for s in (subfolders or FOLDERS)]
-    rows = spark.read.schema(NORM).option("mode", "PERMISSIVE").option("multiLine", True).option(
-        "columnNameOfCorruptRecord", "_corrupt_record").json([p for p in paths if _exists(spark, p)])
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+def norm_files(spark: SparkSession, folder: str, subfolders: list[str] | None = None, id_from_name: bool = False) -> DataFrame:
+    """One row per JSON file: archivo, legible, the fields of a norm, and ``resto``, all its keys that are no core field.
+
+    A broken file keeps its row, with ``legible`` false. With ``id_from_name`` a
+    document without an id gets its file's stem.
+    """
+    paths = [p for p in (f"{folder}/{s}/*.json" for s in (subfolders or FOLDERS)) if _exists(spark, p)]
+    if not paths:
+        whole = spark.createDataFrame([], "archivo string, value string")
+    else:
+        whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("archivo"), "value")
+    readable = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+    keys = F.from_json("value", "map<string,string>")
+    parsed = whole.select(
+        "archivo", readable.alias("legible"), F.when(readable, F.from_json("value", NORM)).alias("n"),
+        F.when(readable, F.map_filter(keys, lambda k, v: ~k.isin(CORE) & v.isNotNull())).alias("resto"))
+    rows = parsed.select("archivo", "legible", "n.*", "resto")
+    stem = F.regexp_extract("archivo", r"([^/]+)\.json$", 1)
+    return rows.withColumn("id_norma", F.when(F.col("legible"), F.coalesce("id_norma", stem))) if id_from_name else rows
+
+
+def norm_documents(spark: SparkSession, folder: str, subfolders: list[str] | None = None, id_from_name: bool = False) -> DataFrame:
+    """One row per readable JSON document under the sub-folders; ``rejected_files`` names the others."""
+    return norm_files(spark, folder, subfolders, id_from_name).where("legible").drop("archivo", "legible")
+
+
+def rejected_files(spark: SparkSession, folder: str, subfolders: list[str] | None = None) -> DataFrame:
+    """(archivo): files that are not a JSON object."""
+    return norm_files(spark, folder, subfolders).where(~F.col("legible")).select("archivo")
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
@@ -53,17 +78,13 @@ def missing_required_fields(norms: DataFrame) -> DataFrame:
 
 
 def as_norms(raw: DataFrame) -> DataFrame:
-    """Raw documents -> norms: resolved date, class, and what is left over as metadata."""
-    core = {"id_norma", "tipo", "numero", "titulo", "fecha_publicacion", "organismo", "texto_completo"}
-    rest = [c for c in raw.columns if c not in core and c != "versiones"]
-    entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in rest])
-    metadata = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())) if rest else F.create_map()
+    """Raw documents -> norms: resolved date, class, and every key that is no core field as metadata."""
     return raw.select(
         "id_norma", "tipo", "numero", "titulo",
         publication_date(F.col("fecha_publicacion"), F.coalesce("texto_completo", F.lit("")),
                          F.coalesce("versiones", F.array().cast(T.ArrayType(VERSION)))).alias("fecha"),
         F.when(F.col("organismo") != "", F.col("organismo")).alias("organismo"), norm_class(F.col("titulo")).alias("clase"),
-        F.col("texto_completo").alias("texto"), metadata.alias("metadata"))
+        F.col("texto_completo").alias("texto"), F.col("resto").alias("metadata"))
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,11 +98,10 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def alias_config(spark: SparkSession, path: str) -> DataFrame:
-    """(alias, id_norma) from the confirmed section of an alias file, lower-cased."""
-    schema = "confirmados map<string,string>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.select(F.explode("confirmados").alias("alias", "id_norma")).select(F.lower("alias").alias("alias"), "id_norma")
+def alias_config(spark: SparkSession, path: str, section: str = "confirmados") -> DataFrame:
+    """(alias, id_norma) from a section of an alias file, lower-cased: the confirmed ones, or ``por_confirmar``."""
+    rows = spark.read.schema(f"`{section}` map<string,string>").option("multiLine", True).json(path)
+    return rows.select(F.explode(section).alias("alias", "id_norma")).select(F.lower("alias").alias("alias"), "id_norma")
 
 
 def base_concepts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Structured Streaming forms of the incremental jobs.
 
-Sources are file streams, sinks are parquet folders under the shared folder;
-every query has its own checkpoint, so a restarted job goes on where it stopped.
+Sources are file streams, sinks are parquet folders. A job names its folder: the
+checkpoint and the table lie there, so the next run reads only what is new. Each
+batch is merged with the table as the batch before left it and written as a table of
+its own, so a repeated batch gives the same table and the state is one row per key.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from lexmesh.session import shared_folder
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table folder read as a file stream; the batch reader gives the schema."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
 
 
 def daily_windows(log: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -29,44 +32,47 @@ def daily_windows(log: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def daily_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Run the stream over what is there now and return the landed report.
+def _table(spark: SparkSession, run: str, before: int | None = None) -> DataFrame | None:
+    """The table after the newest batch, or after the newest one below ``before``; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{run}/table/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{run}/table/batch={max(numbers)}") if numbers else None
 
-    Each micro-batch writes the current value of its windows with the batch
-    number; the newest value of a window wins when the report is read.
-    """
-    run = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    target = f"{run}/report"
 
+def _merging(run: str, key: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch handler: rows of the batch replace those of the same key."""
     def land(batch: DataFrame, number: int) -> None:
-        # A repeated batch overwrites its own folder, so replays do not count twice.
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        old = _table(batch.sparkSession, run, number)
+        new = batch if old is None else batch.unionByName(old.join(batch.select(*key).distinct(), key, "left_anti"))
+        new.write.mode("overwrite").parquet(f"{run}/table/batch={number}")
 
-    log = _stream(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return land
+
+
+def _run(stream: DataFrame, run: str, key: list[str], mode: str) -> DataFrame | None:
     job = (
-        daily_windows(log).writeStream.outputMode("update").option("checkpointLocation", f"{run}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(land).start()
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/checkpoint")
+        .trigger(availableNow=True).foreachBatch(_merging(run, key)).start()
     )
     job.awaitTermination()
-    landed = spark.read.parquet(target)
-    newest = landed.groupBy("w", "rama").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
-    return newest.select(
-        F.date_format("w.start", "yyyy-MM-dd").alias("dia"), "rama", F.col("x.n").alias("n"), F.round("x.total", 4).alias("total"))
+    return _table(stream.sparkSession, run)
 
 
-def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream documents into a keyed table of content hashes; the newest batch wins per id."""
-    run = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    target = f"{run}/state"
+def _own(spark: SparkSession, run: str | None) -> str:
+    return run or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
-    def land(batch: DataFrame, number: int) -> None:
-        hashed = batch.select("doc_id", "lang", F.md5("text").alias("hash"))
-        hashed.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    job = (
-        _stream(spark, folder, "documents").writeStream.option("checkpointLocation", f"{run}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(land).start()
-    )
-    job.awaitTermination()
-    landed = spark.read.parquet(target)
-    return landed.groupBy("doc_id").agg(F.max_by(F.struct("lang", "hash"), "batch").alias("x")).select("doc_id", "x.lang", "x.hash")
+def daily_report(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
+    """Read what is new in the log and return the whole report; ``run`` names the job's folder, a new one if not given."""
+    log = _stream(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    table = _run(daily_windows(log), _own(spark, run), ["w", "rama"], "update")
+    return table.select(F.date_format("w.start", "yyyy-MM-dd").alias("dia"), "rama", "n", F.round("total", 4).alias("total"))
+
+
+def ingest_documents(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
+    """Stream documents into a keyed table of content hashes; of an id that arrives again the newest batch counts."""
+    arrived = _stream(spark, folder, "documents").select("doc_id", "lang", F.md5("text").alias("hash"))
+    return _run(arrived, _own(spark, run), ["doc_id"], "append").select("doc_id", "lang", "hash")

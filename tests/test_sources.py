@@ -3,8 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from lexmesh import schemas
-from lexmesh.operators import router
-from lexmesh.sources import corpora, sinks
+from lexmesh.operators import evaluation, router
+from lexmesh.sources import corpora, pages, sinks
 
 
 def write(path, content):
@@ -14,16 +14,19 @@ def write(path, content):
 
 def test_json_corpus(spark, tmp_path):
     good = {"id_norma": "1", "tipo": "LEY", "numero": "5", "titulo": "LEY 5 MODIFICA X", "fecha_publicacion": "", "organismo": "", "estado": "vigente",
-            "texto_completo": "Santiago, 3 de mayo de 1981.", "versiones": [{"id_version": "1990-01-02", "descripcion": "Texto Original"}]}
+            "texto_completo": "Santiago, 3 de mayo de 1981.", "versiones": [{"id_version": "1990-01-02", "descripcion": "Texto Original"}], "materia": "gas", "anexos": {"n": 2}}
     write(tmp_path / "leyes" / "a.json", json.dumps(good))
     write(tmp_path / "leyes" / "b.json", json.dumps({**good, "id_norma": "2", "titulo": ""}))
     write(tmp_path / "decretos" / "c.json", "{roto")
     raw = corpora.norm_documents(spark, str(tmp_path))
-    assert sorted(r["id_norma"] for r in raw.collect()) == ["1", "2"]
+    assert sorted(r["id_norma"] for r in raw.collect()) == ["1", "2"] and raw.count() == 2
+    assert [r["archivo"].rsplit("/", 1)[1] for r in corpora.rejected_files(spark, str(tmp_path)).collect()] == ["c.json"]
+    assert corpora.norm_documents(spark, str(tmp_path / "none")).count() == 0
     assert {r["campo"]: r["faltan"] for r in corpora.missing_required_fields(raw).collect()}["titulo"] == 1
     norm = corpora.as_norms(corpora.with_required_fields(raw)).collect()
     assert len(norm) == 1 and str(norm[0]["fecha"]) == "1990-01-02" and norm[0]["clase"] == "modifica"
     assert norm[0]["organismo"] is None and norm[0]["metadata"]["estado"] == "vigente"
+    assert norm[0]["metadata"]["materia"] == "gas" and json.loads(norm[0]["metadata"]["anexos"]) == {"n": 2}
 
 
 def test_text_files_and_json_lines(spark, tmp_path):
@@ -35,9 +38,10 @@ def test_text_files_and_json_lines(spark, tmp_path):
 
 
 def test_alias_file(spark, tmp_path):
-    write(tmp_path / "alias.json", json.dumps({"confirmados": {"LGSE": "10"}, "conceptos_base": {"10": {"_norma": "x", "conceptos": ["COMA", "VATT"]}}}))
+    write(tmp_path / "alias.json", json.dumps({"confirmados": {"LGSE": "10"}, "por_confirmar": {"RPC": "11"}, "conceptos_base": {"10": {"_norma": "x", "conceptos": ["COMA", "VATT"]}}}))
     path = str(tmp_path / "alias.json")
     assert [tuple(r) for r in corpora.alias_config(spark, path).collect()] == [("lgse", "10")]
+    assert [tuple(r) for r in corpora.alias_config(spark, path, "por_confirmar").collect()] == [("rpc", "11")]
     assert sorted(tuple(r) for r in corpora.base_concepts(spark, path).collect()) == [("10", "COMA"), ("10", "VATT")]
 
 
@@ -82,3 +86,19 @@ def test_router_learns_its_examples(spark):
     q = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(router.EXAMPLES)], "query_id int, text string, wanted string")
     wrong = router.route(q, model).where("branch <> wanted").count()
     assert wrong == 0
+
+
+def test_links_with_marks_inside_and_either_quotes(spark):
+    html = """<a class="x" href="https://s/n/1234?q=1">Ley <b>uno</b> larga</a> <a href='/n/777'>Otra norma</a> <a href="/n/9">no</a>
+    """ + "".join(f'<a href="/n/{5000 + i}">Norma {i} con nombre</a>' for i in range(30))
+    pages_df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = {(r["id"], r["texto"]) for r in pages.links(pages_df, "page_id", "/n/(\\d+)").collect()}
+    assert {("1234", "Ley uno larga"), ("777", "Otra norma")} <= got and len(got) == 32
+    listed = pages.record(pages_df, "page_id", "/n/(\\d+)").first()["enlaces"].split(",")
+    assert len(listed) == 31 and "1234" in listed
+
+
+def test_prompt_keeps_what_fits_whatever_the_ranks(spark):
+    rows = [("q", 1, "1", "a", "x" * 20), ("q", 40, None, "b", "y" * 20), ("q", 41, "3", "c", "z" * 500)]
+    docs = spark.createDataFrame(rows, "query_id string, rank int, numero string, id_norma string, texto string")
+    assert [r["rank"] for r in evaluation.budget(docs, 200).orderBy("rank").collect()] == [1, 40]
