@@ -2,7 +2,7 @@
 
 A term of ``n`` words can only occur where ``n`` consecutive words of the text
 spell it. Texts are cut into word n-grams of the lengths that terms really
-have, joined to the terms on the spelling, and verified on the text itself.
+have, joined to the terms on the spelling, and verified on what surrounds it.
 No text is ever compared with a term it does not contain.
 """
 
@@ -26,17 +26,25 @@ def spelled(terms: DataFrame) -> DataFrame:
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows of texts (keep..., text) joined with the terms (any columns, term) that occur in them."""
+    """Rows of texts (keep..., text) joined with the terms (any columns, term) that occur in them.
+
+    What is joined is the key, a gram and its surface: the gram's words with the signs
+    between and around them, on which a term with signs is verified. The text itself
+    stays where it was read. A term that a text spells in several ways may give several rows.
+    """
     table = spelled(terms)
     lengths = table.agg(F.array_sort(F.collect_set("n"))).scalar()
     form = texts.select(*keep, normalize_for_match(F.col("text")).alias("haystack"))
-    cut = form.withColumn("words", words_of(F.col("haystack"))).withColumn("lengths", lengths)
+    cut = form.select(*keep, words_of(F.col("haystack")).alias("words"), F.split("haystack", f"{WORD}+").alias("gaps")).withColumn("lengths", lengths)
+    led = cut.withColumn("led", F.zip_with(F.slice("gaps", 1, F.size("words")), F.col("words"), lambda g, w: F.concat(g, w)))
+    gram = lambda i, n: F.struct(
+        F.array_join(F.slice("words", i, n), " ").alias("gram"),
+        F.concat(F.array_join(F.slice("led", i, n), ""), F.element_at("gaps", i + n)).alias("surface"))
+    none = F.array().cast("array<struct<gram:string,surface:string>>")
     grams = F.flatten(F.transform("lengths", lambda n: F.when(
-        F.size("words") >= n,
-        F.transform(F.sequence(F.lit(1), F.size("words") - n + 1),
-                    lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    spread = cut.select(*keep, "haystack", F.explode_outer(F.array_distinct(grams)).alias("gram")).where(F.col("gram").isNotNull())
-    return spread.join(table, "gram").where(F.contains("haystack", F.col("form"))).drop("haystack", "gram", "n")
+        F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: gram(i, n))).otherwise(none)))
+    spread = led.select(*keep, F.explode_outer(F.array_distinct(grams)).alias("g")).where(F.col("g").isNotNull()).select(*keep, "g.*")
+    return spread.join(table, "gram").where(F.contains("surface", F.col("form"))).drop("surface", "gram", "n")
 
 
 def name_and_alias_terms(concepts: DataFrame) -> DataFrame:

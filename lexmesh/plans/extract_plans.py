@@ -161,7 +161,7 @@ def passage_terms(spark, d):
 
 _HAY = f"trim(regexp_replace({normalize_sql('text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 CONCEPT_REFS_SQL = (f"hay as (select doc_id, {normalize_sql('text')} as form, ' ' || {_HAY} || ' ' as h from documents), bt as (select concepto_id, {normalize_sql('nombre')} as nf, {normalize_sql('alias')} as af from {_BENCH_TERMS}), "
-                    "crefs as (select doc_id, concepto_id, not (contains(h, ' ' || nf || ' ') and contains(form, nf)) as by_alias from hay, bt where (contains(h, ' ' || nf || ' ') and contains(form, nf)) or (contains(h, ' ' || af || ' ') and contains(form, af)))")
+                    "crefs as (select doc_id, concepto_id, not (contains(h, ' ' || nf || ' ') and regexp_matches(form, '(^|[^\\p{L}\\p{N}_])' || nf || '($|[^\\p{L}\\p{N}_])')) as by_alias from hay, bt where (contains(h, ' ' || nf || ' ') and regexp_matches(form, '(^|[^\\p{L}\\p{N}_])' || nf || '($|[^\\p{L}\\p{N}_])')) or (contains(h, ' ' || af || ' ') and regexp_matches(form, '(^|[^\\p{L}\\p{N}_])' || af || '($|[^\\p{L}\\p{N}_])')))")
 
 
 @query("concept_references", f"with {CONCEPT_REFS_SQL} select * from crefs")

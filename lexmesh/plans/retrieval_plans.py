@@ -46,7 +46,7 @@ def asked_concepts(spark, d):
 
 _QHAY = f"trim(regexp_replace({normalize_sql('text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 _FINISH_SQL = f"""{CONCEPT_REFS_SQL}, qhay as (select item_id as query_id, {normalize_sql('text')} as form, ' ' || {_QHAY} || ' ' as h from benchmark),
- qasks as (select query_id, concepto_id, not (contains(h, ' ' || nf || ' ') and contains(form, nf)) or query_id % 2 = 0 as by_alias from qhay, bt where (contains(h, ' ' || nf || ' ') and contains(form, nf)) or (contains(h, ' ' || af || ' ') and contains(form, af))),
+ qasks as (select query_id, concepto_id, not (contains(h, ' ' || nf || ' ') and regexp_matches(form, '(^|[^\\p{{L}}\\p{{N}}_])' || nf || '($|[^\\p{{L}}\\p{{N}}_])')) or query_id % 2 = 0 as by_alias from qhay, bt where (contains(h, ' ' || nf || ' ') and regexp_matches(form, '(^|[^\\p{{L}}\\p{{N}}_])' || nf || '($|[^\\p{{L}}\\p{{N}}_])')) or (contains(h, ' ' || af || ' ') and regexp_matches(form, '(^|[^\\p{{L}}\\p{{N}}_])' || af || '($|[^\\p{{L}}\\p{{N}}_])'))),
  lk as (select c.doc_id, concepto_id, case when by_alias then 'cita' else 'define_termino' end as kind, c.doc_id % 30 + 1990 as anio, lang = 'es' as base from crefs c join documents using (doc_id)),
  facts as (select p.query_id, p.doc_id, bool_or(kind = 'define_termino' and a.by_alias) as via, max(case when kind = 'define_termino' and a.by_alias then anio end) as anio, bool_or(kind = 'define_termino' and a.by_alias and base) as base, max(case when kind = 'cita' then 1.3 end) as fo
    from reranked p join lk using (doc_id) join qasks a on a.query_id = p.query_id and a.concepto_id = lk.concepto_id group by all),
