@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.operators.fusion import top_k
 
-QUESTION_BLOCK = 2048  # vectors sent to every task at most
-CORPUS_SPLIT = 50_000  # corpus vectors per cell of the grid
+BLOCK_BYTES = 16 << 20  # question vectors sent to every task at once, as doubles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,43 +53,40 @@ def _best(ids, vectors: np.ndarray, query_ids, queries: np.ndarray, k: int) -> p
         "query_id": np.asarray(query_ids)[col], "id": np.asarray(ids)[row], "score": scores[row, col]})
 
 
+def _question_blocks(questions: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of consecutive questions, each block within ``BLOCK_BYTES``; the driver holds one at a time."""
+    ids, vectors = [], []
+    for row in questions.select("query_id", "vec").toLocalIterator():
+        ids.append(row["query_id"])
+        vectors.append(np.asarray(row["vec"], np.float64))
+        if vectors[0].nbytes * (len(vectors) + 1) > BLOCK_BYTES:
+            yield np.array(ids), _unit(pd.Series(vectors))
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids), _unit(pd.Series(vectors))
+
+
 def dense_topk(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) from corpus (id, vec) and questions (query_id, vec), both bigint ids.
 
-    Up to ``QUESTION_BLOCK`` question vectors go to every task and each Arrow
-    batch keeps its best ``k``. More questions than that are handled exactly by
-    a grid: corpus splits against question blocks, each cell a bounded group.
+    Blocks of question vectors, bounded in bytes, go to every task; each Arrow batch of the corpus
+    keeps its best ``k`` of every question. The corpus is never copied or moved: each
+    block is one more pass over it, and one question's candidates meet once at the end.
     """
     schema = "query_id bigint, id bigint, score double"
-    head = questions.select("query_id", "vec").limit(QUESTION_BLOCK + 1).toPandas()
-    if len(head) == 0:
-        return top_k(corpus.sparkSession.createDataFrame([], schema), k, "id")
-    if len(head) <= QUESTION_BLOCK:
-        queries, query_ids = _unit(head["vec"]), head["query_id"].to_numpy()
+    spark, found = corpus.sparkSession, None
+    for query_ids, queries in _question_blocks(questions):
+        shared = spark.sparkContext.broadcast((query_ids, queries))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            query_ids, queries = shared.value
             for batch in batches:
                 if len(batch):
                     yield _best(batch["id"], _unit(batch["vec"]), query_ids, queries, k)
 
-        return top_k(corpus.select("id", "vec").mapInPandas(scan, schema), k, "id")
-
-    blocks = math.ceil(questions.count() / QUESTION_BLOCK) * 2
-    splits = max(1, math.ceil(corpus.count() / CORPUS_SPLIT))
-    left = corpus.select(
-        "id", "vec", F.pmod(F.xxhash64("id"), F.lit(splits)).alias("split"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    right = questions.select(
-        "query_id", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(splits - 1).cast("bigint"))).alias("split"))
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(a["id"], _unit(a["vec"]), b["query_id"], _unit(b["qvec"]), k)
-
-    pairs = left.groupBy("split", "block").cogroup(right.groupBy("split", "block")).applyInPandas(cell, schema)
-    return top_k(pairs, k, "id")
+        part = corpus.select("id", "vec").mapInPandas(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    return top_k(spark.createDataFrame([], schema) if found is None else found, k, "id")
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:

@@ -32,13 +32,12 @@ def test_min_max_constant_is_zero(spark):
     assert rows(fusion.min_max(df, "s").select("query_id", "id", "s")) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
 
 
-def test_dense_grid_equals_broadcast(spark, monkeypatch):
+def test_dense_blocks_give_the_same_rows(spark, monkeypatch):
     rng = np.random.default_rng(3)
     corpus = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(120)] + [(500, [0.0] * 8)], "id long, vec array<double>")
     questions = spark.createDataFrame([(q, rng.normal(size=8).tolist()) for q in range(9)], "query_id long, vec array<double>")
     expected = rows(dense.dense_topk(corpus, questions, 4))
-    monkeypatch.setattr(dense, "QUESTION_BLOCK", 3)
-    monkeypatch.setattr(dense, "CORPUS_SPLIT", 40)
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 3 * 64)
     assert rows(dense.dense_topk(corpus, questions, 4)) == expected
     assert len(expected) == 36
 
