@@ -181,15 +181,17 @@ def matches(items: Items, texts: list[str | None], similarity: float) -> list[tu
     return [(t, n, e, len(items.words[n]), stop) for (t, n), (e, stop) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = 5000) -> Iterator[Items]:
-    """The items in blocks of ``size``, each small enough to be sent to every task. Repeated rows count once."""
+def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = 5000, most: int = 4 << 20) -> Iterator[Items]:
+    """The items in blocks of ``size`` rows or ``most`` characters, small enough to be sent to every task. Repeated rows count once."""
     rows = benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).where(F.col(text).isNotNull()).distinct()
     held: list[tuple] = []
+    chars = 0
     for row in rows.orderBy(key, text).toLocalIterator():
         held.append(tuple(row))
-        if len(held) == size:
+        chars += len(row[1])
+        if len(held) == size or chars >= most:
             yield Items.of(held)
-            held = []
+            held, chars = [], 0
     if held:
         yield Items.of(held)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,37 @@ NO_SOURCE = "\u0000"
 
 @dataclass
 class Phase:
-    """Windows first .. first + count - 1. ``done``: tokens of each source before it; ``quota``: a source's tokens per cycle of ``cycle`` windows; ``cuts`` (cycle + 1, sources): its tokens before each window of a cycle."""
+    """Windows first .. first + count - 1, in which the same queues are served.
+
+    ``done``: tokens of each source before it; ``quota``: a source's tokens per cycle;
+    ``owed``: the deficits it begins with; ``live``: the queues that are not empty. What a
+    cycle's windows take is worked out where it is needed, not sent.
+    """
 
     first: int
     count: int
     done: np.ndarray
     quota: np.ndarray
-    cuts: np.ndarray
+    owed: np.ndarray
+    live: np.ndarray
+    window: int
+    cycle: int
+    only: bool = False  # one window in which a queue runs empty; its quota is what it takes
+
+    @cached_property
+    def cuts(self) -> np.ndarray:
+        """(cycle + 1, sources): tokens of each source before each window of a cycle."""
+        if self.only:
+            return np.array([np.zeros_like(self.quota), self.quota])
+        return _cycle(self.owed.copy(), self.quota, self.cycle, self.window, self.live)
+
 
-    @property
-    def cycle(self) -> int:
-        return len(self.cuts) - 1
+def _cycle(owed: np.ndarray, quota: np.ndarray, cycle: int, window: int, live: np.ndarray) -> np.ndarray:
+    """The windows of one cycle while no queue runs empty; ``owed`` is updated in place."""
+    cuts, most = [np.zeros_like(quota)], np.where(live, window, 0)
+    for _ in range(cycle):
+        cuts.append(cuts[-1] + _serve(owed, quota, cycle, window, most))
+    return np.array(cuts)
 
 
 def _whole(shares: np.ndarray, total: int) -> np.ndarray:
@@ -95,10 +116,8 @@ class Schedule:
                 deficit[int(np.argmax(np.where(live, shares, -1)))] += int(deficit[~live].sum())
                 deficit[~live] = 0
             quota = _whole(np.where(live, np.maximum(shares, 1e-12), 0), window * cycle)
-            cuts, owed = [np.zeros_like(left)], deficit.copy()
-            for _ in range(cycle):
-                cuts.append(cuts[-1] + _serve(owed, quota, cycle, window, np.where(live, window, 0)))
-            table = np.array(cuts)
+            opening, owed = deficit.copy(), deficit.copy()
+            table = _cycle(owed, quota, cycle, window, live)
             repeats = table[-1] > 0
             full = int((left[repeats] // table[-1][repeats]).min()) if repeats.any() and (owed == deficit).all() else 0
             rest = left - full * table[-1]
@@ -106,14 +125,14 @@ class Schedule:
             part = int(np.argmin(fits)) - 1 if not fits.all() else cycle if full == 0 else 0
             if full or part:
                 count = full * cycle + part
-                self.phases.append(Phase(first, count, done.copy(), table[-1].copy(), table))
+                self.phases.append(Phase(first, count, done.copy(), quota, opening, live, window, cycle))
                 taken = full * table[-1] + table[part]
                 for row in range(part):
                     deficit += quota - (table[row + 1] - table[row]) * cycle
                 done, left, first = done + taken, left - taken, first + count
             if left.sum() > 0:  # the window in which a queue runs empty
                 take = _serve(deficit, quota, cycle, window, left.copy())
-                self.phases.append(Phase(first, 1, done.copy(), take.copy(), np.array([np.zeros_like(take), take])))
+                self.phases.append(Phase(first, 1, done.copy(), take.copy(), deficit, live, window, 1, only=True))
                 done, left, first = done + take, left - take, first + 1
         self.windows = first
         self._first = np.array([p.first for p in self.phases], np.int64)
@@ -138,7 +157,7 @@ class Schedule:
         at = np.searchsorted(self._done[:, source], positions, side="right") - 1
         for k in np.unique(at):
             phase, mine = self.phases[k], at == k
-            rounds, rest = np.divmod(positions[mine] - phase.done[source], phase.quota[source])
+            rounds, rest = np.divmod(positions[mine] - phase.done[source], phase.cuts[-1, source])
             out[mine] = phase.first + rounds * phase.cycle + np.searchsorted(phase.cuts[:, source], rest, side="right") - 1
         return out
 
@@ -149,7 +168,7 @@ class Schedule:
         for k in np.unique(at):
             phase, mine = self.phases[k], at == k
             rounds, row = np.divmod(windows[mine] - phase.first, phase.cycle)
-            base = phase.done[source] + rounds * phase.quota[source]
+            base = phase.done[source] + rounds * phase.cuts[-1, source]
             low[mine], high[mine] = base + phase.cuts[row, source], base + phase.cuts[row + 1, source]
             room[mine] = (phase.cuts[1:, :source] - phase.cuts[:-1, :source]).sum(axis=1)[row]
         return low, high, room
