@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.llm import gru
@@ -31,16 +31,18 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Rows without text or language teach nothing. Without any labelled row the model
     knows no language and finds every text undetermined.
     """
-    from pyspark.sql import Window
-
     rows = documents.select(F.xxhash64(key).alias("h"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     runs_of = (F.octet_length("text") / gru.RUN).cast("long")
     # The runs are cut where the text is: the driver gets `sample * per_text` runs of each language at most.
     spots = F.transform(F.sequence(F.lit(0), F.least(F.lit(per_text - 1), runs_of)), lambda i: (i * (runs_of + 1) / per_text).cast("long") * gru.RUN)
     spots = F.when(runs_of < per_text, F.transform(F.sequence(F.lit(0), F.least(F.lit(per_text - 1), runs_of)), lambda i: i.cast("long") * gru.RUN)).otherwise(spots)
+    # A row per language tells which hashes are low enough; only texts that are about to be taken move.
+    counts = documents.select(F.col(lang).cast("string").alias("lang")).where("lang is not null").groupBy("lang").count().collect()
+    bounds = [x for r in counts for x in (F.lit(r["lang"]), F.lit(int(-(1 << 63) + min(1.0, 1.2 * sample / r["count"]) * ((1 << 64) - 2048))))]
+    low = F.col("h") <= F.create_map(*bounds)[F.col("lang")] if bounds else F.lit(False)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = rows.withColumn("n", first).where(F.col("n") <= sample)
+    picked = rows.where(low).withColumn("n", first).where(F.col("n") <= sample)
     cut = picked.select("lang", "h", F.transform(spots, lambda i: F.substring(F.col("text").cast("binary"), i.cast("int") + 1, F.lit(gru.RUN))).alias("runs"))
     got = cut.orderBy("h").toArrow().to_pylist()
     languages = sorted({r["lang"] for r in got})
