@@ -40,9 +40,26 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+_SPELT: dict[tuple[str, str], str] = {}
+_SPELT_TURNS, _SPELT_CHARS = 20_000, 1 << 12
+
+
+def _spelt(turn: tuple[str, str]) -> str:
+    """A turn between its marks. Turns are remembered, as every longer prefix of a conversation asks for them again."""
+    found = _SPELT.get(turn)
+    if found is None:
+        role, text = turn
+        found = f"<s>[INST] {escape(role)} [/INST]\n{escape(text)}</s>\n"
+        if len(_SPELT) >= _SPELT_TURNS:
+            _SPELT.clear()
+        if len(found) <= _SPELT_CHARS:
+            _SPELT[turn] = found
+    return found
+
+
 def marked_turns(turns: Turns) -> str:
     """The template of the registered query: each turn between marks that no escaped text holds."""
-    return "".join(f"<s>[INST] {escape(role)} [/INST]\n{escape(text)}</s>\n" for role, text in turns)
+    return "".join(map(_spelt, turns))
 
 
 def parse(formatted: str) -> Turns:
@@ -79,9 +96,12 @@ def render(template: Template, turns: Turns, wanted: set[str]) -> Rendered:
         place = (len(now), len(now))
         if role in wanted:
             one, two = (template([*turns[:k], (role, probe)]) for probe in _PROBES)
+            if not (one.startswith(before) and two.startswith(before)):
+                return Rendered(template(turns), [], k)
+            one, two = one[len(before):], two[len(before):]  # only the new turn is compared letter by letter
             head = len(os.path.commonprefix([one, two]))
-            tail = len(os.path.commonprefix([one[:head - 1:-1], two[:head - 1:-1]])) if head else 0
-            place = (head, len(now) - tail)
+            tail = len(os.path.commonprefix([one[head:][::-1], two[head:][::-1]]))
+            place = (len(before) + head, len(now) - tail)
         spans.append((len(before), len(now), *place))
         before = now
     return Rendered(before, spans)
