@@ -3,10 +3,13 @@
 Every vector keeps a list of its nearest known ones. Lists start from blocks of vectors
 that fall on the same side of random hyperplanes, and are refined: two vectors in the
 neighbourhood of a third are compared, and enter each other's lists if they are
-nearer than what is there. Lists whose every entry is a link are saturated; such a
-vector is compared with all that its links reach, in blocks, so its list grows to
-whatever size it needs. A sample of vectors is audited against all others; while too
-many of its links are missing, lists are refined further from new hyperplanes.
+nearer than what is there. A list is a guide for the search and may be full; links are
+kept apart from it: wherever vectors are compared, a vector's links found there are all
+kept, or, where they are more than a list holds, enough of them that all they join
+stays joined. Such a vector is saturated and is compared with its whole component, in
+blocks, so its links are counted whatever their number. A sample of vectors is audited
+against all others; while too many of a vector's links are missing, lists of twice the
+size are refined from new hyperplanes, and in the end all vectors are compared.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from lexmesh.llm.components import components
 from lexmesh.session import written
 
 _BLOCK = 512
+#: Single precision tells a link from what is none only outside this distance of the threshold.
+_BAND = 1e-4
 Group = Callable[[dict[str, np.ndarray]], "tuple[np.ndarray, ...] | None"]
 
 
@@ -96,8 +101,8 @@ def _by_group(rows: DataFrame, group: str, schema: str, handle: Group, most: int
     return rows.repartition(count, group).sortWithinPartitions(group, order).mapInArrow(run, schema)
 
 
-def _seeds(nodes: DataFrame, bits: int, tables: int, seed: int, best: int) -> DataFrame:
-    """(src, dst, sim): for each table of ``bits`` hyperplanes, a vector's nearest in its block."""
+def _seeds(nodes: DataFrame, bits: int, tables: int, seed: int, best: int, size: int, threshold: float) -> DataFrame:
+    """(src, dst, sim): for each table of ``bits`` hyperplanes, a vector's nearest in its block and the links there."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -114,22 +119,62 @@ def _seeds(nodes: DataFrame, bits: int, tables: int, seed: int, best: int) -> Da
                         [pa.array(place), some.column("node"), pa.array([r.tobytes() for r in m], pa.binary())], ["block", "node", "unit"])
 
     def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
-        return _nearest(g["node"], _matrix(g["unit"], np.float32), best, None)
+        return _nearest(g["node"], _matrix(g["unit"], np.float32), best, None, size, threshold)
 
     return _by_group(nodes.mapInArrow(deal, "block long, node long, unit binary"), "block", "src long, dst long, sim float", compare, _BLOCK)
 
 
-def _nearest(node: np.ndarray, m: np.ndarray, best: int, floor: np.ndarray | None) -> tuple[np.ndarray, ...] | None:
-    """(row, other, similarity): for each row the ``best`` others, above its own floor."""
+def _nearest(node: np.ndarray, m: np.ndarray, best: int, floor: np.ndarray | None, size: int, threshold: float) -> tuple[np.ndarray, ...] | None:
+    """(row, other, similarity): for each row the ``best`` others above its own floor, and the links.
+
+    All links of a row are there if they are up to ``size`` and its list is not full of
+    links already; for other rows there are as many as keep together what links join.
+    """
     if len(node) < 2:
         return None
     sims = m @ m.T
     np.fill_diagonal(sims, -2)
-    top = np.argpartition(-sims, min(best, len(node) - 1) - 1, axis=1)[:, :best]
-    rows = np.repeat(np.arange(len(node)), top.shape[1])
-    found = sims[rows, top.ravel()]
-    kept = found > (-1.5 if floor is None else floor[rows])
-    return node[rows[kept]], node[top.ravel()[kept]], found[kept]
+    floor = np.full(len(node), -1.5, np.float32) if floor is None else floor
+    pairs = [_top(sims, np.arange(len(node)), best, floor)]
+    close = sims >= threshold - _BAND
+    degree = close.sum(axis=1)
+    if degree.any():
+        full = floor >= threshold + _BAND
+        pairs.append(_top(sims, np.flatnonzero((degree > 0) & ~full), size, np.full(len(node), threshold - _BAND - 1e-7)))
+        if ((degree > size) | full & (degree > 0)).any():
+            pairs += _forest(close, sims >= threshold + _BAND)
+    both = np.unique(np.concatenate([a * len(node) + b for a, b in pairs]))
+    a, b = both // len(node), both % len(node)
+    return node[a], node[b], sims[a, b]
+
+
+def _top(sims: np.ndarray, rows: np.ndarray, best: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``best`` columns of some rows, above each row's floor."""
+    best = min(best, len(sims) - 1)
+    top = np.argpartition(-sims[rows], best - 1, axis=1)[:, :best]
+    a, b = np.repeat(rows, best), top.ravel()
+    kept = sims[a, b] > floor[a]
+    return a[kept], b[kept]
+
+
+def _forest(close: np.ndarray, sure: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that join all that ``close`` pairs join, whichever of those that are not ``sure`` turn out to be links."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    label = np.arange(len(sure))
+    left = sure.any(axis=1)
+    while left.any():
+        edge = np.array([sure.sum(axis=1, where=left[:, None]).argmax()])
+        start = edge[0]
+        left[start] = False
+        while len(edge):
+            reached = np.flatnonzero(sure[edge].any(axis=0) & left)
+            if len(reached):
+                out.append((edge[sure[np.ix_(edge, reached)].argmax(axis=0)], reached))
+                label[reached] = start
+                left[reached] = False
+            edge = reached
+    out.append(np.nonzero(np.triu(close & ~sure & (label[:, None] != label[None, :]))))
+    return out
 
 
 def _lists(edges: DataFrame, size: int) -> DataFrame:
@@ -139,8 +184,8 @@ def _lists(edges: DataFrame, size: int) -> DataFrame:
     return written(pairs.withColumn("rank", rank).where(F.col("rank") <= size).select("src", "dst", "sim"))
 
 
-def _refined(nodes: DataFrame, lists: DataFrame, size: int) -> DataFrame:
-    """One round: all pairs within each neighbourhood are compared, and better ones enter the lists."""
+def _refined(nodes: DataFrame, lists: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(src, dst, sim) of one round: all pairs within each neighbourhood are compared; those that are better than the lists, and the links."""
     rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("sim"), "src"))
     back = lists.withColumn("rank", rank).where(F.col("rank") <= size).select(F.col("dst").alias("hub"), F.col("src").alias("node"))
     around = lists.select(F.col("src").alias("hub"), F.col("dst").alias("node")).unionByName(back).distinct()
@@ -152,10 +197,29 @@ def _refined(nodes: DataFrame, lists: DataFrame, size: int) -> DataFrame:
     def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
         sizes = np.array([len(u) for u in g["unit32"]])
         same = sizes == sizes[0]
-        return _nearest(g["node"][same], _matrix(g["unit32"][same], np.float32), 3, g["floor"][same])
+        return _nearest(g["node"][same], _matrix(g["unit32"][same], np.float32), 3, g["floor"][same], size, threshold)
+
+    return _by_group(rows, "hub", "src long, dst long, sim float", compare, _BLOCK)
+
+
+def _all_pairs(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(src, dst, sim): the links between all vectors of a dimension, compared in a grid of cells. The work grows with the square of their number."""
+    length = F.octet_length("unit32").cast("long")
+    sizes = nodes.groupBy(length.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    rows = nodes.select(length.alias("block"), "node", F.col("unit32").alias("unit")).join(written(sizes), "block")
+
+    def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        return _nearest(g["node"], _matrix(g["unit"], np.float32), 1, None, size, threshold)
+
+    return _by_group(_cells(rows), "block", "src long, dst long, sim float", compare, 8 * _BLOCK)
+
 
-    found = _by_group(rows, "hub", "src long, dst long, sim float", compare, _BLOCK)
-    return _lists(lists.unionByName(found), size)
+def _cells(rows: DataFrame) -> DataFrame:
+    """(block, node, unit) from (block, n, node, unit): a block of ``n`` rows becomes cells of two parts of _BLOCK rows each, so that every two rows meet."""
+    parts = F.ceil(F.col("n") / _BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    spread = rows.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.select(F.xxhash64("block", F.least("own", "k"), F.greatest("own", "k")).alias("block"), "node", "unit")
 
 
 def _exact(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -168,7 +232,7 @@ def _exact(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             kept = pa.array(cosine >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(kept), batch.column("v").filter(kept)], ["u", "v"])
 
-    near = edges.where(F.col("sim") >= threshold - 1e-4).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    near = edges.where(F.col("sim") >= threshold - _BAND).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     sides = near.join(nodes.select(F.col("node").alias("u"), F.col("unit").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("unit").alias("b")), "v")
     return written(sides.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
 
@@ -205,7 +269,7 @@ def _enlarged(nodes: DataFrame, roots: DataFrame, links: DataFrame, size: int, t
 
 
 def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int) -> float:
-    """The share of all links of ``sample`` vectors that the lists hold, against every vector; 1 if they have none."""
+    """The share of its links that a vector has on average, over those of ``sample`` vectors that have links at all, against every vector; 1 if none has."""
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "unit").collect()
     by_size: dict[int, list] = {}
     for r in rows:
@@ -225,8 +289,9 @@ def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(near @ some.column("copies").to_numpy())], ["node", "there"])
 
     there = nodes.select("node", "unit", "copies").mapInArrow(count, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
-    both = there.join(counts, "node", "left").agg(F.sum("there").alias("there"), F.sum(F.least("there", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return both.found / both.there if both.there else 1.0
+    share = F.least("there", F.coalesce("links", F.lit(0))) / F.col("there")
+    mean = there.where(F.col("there") > 0).join(counts, "node", "left").agg(F.avg(share).alias("mean")).first().mean
+    return 1.0 if mean is None else mean
 
 
 def linked(vectors: DataFrame, threshold: float = 0.95, size: int = 8, tables: int = 10, rounds: int = 3, target: float = 0.98,
@@ -244,21 +309,28 @@ def linked(vectors: DataFrame, threshold: float = 0.95, size: int = 8, tables: i
     nodes = _with_single(nodes)
     count = nodes.count()
     bits = max(0, (max(count, 1) // 128).bit_length())
-    lists = None
-    for attempt in range(passes):
-        fresh = _seeds(nodes.select("node", "unit"), bits, tables, attempt, 3)
-        lists = _lists(fresh if lists is None else lists.unionByName(fresh), size)
+    lists = near = None
+    for attempt in range(passes + 1):
+        whole = attempt == passes
+        if whole:
+            found = written(_all_pairs(nodes, size, threshold))
+        else:
+            found = written(_seeds(nodes.select("node", "unit"), bits, tables, attempt, 3, size << attempt, threshold))
+            lists = _lists(found if lists is None else lists.unionByName(found), size << attempt)
+        near = found if near is None else near.unionByName(found)
         mark = None
-        for _ in range(rounds):
-            lists = _refined(nodes, lists, size)
+        for _ in range(0 if whole else rounds):
+            found = written(_refined(nodes, lists, size << attempt, threshold))
+            near = near.unionByName(found)
+            lists = _lists(lists.unionByName(found), size << attempt)
             now = lists.agg(F.count(F.lit(1)).alias("n"), F.sum("sim").alias("s")).first()
             if mark is not None and now.n == mark.n and abs((now.s or 0) - (mark.s or 0)) <= 1e-4 * max(now.n, 1):
                 break
             mark = now
-        links = _exact(lists, nodes, threshold)
+        links = _exact(near, nodes, threshold)
         roots = written(components(links))
         found = _counts(nodes, links, roots, size, threshold)
-        if _audit(nodes, found, threshold, audited) >= target:
+        if whole or _audit(nodes, found, threshold, audited) >= target:
             break
     named = nodes.select("unit", "node", "copies").join(roots.withColumnRenamed("u", "node"), "node", "left").join(found, "node", "left").select(
         "unit", F.coalesce("root", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

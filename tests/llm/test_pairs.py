@@ -107,3 +107,31 @@ def test_linked_vectors_equal_brute_force(spark):
     assert [(got[n + k].n_links, got[n + k].component_id) for k in range(2, 9)] == [*((0, n + k) for k in range(2, 7)), (1, n + 7), (1, n + 7)]
     assert got[None].n_links == 0 and got[None].component_id is None
     assert neighbours.linked(df.limit(0)).count() == 0
+
+
+def test_links_between_tight_groups_are_kept(spark):
+    """Two groups whose vectors have a full list of nearer ones in their own group, and are linked with the other too."""
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    vectors = np.vstack([rng.standard_normal((6000, 32))] + [c + 0.003 * rng.standard_normal((40, 32)) for c in (a, 0.96 * a + 0.28 * b)])
+    unit = np.float32(vectors).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    assert near[6000:6040, 6040:].all() and (unit[6000:6040] @ unit[6000:6040].T).min() > (unit[6000:6040] @ unit[6040:].T).max()
+    df = spark.createDataFrame([(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    for passes in (3, 0):  # without a pass all vectors are compared
+        got = {r.vec_id: r for r in neighbours.linked(df, passes=passes).collect()}
+        assert [got[i].n_links for i in range(len(vectors))] == (near.sum(axis=1) - 1).tolist()
+        assert [got[i].component_id for i in range(len(vectors))] == roots_of(len(vectors), np.argwhere(near))
+
+
+def test_pairs_of_a_block_hold_together_what_they_join():
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 8))
+    m = np.float32(np.vstack([centres[i % 6] + 0.12 * rng.standard_normal(8) for i in range(120)]))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = roots_of(120, np.argwhere(m @ m.T >= 0.95))
+    for floor in (None, np.full(120, 0.999, np.float32)):
+        src, dst, sim = neighbours._nearest(np.arange(120), m, 3, floor, 8, 0.95)
+        kept = sim >= 0.95
+        assert roots_of(120, zip(src[kept], dst[kept])) == want and len(src) < 120 * 12
