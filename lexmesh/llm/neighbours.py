@@ -1,7 +1,8 @@
 """Near-equal embeddings by NN-descent.
 
 Every vector keeps a list of its nearest known ones. Lists start from blocks of vectors
-that fall on the same side of random hyperplanes, and are refined: two vectors in the
+that fall on the same side of random hyperplanes; a block of too many is split by the
+nearest of vectors drawn from it until it fits. Lists are refined: two vectors in the
 neighbourhood of a third are compared, and enter each other's lists if they are
 nearer than what is there. A list is a guide for the search and may be full; links are
 kept apart from it: wherever vectors are compared, a vector's links found there are all
@@ -25,6 +26,8 @@ from lexmesh.llm.components import components
 from lexmesh.session import written
 
 _BLOCK = 512
+#: A block of more than _BLOCK vectors is split by so many of its vectors, up to so many times; what is still larger is compared whole.
+_PIVOTS, _SPLITS = 8, 12
 #: Single precision tells a link from what is none only outside this distance of the threshold.
 _BAND = 1e-4
 Group = Callable[[dict[str, np.ndarray]], "tuple[np.ndarray, ...] | None"]
@@ -58,7 +61,7 @@ def _matrix(column: pa.Array | np.ndarray, kind: type = np.float64) -> np.ndarra
 
 
 def _by_group(rows: DataFrame, group: str, schema: str, handle: Group, most: int, order: str = "node") -> DataFrame:
-    """Apply ``handle`` to the rows of each group, ``most`` of them at a time; a group of more is handled in consecutive parts."""
+    """Apply ``handle`` to the rows of each group. Groups hold up to ``most`` rows; one of more would be handled in consecutive parts."""
     names = rows.columns
     fields = [f.split()[0] for f in schema.split(", ")]
 
@@ -121,7 +124,44 @@ def _seeds(nodes: DataFrame, bits: int, tables: int, seed: int, best: int, size:
     def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
         return _nearest(g["node"], _matrix(g["unit"], np.float32), best, None, size, threshold)
 
-    return _by_group(nodes.mapInArrow(deal, "block long, node long, unit binary"), "block", "src long, dst long, sim float", compare, _BLOCK)
+    dealt = written(nodes.mapInArrow(deal, "block long, node long, unit binary"))
+    return _by_group(_fitted(dealt, seed), "block", "src long, dst long, sim float", compare, 8 * _BLOCK)
+
+
+def _fitted(dealt: DataFrame, seed: int, splits: int = _SPLITS) -> DataFrame:
+    """(block, node, unit): blocks of more than _BLOCK rows are split, or dealt into cells if that does not make them fit."""
+    out: DataFrame | None = None
+    for level in range(splits + 1):
+        sizes = written(dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _BLOCK))
+        if not sizes.limit(1).count():
+            return dealt if out is None else out.unionByName(dealt)
+        small = dealt.join(sizes, "block", "left_anti")
+        out = small if out is None else out.unionByName(small)
+        large = dealt.join(sizes, "block")
+        if level == splits:
+            return out.unionByName(_cells(large))
+        dealt = written(_split(large, [seed, level]))
+    raise AssertionError
+
+
+def _split(large: DataFrame, seed: list[int]) -> DataFrame:
+    """Rows go to a block for the pivot nearest to them; pivots are vectors of the block, other ones for each table, pass and level."""
+    pivots = large.groupBy("block").agg(F.array(*(
+        F.min_by("unit", F.xxhash64("node", "block", *map(F.lit, [*seed, k]))) for k in range(_PIVOTS))).alias("pivots"))
+    rows = large.select("block", "node", "unit").join(written(pivots), "block")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            side = np.zeros(batch.num_rows, np.int64)
+            units, pivot = batch.column("unit").to_pylist(), batch.column("pivots")
+            for block in np.unique(blocks):
+                some = np.flatnonzero(blocks == block)
+                side[some] = (_matrix([units[i] for i in some], np.float32) @ _matrix(pivot[int(some[0])].as_py(), np.float32).T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("node"), batch.column("unit"), pa.array(side)], ["block", "node", "unit", "side"])
+
+    found = rows.mapInArrow(nearest, "block long, node long, unit binary, side long")
+    return found.select(F.xxhash64("block", "side").alias("block"), "node", "unit")
 
 
 def _nearest(node: np.ndarray, m: np.ndarray, best: int, floor: np.ndarray | None, size: int, threshold: float) -> tuple[np.ndarray, ...] | None:

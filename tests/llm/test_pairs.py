@@ -135,3 +135,22 @@ def test_pairs_of_a_block_hold_together_what_they_join():
         src, dst, sim = neighbours._nearest(np.arange(120), m, 3, floor, 8, 0.95)
         kept = sim >= 0.95
         assert roots_of(120, zip(src[kept], dst[kept])) == want and len(src) < 120 * 12
+
+
+def test_large_blocks_lose_no_pairs(spark):
+    """Links between distant ids in a cone that falls into one block; what is not split is compared whole."""
+    rng = np.random.default_rng(10)
+    m = rng.standard_normal(32) + 0.6 * rng.standard_normal((3000, 32))
+    m[1500:] = m[:1500] + 0.16 * rng.standard_normal((1500, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.float32(m)
+    want = {(i, i + 1500) for i in range(1500) if m[i] @ m[i + 1500] >= 0.95}
+    dealt = spark.createDataFrame([(0, i, bytearray(v.tobytes())) for i, v in enumerate(m)], "block long, node long, unit binary")
+    found = []
+    for seed, splits in ((0, 12), (1, 12), (0, 0)):
+        blocks = {}
+        for r in neighbours._fitted(dealt, seed, splits).collect():
+            blocks.setdefault(r.block, set()).add(r.node)
+        assert set.union(*blocks.values()) == set(range(3000)) and max(map(len, blocks.values())) <= (512 if splits else 2048)
+        found.append({p for p in want for b in blocks.values() if b.issuperset(p)})
+    assert len(want) > 1000 and len(found[0]) > len(want) / 2 and len(found[0] | found[1]) > len(found[0]) and found[2] == want
