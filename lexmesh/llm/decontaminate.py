@@ -6,7 +6,10 @@ whether to go on to the next one. Two texts that differ by few edits are so mapp
 to sequences that differ at few steps. A key is a sample of steps of one walk;
 several walks, each with its own hash and sample, give every item several keys from
 each of its words, and a document's key that an item has is a candidate. A walk
-reads only as far as an item reaches, so windows are of the items' own size. Each
+reads only as far as an item reaches, so windows are of the items' own size. How many
+walks, and how many levels of shorter ones besides, an item needs is found from its
+length by simulated edits: the first repetitions that find the target share of copies
+with all edits allowed. Each
 candidate is verified by the exact edit distance between the item and the best
 stretch of the document around it.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,11 @@ from lexmesh.llm.common import slices
 
 #: Steps of a walk and how many of them a key samples, from the longest; an item uses the first it is long enough for.
 LEVELS = ((24, 6), (12, 4), (6, 3), (2, 2))
-WALKS = 4
+#: (walks, shorter levels besides) in the order in which they are tried.
+REPETITIONS = ((4, 0), (4, 1), (4, 2), (4, 3), (8, 2), (8, 3), (16, 3), (32, 3))
+TARGET = 0.99
+#: Longer items are served as those of so many words, which are found more surely the longer they are.
+_SIMULATED = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FILTER_BITS = 20
@@ -86,6 +94,46 @@ def _keys(words: np.ndarray, walk: int, levels: list[int]) -> tuple[dict[int, np
     return {k: _mix(v) for k, v in keys.items()}, ends
 
 
+def recall(size: int, similarity: float, walks: int, shorter: int, trials: int = 600, seed: int = 0) -> float:
+    """The share of simulated copies of items of ``size`` distinct words, with all edits allowed at random places, that share a key with their item."""
+    rng = np.random.default_rng([seed, size])
+    pad, allowed = LEVELS[0][0], int((1 - similarity) * size + 1e-9)
+    fresh = lambda n: rng.integers(1, 1 << 63, n, np.uint64)
+    items = np.zeros((trials, size + pad), np.uint64)
+    items[:, :size] = fresh((trials, size))
+    copies = []
+    for item in items[:, :size]:
+        words = item.tolist()
+        for new, where, kind in zip(fresh(allowed).tolist(), rng.random(allowed), rng.integers(0, 3, allowed)):
+            at = int(where * len(words))
+            words[at:at + 1] = [[new], [], [*words[at:at + 1], new]][kind]
+        copies.append(np.concatenate([fresh(pad), np.array(words, np.uint64), fresh(pad)]))
+    trial, tags = np.repeat(np.arange(trials), [len(c) for c in copies]), _mix(fresh(trials))
+    texts, levels, hit = np.concatenate(copies), list(range(len(LEVELS))), np.zeros(trials, bool)
+    for walk in range(walks):
+        keys, ends = _keys(items.ravel(), walk, levels)
+        there, _ = _keys(texts, walk, levels)
+        first = np.full(trials, -1)
+        for level in levels:
+            whole = (ends[level].reshape(trials, -1) - np.arange(trials)[:, None] * (size + pad))[:, :size] < size
+            serves = (whole.sum(axis=1) * 3 >= size) & whole[:, 0] if level < levels[-1] else np.ones(trials, bool)
+            first = np.where((first < 0) & serves, level, first)
+            if size == 1 and level == levels[-1]:
+                whole[:] = True
+            row, at = np.nonzero(whole & ((first >= 0) & (level <= first + shorter))[:, None])
+            hit[row[np.isin(keys[level].reshape(trials, -1)[row, at] ^ tags[row], there[level] ^ tags[trial])]] = True
+    return float(hit.mean())
+
+
+@lru_cache(maxsize=4096)
+def repetitions(size: int, similarity: float, target: float) -> tuple[int, int]:
+    """(walks, shorter levels besides) by which the target share of copies of items of ``size`` words is found."""
+    for walks, shorter in REPETITIONS:
+        if recall(size, similarity, walks, shorter) >= target:
+            return walks, shorter
+    raise ValueError(f"no repetitions find {target} of the copies of items of {size} words at similarity {similarity}")
+
+
 @dataclass
 class Items:
     """A block of items with the keys of their walks: sorted keys, and for each its item and offset."""
@@ -96,23 +144,26 @@ class Items:
     filters: dict[tuple[int, int], np.ndarray]
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
+    def of(cls, rows: list[tuple], similarity: float = 0.8, target: float = TARGET) -> Items:
         """From (id, text) rows; an item without words has no passage and is never found."""
         kept = [(i, symbols([t])[0]) for i, t in rows]
         kept = [(i, w) for i, w in kept if len(w)]
         found: dict[tuple[int, int], list] = {}
         for n, (_, words) in enumerate(kept):
-            for walk in range(WALKS):
+            walks, shorter = repetitions(min(len(words), _SIMULATED), similarity, target)
+            for walk in range(walks):
+                first = None
                 padded = np.concatenate([words, np.zeros(LEVELS[0][0], np.uint64)])
                 keys, ends = _keys(padded, walk, list(range(len(LEVELS))))
                 for level in range(len(LEVELS)):
                     whole = np.flatnonzero(ends[level][:len(words)] < len(words))
                     # A level serves an item if walks from a third of its words, and from its first word, end inside it.
-                    if len(whole) * 3 >= len(words) and (whole[:1] == 0).any() or level == len(LEVELS) - 1:
+                    if first is None and (len(whole) * 3 >= len(words) and (whole[:1] == 0).any() or level == len(LEVELS) - 1):
+                        first = level
+                    if first is not None and level <= first + shorter:
                         if not len(whole):  # a single word: the walk stays on it
                             whole = np.zeros(1, np.int64)
                         found.setdefault((walk, level), []).append((keys[level][whole], np.full(len(whole), n), whole))
-                        break
         tables, filters = {}, {}
         for place, parts in found.items():
             key, item, offset = (np.concatenate(x) for x in zip(*parts))
@@ -125,7 +176,7 @@ class Items:
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Distinct (item, word at which the item would begin) rows; the beginning may lie before the first word."""
         out = [np.empty((0, 2), np.int64)]
-        for walk in range(WALKS):
+        for walk in sorted({w for w, _ in self.tables}):
             levels = sorted(level for w, level in self.tables if w == walk)
             if not levels or not len(words):
                 continue
@@ -181,7 +232,8 @@ def matches(items: Items, texts: list[str | None], similarity: float) -> list[tu
     return [(t, n, e, len(items.words[n]), stop) for (t, n), (e, stop) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = 5000, most: int = 4 << 20) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, similarity: float = 0.8, target: float = TARGET, key: str = "item_id", text: str = "text", size: int = 5000,
+           most: int = 4 << 20) -> Iterator[Items]:
     """The items in blocks of ``size`` rows or ``most`` characters, small enough to be sent to every task. Repeated rows count once."""
     rows = benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).where(F.col(text).isNotNull()).distinct()
     held: list[tuple] = []
@@ -190,13 +242,14 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", size:
         held.append(tuple(row))
         chars += len(row[1])
         if len(held) == size or chars >= most:
-            yield Items.of(held)
+            yield Items.of(held, similarity, target)
             held, chars = [], 0
     if held:
-        yield Items.of(held)
+        yield Items.of(held, similarity, target)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text",
+          target: float = TARGET) -> DataFrame:
     """(key, item_id, edits, item_words, end_word): items of which a document holds a stretch within ``1 - similarity`` edits a word.
 
     ``end_word`` is the number of the document's words up to the stretch's end. One pass
@@ -209,7 +262,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, k
     schema = f"key {kind}, item_id long, edits int, item_words int, end_word long"
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, similarity, target):
         shared = spark.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -225,10 +278,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, k
     return out.withColumnRenamed("key", key)
 
 
-def keep(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text") -> DataFrame:
+def keep(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text", target: float = TARGET) -> DataFrame:
     """The rows, with all their columns, that hold no item. Whole rows pass through, so nothing is joined by key."""
     spark, out = documents.sparkSession, documents
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, similarity, target):
         shared = spark.sparkContext.broadcast(items)
 
         def passing(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -180,3 +180,19 @@ def test_leaks_equal_brute_force(spark, odd):
     assert clean.columns == documents.columns and {r.doc_id for r in clean.collect()} == {*range(60), 100, 101} - {d for d, _ in got}
     assert decontaminate.leaks(documents.limit(0), benchmark).count() == 0 and decontaminate.leaks(documents, benchmark.limit(0)).count() == 0
     assert decontaminate.leaks(odd, benchmark).count() >= 0
+
+
+def test_copies_with_all_edits_are_found_at_every_length():
+    """Other words and edits than those by which the repetitions are found."""
+    rng = np.random.default_rng(11)
+    for size in (12, 13, 15, 16, 17, 20, 25, 30, 45):
+        items, texts = [], []
+        for i in range(200):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, size)]
+            items.append((i, " ".join(words)))
+            for _ in range(int(0.2 * size)):
+                at = int(rng.integers(0, len(words)))
+                words[at:at + 1] = [["new"], [], [words[at], "more"]][int(rng.integers(0, 3))]
+            texts.append(" ".join(["before"] * 9 + words + ["after"] * 9))
+        found = {(t, n) for t, n, *_ in decontaminate.matches(decontaminate.Items.of(items), texts, 0.8)}
+        assert found == {(i, i) for i, _ in found} and len(found) >= 0.98 * len(items), (size, len(found))
