@@ -237,7 +237,7 @@ def _(spark, d):
  select query_id, id_norma, mejor, articulos, round(cast(boost as double), 1) as boost, case when boost >= 2 then 'define concepto' when boost > 1 then 'referencia a definitoria' else '' end as razon,
  row_number() over (partition by query_id order by case when boost >= 2 then 0 when boost > 1 then 4 else 5 end, mejor desc, id_norma) as orden from f where mb <= 1 or boost > 1""")
 def _(spark, d):
-    """Threshold, boost, group by norm, keep boosted norms when there are any, order by reason and score"""
+    """Parts of Q30, A25, K4: threshold, boost, group by norm, keep boosted norms when there are any, order by reason and score"""
     from lexmesh.plans.retrieval import compliance
     lines = table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
     scored = lines.groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").cast("string").alias("id_norma"), F.col("l_linenumber").alias("numero")).agg(

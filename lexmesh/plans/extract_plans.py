@@ -113,7 +113,7 @@ _PRE = X.PREFIXED.replace("{{", "{").replace("}}", "}")
        f"""with m as (select id_norma, unnest(regexp_extract_all(texto, '(?m){_PRE}', 1)) as nombre, unnest(regexp_extract_all(texto, '(?m){_PRE}', 2)) as definicion, generate_subscripts(regexp_extract_all(texto, '(?m){_PRE}', 1), 1) as i from ({_TEXTS}))
  select id_norma, trim(regexp_replace(nombre, '\\s+', ' ', 'g')) as nombre, first(trim(definicion) order by i) as definicion from m where not regexp_matches(nombre, '(?i)^(Artículo|Decreto|Ley)') group by 1, 2""")
 def _(spark, d):
-    """E8, S7"""
+    """E8"""
     return X.glossary_concepts(texts(spark, d), ["id_norma"])
 
 
@@ -173,7 +173,7 @@ def _(spark, d):
 
 @query("missing_concept_edges", f"with {CONCEPT_REFS_SQL} select doc_id, concepto_id from crefs where by_alias and doc_id not in (select doc_id from labels where quality = 1)")
 def _(spark, d):
-    """Edges only the alias reaches, for documents not yet covered"""
+    """Edges only the alias reaches, for documents not yet covered"""
     docs = rows(spark, d, "documents", "doc_id", "text")
     covered = table(spark, d, "labels", "doc_id", "quality").where(F.col("quality") == 1).select("doc_id")
     refs = terms.concepts_in(docs, passage_terms(spark, d), ["doc_id"]).where("by_alias")

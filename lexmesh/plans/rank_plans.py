@@ -125,7 +125,7 @@ def rrf_sql(names: list[str], weights: list[str] | None = None, key: str = "doc_
 @query("two_list_rrf_titles",
        f"with {_LITE_SQL}, {_SPARSE_SQL}, {_CUT.format(n='lite', k=100)}, {_CUT.format(n='sparse', k=100)}, fused as ({rrf_sql(['lite_r', 'sparse_r'])}) select * from fused where rank <= 10")
 def _(spark, d):
-    """Reciprocal rank fusion of lexical and sparse title rankings"""
+    """Reciprocal rank fusion of lexical and sparse title rankings"""
     lists = [fusion.top_k(_lite(spark, d), 100, "doc_id"), fusion.top_k(_sparse(spark, d), 100, "doc_id")]
     return _out(fusion.rrf(lists, "doc_id").where(F.col("rank") <= 10))
 
