@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmesh.llm import addressable, brown, chat, common, decontaminate, language, neighbours, packing, rules, simhash, token_counts
+from lexmesh.llm import (addressable, bag_search, brown, chat, common, decontaminate, language, lr_repair, neighbours, packing, rules, simhash,
+                         token_counts, weak_rules)
 from lexmesh.session import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +91,37 @@ def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.linked(common.read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@_query
+def op11_lr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return lr_repair.report(rows, lr_repair.damaged(rows))
+
+
+@_query
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.ranked(common.read(spark, sf_dir, "documents", "doc_id", "text"), common.read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLES["op12_bag_search"] = r"""
+WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+listed AS (SELECT doc_id, regexp_extract_all(translate(text, up, low), p) AS words FROM documents, pattern WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, len(words) AS n FROM listed WHERE len(words) > 0),
+whole AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sized),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(words) AS term FROM listed) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, up, low), p)) AS term FROM benchmark, pattern WHERE text IS NOT NULL) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY term),
+scores AS (SELECT item_id, t.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN tfs t USING (term) JOIN weights USING (term) JOIN sized s ON s.doc_id = t.doc_id, whole GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+"""
+
+
+@_query
+def op13_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = written(weak_rules.voted(weak_rules.counted(common.read(spark, sf_dir, "documents", "doc_id", "text"))))
+    found = weak_rules.judged(table, weak_rules.learn(table))
+    return found.select(F.col("key").alias("doc_id"), *weak_rules.COUNTS, "base_failed", "kept", "posterior")
