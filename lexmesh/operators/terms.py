@@ -1,9 +1,10 @@
-"""Whole-term matching of many texts against many terms, as an equi-join.
+"""Whole-term matching of many texts against many terms.
 
-A term of ``n`` words can only occur where ``n`` consecutive words of the text
-spell it. Texts are cut into word n-grams of the lengths that terms really
-have, joined to the terms on the spelling, and verified on what surrounds it.
-No text is ever compared with a term it does not contain.
+Terms up to a bound go to the tasks as one automaton, and each text is walked once.
+Beyond it texts and terms are joined: a term of ``n`` words can only occur where ``n``
+consecutive words of the text spell it, so texts are cut into word n-grams of the
+lengths that terms really have, joined to the terms on the spelling, and verified on
+what surrounds it. No text is ever compared with a term it does not contain.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.functions.text import WORD, normalize_for_match, squeeze
+from lexmesh.functions.text import WORD, normalize_for_match
+from lexmesh.operators.spans import occurrences
+
+#: Bytes of terms that are sent to tasks; more are joined.
+SENT_BYTES = 16 << 20
 
 
 def words_of(form: Column) -> Column:
@@ -25,16 +30,23 @@ def spelled(terms: DataFrame) -> DataFrame:
     return listed.withColumn("gram", F.array_join("words", " ")).withColumn("n", F.size("words")).drop("words").where(F.col("n") > 0)
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows of texts (keep..., text) joined with the terms (any columns, term) that occur in them.
+def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str], sent: int = SENT_BYTES) -> DataFrame:
+    """Rows of texts (keep..., text) joined with the terms (any columns, term) that occur in them, in canonical spelling.
 
-    What is joined is the key, a gram and its surface: the gram's words with the signs
-    between and around them, on which a term with signs is verified. The text itself
-    stays where it was read. A term that a text spells in several ways may give several rows.
+    A term counts where no letter, digit or underscore stands beside it. The texts stay where they were read.
     """
-    table = spelled(terms)
-    lengths = table.agg(F.array_sort(F.collect_set("n"))).scalar()
+    table = spelled(terms).drop("gram", "n")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("form")), F.lit(0)).alias("bytes")).first().bytes
     form = texts.select(*keep, normalize_for_match(F.col("text")).alias("haystack"))
+    if size > sent:
+        return _by_grams(form, spelled(terms), keep)
+    hits = occurrences(form, table, keep, "haystack", "words")
+    return hits.select(*keep, "form").join(table, "form")
+
+
+def _by_grams(form: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+    """The same by an equi-join on word n-grams; what is joined is a gram and its surface, the gram with the signs between and around its words."""
+    lengths = table.agg(F.array_sort(F.collect_set("n"))).scalar()
     cut = form.select(*keep, words_of(F.col("haystack")).alias("words"), F.split("haystack", f"{WORD}+").alias("gaps")).withColumn("lengths", lengths)
     led = cut.withColumn("led", F.zip_with(F.slice("gaps", 1, F.size("words")), F.col("words"), lambda g, w: F.concat(g, w)))
     gram = lambda i, n: F.struct(
@@ -43,8 +55,9 @@ def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame
     none = F.array().cast("array<struct<gram:string,surface:string>>")
     grams = F.flatten(F.transform("lengths", lambda n: F.when(
         F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: gram(i, n))).otherwise(none)))
-    spread = led.select(*keep, F.explode_outer(F.array_distinct(grams)).alias("g")).where(F.col("g").isNotNull()).select(*keep, "g.*")
-    return spread.join(table, "gram").where(F.contains("surface", F.col("form"))).drop("surface", "gram", "n")
+    spread = led.select(*keep, F.explode_outer(grams).alias("g")).where(F.col("g").isNotNull()).select(*keep, "g.*")
+    hits = spread.join(table, "gram").where(F.contains("surface", F.col("form"))).drop("surface", "gram", "n")
+    return hits.dropDuplicates([*keep, *(c for c in table.columns if c not in ("gram", "n") and not c.startswith("_"))])
 
 
 def name_and_alias_terms(concepts: DataFrame) -> DataFrame:
