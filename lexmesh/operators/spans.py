@@ -8,6 +8,7 @@ context can be cut from it and spans can be compared with other spans.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -112,3 +113,47 @@ def occurrences(texts: DataFrame, forms: DataFrame, keep: list[str], text: str =
 
         out = out.unionByName(rows.mapInArrow(walk, schema))
     return out
+
+
+def matched(texts: DataFrame, patterns: dict[str, str], keep: list[str], text: str = "text", margin: int = 50) -> DataFrame:
+    """(keep..., kind, start, end, groups array<string>, context): every match of every pattern, case apart, in whole texts.
+
+    ``kind`` names the pattern; ``groups`` are its groups, null where one took no part; places count
+    from 0; ``context`` is the match with ``margin`` signs on both sides. Null texts hold nothing.
+    """
+    rows = texts.select(*keep, F.col(text).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(name, re.compile(p, re.IGNORECASE)) for name, p in patterns.items()]
+        for batch in batches:
+            index, found = [], []
+            said = batch.column(batch.num_columns - 1)
+            for i in range(batch.num_rows):
+                whole = said[i].as_py() or ""
+                for name, pattern in compiled:
+                    for m in pattern.finditer(whole):
+                        index.append(i)
+                        found.append((name, m.start(), m.end(), list(m.groups()), whole[max(0, m.start() - margin):m.end() + margin]))
+            if found:
+                at = pa.array(index, pa.int64())
+                columns = [batch.column(k).take(at) for k in range(batch.num_columns - 1)]
+                types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(x, t) for x, t in zip(zip(*found), types)], [*keep, "kind", "start", "end", "groups", "context"])
+
+    return rows.mapInArrow(find, f"{kinds}, kind string, start long, end long, groups array<string>, context string")
+
+
+def following(left: DataFrame, right: DataFrame, keep: list[str], reach: int) -> DataFrame:
+    """Each row of ``left`` (keep..., start, ...) with the first of ``right`` (keep..., start, end, ...) that lies within ``reach`` signs from its start.
+
+    Columns of the right side but ``keep`` become one struct, ``next``; rows without one go. Both sides
+    meet in stretches of ``reach`` signs, a left row in its own and in the next, so the join is one on equal
+    keys and no text's matches are all paired.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    near = left.withColumn("_cell", F.explode(F.array(cell("start"), cell("start") + 1)))
+    there = right.select(*keep, F.struct(*(c for c in right.columns if c not in keep)).alias("next"), cell("start").alias("_cell"))
+    pairs = near.join(there, [*keep, "_cell"]).where((F.col("next.start") >= F.col("start")) & (F.col("next.end") <= F.col("start") + reach))
+    own = [c for c in left.columns if c not in keep]
+    return pairs.groupBy(*keep, *own).agg(F.min_by("next", F.struct("next.start", "next.end")).alias("next"))

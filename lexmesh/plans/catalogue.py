@@ -7,7 +7,7 @@ from importlib import import_module
 from lexmesh.plans import register
 
 FAMILIES = ["text_plans", "rank_plans", "graph_plans", "concept_plans", "extract_plans", "catalog_plans",
-            "evaluation_plans", "change_plans", "retrieval_plans"]
+            "evaluation_plans", "change_plans", "retrieval_plans", "mention_plans"]
 
 
 def _load() -> None:
