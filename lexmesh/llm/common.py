@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -25,6 +26,17 @@ def held_out(key: str, n: int, rest: int) -> Column:
     return F.coalesce(remainder(key, n) == rest, F.lit(False))
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker keeps under a name between tasks. It keeps one thing: workers are used again by other operators, whose things go."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows whose texts hold about ``most`` bytes, so that a task's memory is bounded by it and the longest text."""
     for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.llm.common import slices
-from lexmesh.llm.piece_encoder import encoder
+from lexmesh.llm.piece_encoder import encoder, id_type
 from lexmesh.session import written
 
 NO_SOURCE = "\u0000"
@@ -180,10 +180,15 @@ def _encoded(documents: DataFrame, tokenizer: str, end_id: int, key: str, text:
         ids_of, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in slices(batches, "text"):
             ids, sizes = ids_of.encode_ended(batch.column("text").to_pylist(), end_id)
+            named = batch.column("source").dictionary_encode()
+            source, names = named.indices.to_numpy(), named.dictionary.to_pylist()
+            order = np.argsort(source, kind="stable")
+            ends, first = np.cumsum(sizes[order]), np.searchsorted(source[order], np.arange(len(names)))
+            start = ends - sizes[order]
             before = np.empty(len(sizes), np.int64)
-            for i, name in enumerate(batch.column("source").to_pylist()):
-                before[i] = seen.get(name, 0)
-                seen[name] = int(before[i] + sizes[i])
+            before[order] = start - start[first][source[order]] + np.array([seen.get(n, 0) for n in names], np.int64)[source[order]]
+            for name, total in zip(names, np.bincount(source, sizes, len(names)).astype(np.int64).tolist()):
+                seen[name] = seen.get(name, 0) + total
             cuts = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * ids.itemsize)
             packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, cuts, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +220,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 1024, end_id: int =
     aims = totals.astype(float) if shares is None else np.array([float(shares.get(n, 0.0)) for n in names])
     schedule = Schedule(totals, aims, window, cycle)
     number = {n: i for i, n in enumerate(names)}
-    width = encoder(tokenizer).id_type
+    width = id_type(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids"):

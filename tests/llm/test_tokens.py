@@ -32,7 +32,7 @@ def test_counts_equal_the_library_on_random_texts():
 
 def test_pieces_equal_the_library_on_random_texts(tokenizer):
     texts = random_texts(4000)
-    encoder = PieceEncoder(tokenizer, capacity=500)
+    encoder = PieceEncoder(tokenizer, most=60_000)
     got = []
     for at in range(0, len(texts), 250):
         ids, sizes = encoder.encode(texts[at:at + 250])
