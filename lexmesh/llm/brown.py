@@ -1,13 +1,15 @@
 """Class-based bigrams: words are exchanged between classes until the corpus is likeliest.
 
 P(word | word before) = P(class | class before) * P(word | class). The most frequent
-words get their classes by exchange clustering of their bigram counts; all others
+words form the classes by exchange clustering of their bigram counts; every further frequent word
+then goes, by the same gain, to the class that makes the corpus likeliest, for which its neighbours' classes
+are counted on Spark. Rare words
 belong to a class by their shape (a sign at the end, the length in bytes), where each
 has its own count from the whole corpus, and a word never seen counts as one more
 word. The end of a document is a class of its own, and also stands before its start.
 
 Counts cover all training texts. What tasks and driver hold is bounded by parameters:
-``CLASSED`` words have exchanged classes, up to ``SHIPPED`` frequent words are sent to
+``CLASSED`` words form classes, up to ``SHIPPED`` frequent words have one and are sent to
 every task with their counts, none longer than ``LONGEST`` bytes. Any other word is
 looked up by a join with the whole vocabulary. Such words are rare, or so long that
 they are few; adaptive execution splits a key that is hot all the same.
@@ -15,8 +17,9 @@ they are few; adaptive execution splits a key that is hot all the same.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import slices
+from lexmesh.llm.common import held, slices
 from lexmesh.session import written
 
 CLASSED, CLASSES, SHIPPED, LONGEST = 2048, 64, 65_536, 256
@@ -74,62 +77,132 @@ def frequent(words: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
     """(word, shape, n) of the most frequent words, at most ``most`` of up to ``LONGEST`` bytes, most frequent first; the end is left out.
 
     A histogram of counts by logarithm, bounded whatever the corpus, tells from which
-    count on the words are few enough.
+    count on the words are few enough; of the next step those of least hash fill what is left.
     """
     own = words.where(F.octet_length("word").between(1, LONGEST))
     steps = own.groupBy(F.floor(F.log("n") * 256).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
-    floor, total = None, 0
+    wanted, total = F.lit(False), 0
     for row in sorted(steps, key=lambda r: -r.step):
-        total += row.words
-        if total > most:
+        if total + row.words > most:
+            share = (most - total) / row.words
+            wanted = wanted | ((F.col("n") >= row.least) & (F.xxhash64("word") <= int(-(1 << 63) + share * ((1 << 64) - 2048))))
             break
-        floor = row.least
-    if floor is None:
-        return []
-    found = own.where(F.col("n") >= floor).toArrow().to_pylist()
-    return sorted(((r["word"], r["shape"], r["n"]) for r in found), key=lambda r: (-r[2], r[0]))
+        wanted, total = F.col("n") >= row.least, total + row.words
+    found = own.where(wanted).toArrow().to_pylist()
+    return sorted(((r["word"], r["shape"], r["n"]) for r in found), key=lambda r: (-r[2], r[0]))[:most]
 
 
 def bigrams(documents: DataFrame, classed: list[bytes], text: str = "text") -> np.ndarray:
     """Counts (symbols, symbols) of neighbours; symbols are the classed words, then the shapes, then the end."""
-    number = {w: i for i, w in enumerate(classed)}
-    base = len(classed)
-    size = base + SHAPES + 1
-    shared = documents.sparkSession.sparkContext.broadcast(number)
+    size = len(classed) + SHAPES + 1
+    found = _pairs(documents, text, classed, size, lambda s: s[:-1] * size + s[1:]).toArrow()
+    out = np.zeros(size * size)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def _symbols(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], first_shape: int, end: int) -> Iterator[np.ndarray]:
+    """The words of whole texts as numbers, ends between them: their own, or ``first_shape`` on by shape."""
+    for batch in slices(batches, "text"):
+        found = [end]
+        for t in batch.column("text").to_pylist():
+            for w in words_of(t):
+                k = number.get(w)
+                found.append(first_shape + shape(w) if k is None else k)
+            found.append(end)
+        yield np.array(found, np.int64)
+
+
+def _pairs(documents: DataFrame, text: str, words: list[bytes], symbols: int, codes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(code, n): how often each code arises from the symbols of the texts; words are symbols 0 on, then shapes, then the end."""
+    shared, name = documents.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        held: list[np.ndarray] = []
-        for batch in slices(batches, "text"):
-            symbols = [size - 1]
-            for t in batch.column("text").to_pylist():
-                for w in words_of(t):
-                    k = get(w)
-                    symbols.append(base + shape(w) if k is None else k)
-                symbols.append(size - 1)
-            s = np.array(symbols, np.int64)
-            held.append(s[:-1] * size + s[1:])
-            if sum(map(len, held)) > 4_000_000:
-                yield flush(held)
-                held = []
-        if held:
-            yield flush(held)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+        number = held(f"words {name}", lambda: {w: i for i, w in enumerate(shared.value)})
+        kept: list[np.ndarray] = []
+        for s in _symbols(batches, number, len(number), symbols - 1):
+            kept.append(codes(s))
+            if sum(map(len, kept)) > 4_000_000:
+                yield flush(kept)
+                kept = []
+        if kept:
+            yield flush(kept)
+
+    def flush(kept: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(kept), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
     rows = documents.select(F.col(text).cast("string").cast("binary").alias("text"))
-    found = rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size)
-    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(size, size)
+    return rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def assigned(documents: DataFrame, words: list[bytes], classes: np.ndarray, known: int, n_classes: int, grid: np.ndarray, text: str = "text") -> np.ndarray:
+    """The class of each symbol: words from ``known`` on go to the class of most gain, or stay in that of their shape.
+
+    ``classes`` has one for each word, shape and the end; ``grid`` counts class bigrams. The neighbours'
+    classes of each such word are counted on Spark and its gain is worked out there.
+    """
+    total, symbols = len(grid), len(classes)
+    width = 2 * total + 1  # per word: class behind it, class before it, itself behind it
+
+    def codes(s: np.ndarray) -> np.ndarray:
+        right = (s[:-1] >= known) & (s[:-1] < len(words))
+        left = (s[1:] >= known) & (s[1:] < len(words))
+        same = right & (s[:-1] == s[1:])
+        return np.concatenate([s[:-1][right] * width + classes[s[1:]][right], s[1:][left] * width + total + classes[s[:-1]][left], s[:-1][same] * width + 2 * total])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for word, slots in zip(batch.column("word").to_pylist(), batch.column("slots").to_pylist()):
+                row = np.zeros(width)
+                for slot in slots:
+                    row[slot["slot"]] = slot["n"]
+                here, loop = int(classes[word]), row[-1]
+                right, left = row[:total].copy(), row[total:2 * total].copy()
+                right[here] -= loop
+                left[here] -= loop
+                rest = grid.copy()
+                rest[here] -= right
+                rest[:, here] -= left
+                rest[here, here] -= loop
+                among = np.append(np.arange(n_classes), here)
+                gain = _gains(rest, among, right, left, loop)
+                k = int(gain.argmax())
+                best.append(int(among[k]) if gain[k] > gain[-1] + 1e-9 else here)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(best, pa.int64())], ["word", "class"])
+
+    found = _pairs(documents, text, words, symbols, codes)
+    slots = found.select(F.floor(F.col("code") / width).cast("long").alias("word"), F.struct(F.pmod("code", F.lit(width)).cast("int").alias("slot"), "n").alias("slot"))
+    # A word has ``width`` slots at most.
+    chosen = slots.groupBy("word").agg(F.collect_list("slot").alias("slots")).mapInArrow(choose, "word long, class long").toArrow()
+    out = classes.copy()
+    out[chosen.column("word").to_numpy()] = chosen.column("class").to_numpy()
+    return out
+
+
+def class_bigrams(documents: DataFrame, words: list[bytes], classes: np.ndarray, total: int, text: str = "text") -> np.ndarray:
+    """Counts (class, class) of neighbours."""
+    found = _pairs(documents, text, words, len(classes), lambda s: classes[s[:-1]] * total + classes[s[1:]]).toArrow()
+    out = np.zeros(total * total)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(total, total)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def _gains(grid: np.ndarray, among: np.ndarray | slice, right: np.ndarray, left: np.ndarray, loop: float) -> np.ndarray:
+    """What each class among those gains in likelihood by a word that is in no class now: classes behind it, before it, itself behind itself."""
+    rows, columns = grid[among], grid[:, among].T
+    gain = (_f(rows + right) - _f(rows)).sum(axis=1) + (_f(columns + left) - _f(columns)).sum(axis=1)
+    diagonal, r, l = np.diagonal(grid)[among], right[among], left[among]  # noqa: E741
+    gain += _f(diagonal + r + l + loop) + _f(diagonal) - _f(diagonal + r) - _f(diagonal + l)
+    out, into = rows.sum(axis=1), columns.sum(axis=1)
+    return gain - (_f(out + right.sum() + loop) - _f(out) + _f(into + left.sum() + loop) - _f(into))
+
+
 def exchange(counts: np.ndarray, n_words: int, n_classes: int, rounds: int = 6) -> np.ndarray:
     """The class of each symbol: words move to the class that makes the corpus likeliest; other symbols keep a class each."""
     size = len(counts)
@@ -150,13 +223,7 @@ def exchange(counts: np.ndarray, n_words: int, n_classes: int, rounds: int = 6)
             grid[here] -= right
             grid[:, here] -= left
             grid[here, here] -= loop
-            rows, columns = grid[:n_classes], grid[:, :n_classes].T
-            gain = (_f(rows + right) - _f(rows)).sum(axis=1) + (_f(columns + left) - _f(columns)).sum(axis=1)
-            diagonal = np.diagonal(rows)
-            r, l = right[:n_classes], left[:n_classes]  # noqa: E741
-            gain += _f(diagonal + r + l + loop) + _f(diagonal) - _f(diagonal + r) - _f(diagonal + l)
-            out, into = rows.sum(axis=1), columns.sum(axis=1)
-            gain -= _f(out + right.sum() + loop) - _f(out) + _f(into + left.sum() + loop) - _f(into)
+            gain = _gains(grid, slice(n_classes), right, left, loop)
             best = int(gain.argmax())
             best = best if gain[best] > gain[here] + 1e-9 else here
             grid[best] += right
@@ -199,23 +266,29 @@ def fit(documents: DataFrame, words: DataFrame, text: str = "text") -> Model:
     member = np.zeros((len(own), total))
     member[np.arange(len(own)), own] = 1
     grid = member.T @ counts @ member
+    first_shape = total - SHAPES - 1
+    if len(shipped) > len(classed):
+        kinds = [first_shape + kind for _, kind, _ in shipped[len(classed):]]
+        own = np.concatenate([own[:len(classed)], kinds, first_shape + np.arange(SHAPES + 1)]).astype(np.int64)
+        names = [w for w, _, _ in shipped]
+        own = assigned(documents, names, own, len(classed), min(CLASSES, len(classed)), grid, text)
+        grid = class_bigrams(documents, names, own, total, text)
     plain = (grid.sum(axis=0) + 1) / (grid.sum() + total)
     steps = np.log10((grid + 20 * plain) / (grid.sum(axis=1, keepdims=True) + 20))
     tail_n, tail_words = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in sums:
         if r.shape < SHAPES:
             tail_n[r.shape], tail_words[r.shape] = r.n, r.words
-    for _, kind, n in classed:
-        tail_n[kind] -= n
-        tail_words[kind] -= 1
-    tail = np.log10(tail_n + tail_words + 1)
-    first_shape = total - SHAPES - 1
     in_class = np.zeros(total)
-    for i, (_, _, n) in enumerate(classed):
+    for i, (_, kind, n) in enumerate(shipped):
         in_class[own[i]] += n
+        if own[i] < first_shape:
+            tail_n[kind] -= n
+            tail_words[kind] -= 1
+    tail = np.log10(tail_n + tail_words + 1)
     known = {}
     for i, (word, kind, n) in enumerate(shipped):
-        if i < len(classed):
+        if own[i] < first_shape:
             known[word] = int(own[i]), float(np.log10(n / in_class[own[i]])), float(np.log10(n + 1))
         else:
             known[word] = first_shape + kind, float(np.log10(n + 1) - tail[kind]), float(np.log10(n + 1))

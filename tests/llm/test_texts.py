@@ -111,6 +111,9 @@ def test_brown_chances_sum_to_one(odd):
     model = brown.fit(odd, words)
     emission = Counter()
     for r in words.collect():
+        if r.word and bytes(r.word) not in model.known:  # too long to be sent
+            emission[model.first_shape + r["shape"]] += (r.n + 1) / 10 ** model.tail[r["shape"]]
+            continue
         kind, chance, _ = model.known.get(bytes(r.word), (len(model.steps) - 1, 0.0, 0.0))
         emission[kind] += 10 ** chance
     for s in range(brown.SHAPES):  # one more word of each shape, never seen
@@ -119,6 +122,44 @@ def test_brown_chances_sum_to_one(odd):
     assert np.allclose((10 ** model.steps).sum(axis=1), 1)
 
 
+def test_brown_scores_equal_a_slow_scorer(spark, data, monkeypatch):
+    """Few words form classes, more are sent, the rest is looked up; scores are added up word by word from plain counts."""
+    monkeypatch.setattr(brown, "CLASSED", 60)
+    monkeypatch.setattr(brown, "SHIPPED", 400)
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in documents.collect()}
+    words = brown.vocabulary(documents).cache()
+    model = brown.fit(documents, words)
+    count = Counter(w for t in texts.values() for w in t)
+    taught = sorted(count, key=lambda w: -count[w])[60:300]
+    assert sum(w in model.known and model.known[w][0] < model.first_shape for w in taught) > 100  # by gain, not by shape
+    of = lambda w: model.known[w][0] if w in model.known else model.first_shape + brown.shape(w)
+    end, size = len(model.steps) - 1, len(model.steps)
+    members, grid = Counter(), np.zeros((size, size))
+    for w, n in count.items():
+        members[of(w)] += n
+    for t in texts.values():
+        path = [end, *map(of, t), end]
+        for a, b in zip(path, path[1:]):
+            grid[a, b] += 1
+    plain = (grid.sum(axis=0) + 1) / (grid.sum() + size)
+    steps = (grid + 20 * plain) / (grid.sum(axis=1, keepdims=True) + 20)
+    kinds = Counter(of(w) for w in count)
+    for r in brown.scores(documents, documents).collect():
+        path, want = [end, *map(of, texts[r.doc_id]), end], 0.0
+        for a, b in zip(path, path[1:]):
+            want += math.log10(steps[a, b])
+        for w in texts[r.doc_id]:
+            k = of(w)
+            want += math.log10(count[w] / members[k] if k < model.first_shape else (count[w] + 1) / (members[k] + kinds[k] + 1))
+        assert r.score == pytest.approx(want)
+
+
+def test_frequent_words_are_never_none(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(), 0, 1) for i in range(300)], "word binary, shape int, n long")
+    assert 50 <= len(brown.frequent(words, 100)) <= 100 and len(brown.frequent(words, 300)) == 300
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     topic = rng.integers(0, 3, 30)
