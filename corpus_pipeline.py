@@ -7,8 +7,7 @@ Rows with a null doc_id are filtered like any other and are never duplicates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lexmesh.llm import common, decontaminate, language, rules, simhash
 from lexmesh.llm.queries import packed
@@ -32,16 +31,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the least doc_id; of rows that share a doc_id, that of the least text."""
-    found = written(simhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()))
-    by_id = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n"))
-    apart = written(by_id.where(F.col("gone") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), "gone"))
-    once = docs.join(apart, docs["doc_id"] == apart["_id"], "left_anti")
-    several = apart.where(~F.col("gone"))
-    again = docs.join(several, docs["doc_id"] == several["_id"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = again.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).where(F.col("rank") == 1).select("row.*")
-    return once.unionByName(first)
+    """One row of each group of near duplicates stays, that of the least doc_id, then of the least text hash; rows that share an id but not a text are decided apart."""
+    return simhash.distinct(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

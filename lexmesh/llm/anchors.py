@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.llm.common import held
 from lexmesh.session import written
 
 THRESHOLD = 3
@@ -54,14 +55,9 @@ def _table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words[order], np.searchsorted(marks[order], np.arange((1 << 14) + 1)), unit
 
 
-_TABLE: list = []
-
-
 def around(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, at home) for every anchor within radius + 1 of each word of 32 bits."""
-    if not _TABLE:
-        _TABLE.extend(_table())
-    words, begins, unit = _TABLE
+    words, begins, unit = held("anchors", _table)
     mark = np.zeros(len(half), np.uint32)
     for bit in range(32):
         mark ^= np.where(half >> np.uint32(bit) & np.uint32(1), unit[bit], np.uint32(0))

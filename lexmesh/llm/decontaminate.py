@@ -39,7 +39,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FILTER_BITS = 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_POWERS: list[np.ndarray] = []
+_STRIDE = 1 << 12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,12 +47,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.full(size, b, np.uint64), dtype=np.uint64) for b in (_BASE, inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(places: np.ndarray) -> np.ndarray:
+    """The base to each power, from two short tables."""
+    low = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_STRIDE - 1, _BASE, np.uint64)]), dtype=np.uint64)
+    rows = int(places.max(initial=0)) // _STRIDE + 1
+    high = np.cumprod(np.concatenate([[np.uint64(1)], np.repeat(low[-1:] * _BASE, rows - 1)]), dtype=np.uint64)
+    found = low[places % _STRIDE]
+    return found if rows == 1 else found * high[places // _STRIDE]
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +63,17 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD[raw]
     starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
     ends = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
-    up, down = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * up, dtype=np.uint64)])
-    found = _mix((sums[ends] - sums[starts]) * down[starts])
+    found = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # stretches of about a million bytes, a longer word whole
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20))))
+        span = slice(starts[at], ends[stop - 1])
+        sizes = ends[at:stop] - starts[at:stop]
+        first = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        found[at:stop] = np.add.reduceat((raw[span][inside[span]] + np.uint64(1)) * _powers(places), first)
+        at = stop
+    found = _mix(found)
     firsts = np.cumsum([0] + [len(p) + 1 for p in parts])
     return found, np.diff(np.searchsorted(starts, firsts))
 
@@ -169,8 +178,9 @@ class Items:
             key, item, offset = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(key, kind="stable")
             tables[place] = key[order], item[order], offset[order]
-            filters[place] = np.zeros(1 << _FILTER_BITS, bool)
-            filters[place][key >> np.uint64(64 - _FILTER_BITS)] = True
+            there = np.zeros(1 << _FILTER_BITS, bool)
+            there[key >> np.uint64(64 - _FILTER_BITS)] = True
+            filters[place] = np.packbits(there, bitorder="little")
         return cls([i for i, _ in kept], [w for _, w in kept], tables, filters)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
@@ -183,7 +193,8 @@ class Items:
             keys, _ = _keys(words, walk, levels)
             for level in levels:
                 table, item, offset = self.tables[walk, level]
-                some = np.flatnonzero(self.filters[walk, level][keys[level] >> np.uint64(64 - _FILTER_BITS)])
+                mark = keys[level] >> np.uint64(64 - _FILTER_BITS)
+                some = np.flatnonzero(self.filters[walk, level][mark >> np.uint64(3)] >> (mark & np.uint64(7)).astype(np.uint8) & np.uint8(1))
                 first = np.searchsorted(table, keys[level][some], side="left")
                 count = np.searchsorted(table, keys[level][some], side="right") - first
                 at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

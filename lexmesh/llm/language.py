@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,6 @@ from lexmesh.llm import gru
 from lexmesh.llm.common import slices
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -56,7 +54,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """(language, probability) of each text; undetermined with 0 where there is no letter."""
-    asked = [bool(t and model.languages and _LETTER.search(t)) for t in texts]
+    asked = [bool(t and model.languages and any(map(str.isalpha, t))) for t in texts]
     chances = gru.pooled(model.network, [t.encode() for t, a in zip(texts, asked) if a])
     best = chances.argmax(axis=1) if len(chances) else []
     names, scores, at = [], np.zeros(len(texts)), 0

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmesh.llm.common import lowest
 from lexmesh.llm.components import components
 from lexmesh.session import written
 
@@ -310,7 +311,7 @@ def _enlarged(nodes: DataFrame, roots: DataFrame, links: DataFrame, size: int, t
 
 def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int) -> float:
     """The share of its links that a vector has on average, over those of ``sample`` vectors that have links at all, against every vector; 1 if none has."""
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "unit").collect()
+    rows = lowest(nodes, "node", sample).orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "unit").collect()
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r.unit), []).append((r.node, bytes(r.unit)))

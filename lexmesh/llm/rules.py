@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.llm.common import lowest
+
 SYMBOLS = "$%&*#@^~<>{}[]=+\\/_|"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PREFIX = "_stat_"
@@ -155,9 +157,10 @@ def learn(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     """Fit on the labelled rows of a table of statistics, at most ``sample`` of them, those whose hash of the key is least.
 
     Rows with a null key or label teach nothing; of several labels for a key the greatest counts.
+    A count of the labels tells below which hash rows are taken, so a little more than the sample is all that is brought together.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("_label"))
-    rows = table.join(known, "key").orderBy(F.xxhash64("key"), "key").limit(sample)
+    rows = table.join(lowest(known, "key", sample), "key").orderBy(F.xxhash64("key"), "key").limit(sample)
     got = rows.select(*(_PREFIX + n for n in NAMES), F.col("_label").cast("double")).toPandas().to_numpy(float)
     return fit(got[:, :-1], got[:, -1] if len(got) else np.zeros(0))
 

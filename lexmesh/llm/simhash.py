@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexmesh.llm import anchors
 from lexmesh.llm.common import slices
@@ -47,6 +48,35 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.mapInArrow(of, "key long, print long")
 
 
+def distinct(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, but of each group of linked fingerprints only one: that of the least key, of rows that share it that of the least text hash.
+
+    Decided by row: rows that share a key but whose texts are not near stay apart, repeated rows leave one.
+    Rows with a null key are no one's duplicates. Null text reads as empty; columns of any name pass through.
+    """
+    mark = "_"
+    while any(c.startswith(mark) for c in documents.columns):
+        mark += "_"
+    print_, row = f"{mark}print", f"{mark}row"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = np.array([fingerprint(t) for t in batch.column(text).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, print_])
+
+    schema = StructType([*documents.schema.fields, StructField(print_, LongType())])
+    rows = written(documents.mapInArrow(add, schema).withColumn(row, F.monotonically_increasing_id()))
+    order = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text"), F.col(row).alias("row"))
+    keyed = rows.where(F.col(key).isNotNull()).select(F.col(print_).alias("print"), order.alias("o"))
+    prints = written(keyed.groupBy("print").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")))
+    roots = components(anchors.links(prints.select(F.col("print").alias("node"), "print")))
+    grouped = written(prints.join(roots.withColumnRenamed("u", "print"), "print", "left").withColumn("root", F.coalesce("root", "print")))
+    several = grouped.groupBy("root").agg(F.min("o").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
+    first = written(grouped.join(several.select("root", "first"), "root").select("print", F.col("first.row").alias("first")))
+    gone = written(keyed.join(first, "print").where(F.col("o.row") != F.col("first")).select(F.col("o.row").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*documents.columns)
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) for each row: the least key reachable by links of 3 differing bits or fewer.
 

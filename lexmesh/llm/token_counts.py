@@ -21,10 +21,9 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import slices
+from lexmesh.llm.common import held, slices
 
 _ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+").split
-_LOADED: dict[str, "MergeCounter"] = {}
 
 
 def byte_letters() -> list[str]:
@@ -114,9 +113,7 @@ class MergeCounter:
 
 
 def counter(path: str) -> MergeCounter:
-    if path not in _LOADED:
-        _LOADED[path] = MergeCounter(path)
-    return _LOADED[path]
+    return held(f"counter {path}", lambda: MergeCounter(path))
 
 
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -78,3 +78,11 @@ def test_odd_rows_pass_through(spark, data, odd):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, data).count() == 0
+
+
+def test_duplicates_are_decided_by_row(spark):
+    rng = np.random.default_rng(1)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 1000, 80)) for _ in range(2))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b + " more", "u"), (3, None, "v"), (4, a, "w"), (4, a, "w"), (None, a, "n")]
+    got = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string, _print string")).collect()
+    assert sorted((r.doc_id or 0, r["_print"]) for r in got) == [(0, "n"), (1, "x"), (1, "y"), (3, "v")]
