@@ -1,9 +1,9 @@
-"""Lexical ranking for a batch of questions over a document table.
+"""Lexical ranking for a batch of questions over postings.
 
-All questions are answered in one plan. Documents are spread by their own id,
-so counting terms, adding up scores and the first cut to ``k`` per question all
-happen inside one task without moving (question, document) pairs; a frequent
-word never becomes a shuffle key of the scoring step.
+All questions are answered in one plan. Texts are read once, to build the postings or not at all if an
+index is given. Postings of the questions' terms are spread by document, so adding up scores and
+the first cut to ``k`` per question happen inside one task without moving
+(question, document) pairs; a frequent word never becomes a shuffle key of the scoring step.
 """
 
 from __future__ import annotations
@@ -11,39 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.functions.text import lexical_tokens
 from lexmesh.operators.fusion import top_k
+from lexmesh.operators.postings import Index
+from lexmesh.operators.spans import occurrences
 from lexmesh.session import written
 
 # Parameters of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-TOKEN_BLOCK = 10_000  # question tokens one array may carry
-
-
-def tokenised(documents: DataFrame) -> DataFrame:
-    """(doc_id, tokens) from (doc_id, text)."""
-    return documents.select("doc_id", lexical_tokens(F.col("text")).alias("tokens"))
-
-
-def by_document(documents: DataFrame) -> DataFrame:
-    """(doc_id, tokens) spread by document: the raw text moves once, tokens are cut after the move."""
-    return tokenised(documents.select("doc_id", "text").repartition("doc_id"))
-
-
-TOTAL = ""  # row of the statistics that holds the number of tokens; no token is empty
-
-
-def term_statistics(documents: DataFrame) -> DataFrame:
-    """(term, n): document frequency of every term, and the token total under the empty term.
-
-    One pass over the texts; each document sends its distinct terms once and
-    partial sums merge before the shuffle.
-    """
-    tokens = F.col("tokens")
-    entries = F.concat(
-        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n"))),
-        F.array(F.struct(F.lit(TOTAL).alias("term"), F.size(tokens).cast("bigint").alias("n"))))
-    return tokenised(documents).select(F.explode_outer(entries).alias("e")).groupBy("e.term").agg(F.sum("e.n").alias("n"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -54,36 +28,31 @@ def question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
-def weighted_terms(documents: DataFrame, questions: DataFrame) -> DataFrame:
+def weighted_terms(index: Index, questions: DataFrame) -> DataFrame:
     """(query_id, term, weight, average_length), written once so that its size is known to the planner.
 
     A negative idf (a term in more than half of the documents) is replaced by a
     quarter of the mean idf of the vocabulary.
     """
-    stats = written(term_statistics(documents))
-    size = documents.agg(F.count(F.lit(1))).scalar()
-    total = stats.where(F.col("term") == TOTAL).agg(F.max("n")).scalar()
-    terms = stats.where(F.col("term") != TOTAL).select(
-        "term", (F.log(size - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
+    stats = written(index.frequencies())
+    size, total = index.totals()
+    terms = stats.select("term", (F.log(size - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
     mean = terms.agg(F.avg("raw")).scalar()
     idf = F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))
     weighted = question_terms(questions).join(terms, "term").select(
-        "query_id", "term", (F.col("qtf") * idf).alias("weight"), (total / size).alias("average_length"))
+        "query_id", "term", (F.col("qtf") * idf).alias("weight"), (F.lit(total) / F.greatest(F.lit(size), F.lit(1))).alias("average_length"))
     return written(weighted)
 
 
-def bm25_scores(documents: DataFrame, questions: DataFrame, match_all: bool = False) -> DataFrame:
+def bm25_scores(documents: DataFrame | Index, questions: DataFrame, match_all: bool = False) -> DataFrame:
     """(query_id, doc_id, score) for every document that holds a question term.
 
-    documents (doc_id, text), questions (query_id, tokens). ``match_all`` keeps
+    documents (doc_id, text) or their index, questions (query_id, tokens). ``match_all`` keeps
     only documents that hold every distinct term of the question.
     """
-    weights = weighted_terms(documents, questions)
-    found = (
-        by_document(documents).select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        .join(weights.select("term").distinct(), "term", "left_semi")
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    index = Index.of(documents)
+    weights = weighted_terms(index, questions)
+    found = index.holding(weights, "tf")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("average_length")))
     scored = (
@@ -102,43 +71,21 @@ def bm25_scores(documents: DataFrame, questions: DataFrame, match_all: bool = Fa
     )
 
 
-def bm25_topk(documents: DataFrame, questions: DataFrame, k: int, match_all: bool = False) -> DataFrame:
+def bm25_topk(documents: DataFrame | Index, questions: DataFrame, k: int, match_all: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): best ``k`` first, cut before the positive-score filter."""
     best = top_k(bm25_scores(documents, questions, match_all), k, "doc_id")
     return best.where(F.col("score") > 0)
 
 
-def count_substring(text: Column, token: Column) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    return ((F.length(text) - F.length(F.replace(text, token, F.lit("")))) / F.length(token)).cast("bigint")
-
-
 def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, token, doc_id, tf) where a question token occurs inside the text.
+    """(query_id, token, doc_id, tf) where a question token occurs inside the text, words or not; both in lower case.
 
-    ``questions`` holds (query_id, tokens), one row per question. Distinct tokens
-    travel as arrays of bounded size, every text filters an array for itself,
-    and only the hits are joined back to their questions. A vocabulary beyond
-    one array is cut into blocks, and every text meets every block.
+    ``questions`` holds (query_id, tokens), one row per question. Every text is walked once for all
+    tokens; hits alone are joined to their questions, and occurrences that overlap an earlier one don't count.
     """
-    pairs = questions.select("query_id", F.explode("tokens").alias("token"))
-    distinct = pairs.select("token").distinct()
-    blocks = -(-distinct.count() // TOKEN_BLOCK)
-    # Spread by document, so that adding up (question, document) scores needs no further shuffle.
-    documents = documents.select("doc_id", text).repartition("doc_id")
-    if blocks <= 1:
-        probed = documents.withColumn("vocabulary", distinct.agg(F.collect_set("token")).scalar())
-    else:
-        block = F.pmod(F.xxhash64("token"), F.lit(2 * blocks)).alias("block")  # twice as many keep each below the bound
-        lists = distinct.groupBy(block).agg(F.collect_set("token").alias("vocabulary"))
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(2 * blocks - 1).cast("bigint"))
-        probed = documents.withColumn("block", F.explode(numbers)).join(lists, "block")
-    hits = probed.select(
-        "doc_id",
-        F.explode_outer(F.filter("vocabulary", lambda t: F.contains(F.col(text), t))).alias("token"),
-        F.col(text).alias("body"),
-    ).where(F.col("token").isNotNull()).select("doc_id", "token", count_substring(F.col("body"), F.col("token")).alias("tf"))
-    return hits.join(pairs, "token")
+    pairs = written(questions.select("query_id", F.explode("tokens").alias("token")))
+    hits = occurrences(documents, pairs.select(F.col("token").alias("form")), ["doc_id"], text, borders=None, margin=0)
+    return hits.select("doc_id", F.col("form").alias("token"), F.col("n").alias("tf")).join(pairs, "token")
 
 
 def saturated_scores(hits: DataFrame) -> DataFrame:
@@ -152,7 +99,7 @@ def sparse_scores(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(F.length("token") / 10), 6).alias("score"))
 
 
-def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def cover_density(documents: DataFrame | Index, questions: DataFrame, k: int) -> DataFrame:
     """Cover-density ranking of documents that hold all terms of a question.
 
     A cover is a shortest window holding every term; each adds the inverse of
@@ -165,17 +112,15 @@ def cover_density(documents: DataFrame, questions: DataFrame, k: int) -> DataFra
     """
     terms = question_terms(questions).select("query_id", "term")
     needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    spread = by_document(documents)
+    spread = Index.of(documents).holding(terms, "positions")
     # Which documents hold all terms is counted first; positions are gathered for those alone.
     complete = (
-        spread.select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("term"))
-        .join(terms, "term").groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("held"))
+        spread.select("doc_id", "term").join(terms, "term").groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("held"))
         .join(needed, "query_id").where(F.col("held") == F.col("needed")).select("doc_id", "query_id", "needed")
     )
     held = (
-        spread.join(complete, "doc_id")
-        .select("doc_id", "query_id", "needed", F.posexplode_outer("tokens").alias("pos", "term"))
-        .join(terms, ["query_id", "term"])
+        spread.join(complete, "doc_id").join(terms, ["query_id", "term"])
+        .select("doc_id", "query_id", "needed", "term", F.explode("positions").alias("pos"))
         .groupBy("doc_id", "query_id", "needed").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("hits"))
     )
     # Fold: keep the latest position per term; after each hit the window start is the least of them.

@@ -2,9 +2,8 @@ import itertools
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from lexmesh.operators import boosting, dense, fusion, lexical
+from lexmesh.operators import boosting, dense, fusion, lexical, postings
 
 
 def rows(df):
@@ -65,8 +64,31 @@ def test_cover_density_against_brute_force(spark):
 
 
 def test_substring_counts_do_not_overlap(spark):
-    df = spark.createDataFrame([("aaaa", "aa"), ("abc", "x")], "t string, k string")
-    assert [r[0] for r in df.select(lexical.count_substring(F.col("t"), F.col("k"))).collect()] == [2, 0]
+    documents = spark.createDataFrame([(1, "aaaa"), (2, "abc"), (3, None)], "doc_id long, text string")
+    questions = spark.createDataFrame([(7, ["aa", "x", "b"]), (8, ["aa"])], "query_id long, tokens array<string>")
+    got = rows(lexical.substring_hits(documents, questions).select("query_id", "token", "doc_id", "tf"))
+    assert got == [(7, "aa", 1, 2), (7, "b", 2, 1), (8, "aa", 1, 2)]
+
+
+def test_postings_follow_changes(spark, tmp_path):
+    schema = "doc_id long, text string"
+    store = postings.Store(spark, str(tmp_path / "index"))
+    assert store.index().totals() == (0, 0)
+    first = {1: "peaje peaje ley", 2: "tarifa", 3: None}
+    store.add(spark.createDataFrame(list(first.items()), schema))
+    found = {(r.doc_id, r.term): (r.dl, r.tf, r.positions) for r in store.index().terms.collect()}
+    assert found == {(1, "peaje"): (3, 2, [0, 1]), (1, "ley"): (3, 1, [2]), (2, "tarifa"): (1, 1, [0])}
+    store.add(spark.createDataFrame([(2, "peaje nuevo"), (4, "tarifa tarifa")], schema))
+    store.remove(spark.createDataFrame([(1,)], "doc_id long"))
+    now = {2: "peaje nuevo", 3: None, 4: "tarifa tarifa"}
+    questions = spark.createDataFrame([(1, ["peaje", "tarifa"])], "query_id long, tokens array<string>")
+    for _ in range(2):
+        index = store.index()
+        assert index.totals() == (3, 4)
+        fresh = lexical.bm25_topk(spark.createDataFrame(list(now.items()), schema), questions, 5)
+        assert rows(lexical.bm25_topk(index, questions, 5)) == rows(fresh)
+        store.compact()
+    assert store.segments() == [2]
 
 
 def test_graph_boost_rules(spark):
