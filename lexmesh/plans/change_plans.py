@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexmesh.functions import text as T
@@ -9,6 +11,8 @@ from lexmesh.operators import increments as I
 from lexmesh.plans.graph_plans import LINK_SQL, links
 from lexmesh.plans.register import query
 from lexmesh.plans.views import norms, norms_sql
+from lexmesh.session import shared_folder
+from lexmesh.sources.keyed import KeyedTable
 from lexmesh.sources.tables import table, texts as rows
 from lexmesh.streaming import query_log
 
@@ -114,7 +118,20 @@ def _(spark, d):
 
 @query("changed_documents_stream", "select lang, count(*) as n, count(distinct md5(text)) as distintos from documents group by lang")
 def _(spark, d):
-    """Documents arrive as a stream, each batch is upserted; a restart resumes at the checkpoint"""
+    """Documents arrive as a stream, each batch is upserted into the buckets it touches; this query names no job folder, so it starts anew"""
     landed = query_log.ingest_documents(spark, d)
     per_hash = landed.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n"))
     return per_hash.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distintos"))
+
+
+@query("keyed_upserts",
+       """with old as (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by all), new as (select l_orderkey, l_linenumber, max(l_quantity) * 2 as l_quantity from lineitem where l_returnflag = 'R' and l_linenumber = 1 group by all)
+ select l_orderkey, l_linenumber, coalesce(n.l_quantity, o.l_quantity) as l_quantity, true as fechado from old o left join new n using (l_orderkey, l_linenumber) where l_orderkey % 10 <> 3""")
+def _(spark, d):
+    """A keyed table is filled, changed and cut; rows carry the time of their last change"""
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    keyed = KeyedTable(spark, f"{shared_folder(spark)}/keyed/{uuid.uuid4().hex}", ["l_orderkey", "l_linenumber"], buckets=16)
+    keyed.upsert(lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")))
+    keyed.upsert(lines.where("l_returnflag = 'R' and l_linenumber = 1").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_quantity") * 2).alias("l_quantity")))
+    keyed.delete(lines.where("l_orderkey % 10 = 3").select("l_orderkey", "l_linenumber"))
+    return keyed.read().select("l_orderkey", "l_linenumber", "l_quantity", F.col("updated_at").isNotNull().alias("fechado"))

@@ -1,20 +1,19 @@
 """Structured Streaming forms of the incremental jobs.
 
 Sources are file streams, sinks are parquet folders. A job names its folder: the
-checkpoint and the table lie there, so the next run reads only what is new. Each
-batch is merged with the table as the batch before left it and written as a table of
-its own, so a repeated batch gives the same table and the state is one row per key.
+checkpoint and the table lie there, so the next run reads only what is new. A batch is a
+change of a keyed table: it rewrites the buckets of its keys alone, a repeated batch
+gives the same table, and the state is one row per key.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmesh.session import shared_folder
+from lexmesh.sources.keyed import KeyedTable
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,33 +31,19 @@ def daily_windows(log: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def _table(spark: SparkSession, run: str, before: int | None = None) -> DataFrame | None:
-    """The table after the newest batch, or after the newest one below ``before``; None if there is none."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{run}/table/batch=*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{run}/table/batch={max(numbers)}") if numbers else None
-
+def _run(stream: DataFrame, run: str, key: list[str], mode: str) -> DataFrame:
+    """Rows of each batch replace those of the same key; only the buckets that a batch touches are written."""
+    table = KeyedTable(stream.sparkSession, f"{run}/table", key, stream.schema)
 
-def _merging(run: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch handler: rows of the batch replace those of the same key."""
     def land(batch: DataFrame, number: int) -> None:
-        old = _table(batch.sparkSession, run, number)
-        new = batch if old is None else batch.unionByName(old.join(batch.select(*key).distinct(), key, "left_anti"))
-        new.write.mode("overwrite").parquet(f"{run}/table/batch={number}")
-
-    return land
-
+        table.upsert(batch, number)
 
-def _run(stream: DataFrame, run: str, key: list[str], mode: str) -> DataFrame | None:
     job = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(_merging(run, key)).start()
+        .trigger(availableNow=True).foreachBatch(land).start()
     )
     job.awaitTermination()
-    return _table(stream.sparkSession, run)
+    return table.read()
 
 
 def _own(spark: SparkSession, run: str | None) -> str:
@@ -73,6 +58,6 @@ def daily_report(spark: SparkSession, folder: str, run: str | None = None) -> Da
 
 
 def ingest_documents(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
-    """Stream documents into a keyed table of content hashes; of an id that arrives again the newest batch counts."""
+    """Stream documents into a keyed table of content hashes; of an id that arrives again the newest batch counts, within a batch the greatest hash."""
     arrived = _stream(spark, folder, "documents").select("doc_id", "lang", F.md5("text").alias("hash"))
     return _run(arrived, _own(spark, run), ["doc_id"], "append").select("doc_id", "lang", "hash")
