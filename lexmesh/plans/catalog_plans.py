@@ -8,8 +8,9 @@ from lexmesh.functions import classify, lexicon as L
 from lexmesh.operators import catalog, graph
 from lexmesh.plans.graph_plans import LINK_SQL, links
 from lexmesh.plans.register import query
-from lexmesh.plans.text_plans import _LIST
+from lexmesh.plans.text_plans import CLASSES_SQL, _LIST
 from lexmesh.plans.views import CONCEPTS_SQL, concepts, norms, norms_sql
+from lexmesh.session import written
 from lexmesh.sources.tables import table
 
 _TAGS = [t for t, _ in L.THEME_STEMS]
@@ -227,22 +228,33 @@ def _(spark, d):
     return cases.select("case_id", "clave").join(best, "clave").select("case_id", "id_norma", "citas", F.col("orden").cast("bigint").alias("orden"))
 
 
+_REASON = "case when boost <= 1 then {none} when boost < 2 then {ref} when clase = 'reglamento_base' then {a} when clase = 'fija_valores' then {b} when clase = 'modifica' then {c} else {d} end"
+
+
 @query("compliance_report",
-       f"""with {LINK_SQL}, sc as (select l_suppkey as query_id, cast(l_orderkey as string) as id_norma, l_linenumber as numero, round(max(l_extendedprice) / 10000 - 4, 3) as score from lineitem group by all having round(max(l_extendedprice) / 10000 - 4, 3) > -3.0),
+       f"""with {LINK_SQL}, art as (select cast(l_orderkey as string) as id_norma, l_linenumber as numero, round(max(l_extendedprice) / 10000 - 4, 3) as score from lineitem group by all),
+ sc as (select l_suppkey as query_id, cast(l_orderkey as string) as id_norma, l_linenumber as numero, round(max(l_extendedprice) / 10000 - 4, 3) as score from lineitem group by all having round(max(l_extendedprice) / 10000 - 4, 3) > -3.0),
  top as (select *, row_number() over (partition by query_id order by score desc, id_norma, numero) as r from sc qualify r <= 50),
  b as (select l_suppkey as query_id, cast(l_orderkey as string) as id_norma, cast(2.0 as double) as boost from lineitem where l_discount >= 0.1 and l_linenumber = 1 union select l_suppkey, src, 1.3 from lineitem join links on dst = cast(l_orderkey as string) where l_discount >= 0.1 and l_linenumber = 1),
  bb as (select query_id, id_norma, max(boost) as boost from b group by all),
- g as (select t.query_id, t.id_norma, round(max(t.score * coalesce(boost, 1.0)), 3) as mejor, count(*) as articulos, any_value(coalesce(boost, 1.0)) as boost from top t left join bb on bb.query_id = t.query_id and bb.id_norma = t.id_norma group by all),
- f as (select *, max(boost) over (partition by query_id) as mb from g)
- select query_id, id_norma, mejor, articulos, round(cast(boost as double), 1) as boost, case when boost >= 2 then 'define concepto' when boost > 1 then 'referencia a definitoria' else '' end as razon,
- row_number() over (partition by query_id order by case when boost >= 2 then 0 when boost > 1 then 4 else 5 end, mejor desc, id_norma) as orden from f where mb <= 1 or boost > 1""")
+ inj as (select m.query_id, id_norma, numero, score from (select query_id, id_norma from bb where boost >= 2 except select query_id, id_norma from top) m join (select * from art qualify row_number() over (partition by id_norma order by numero) <= 5) using (id_norma) where score > -3.0),
+ lift as (select query_id, id_norma, numero, coalesce(boost, 1.0) as boost, round(cast(score * coalesce(boost, 1.0) as double), 3) as alzado from (select query_id, id_norma, numero, score from top union all select * from inj) left join bb using (query_id, id_norma)),
+ cl as (select id_norma, clase from ({CLASSES_SQL.format(src=norms_sql('id_norma', 'titulo'))})),
+ g as (select query_id, id_norma, max(alzado) as mejor, count(*) as articulos, any_value(boost) as boost, list(numero order by alzado desc, numero) as lista from lift group by all),
+ f as (select *, max(boost) over (partition by query_id) as mb from g left join cl using (id_norma))
+ select query_id, id_norma, mejor, articulos, round(cast(boost as double), 1) as boost, lista, {_REASON.format(none="''", ref="'referencia a definitoria'", a="'define concepto'", b="'aplica concepto'", c="'modifica definición'", d="'menciona concepto'")} as razon,
+ row_number() over (partition by query_id order by {_REASON.format(none=5, ref=4, a=0, b=1, c=3, d=2)}, mejor desc, id_norma) as orden,
+ cast(sum(articulos) over (partition by query_id) as bigint) as total_articulos, count(*) over (partition by query_id) as total_normas from f where mb <= 1 or boost > 1""")
 def _(spark, d):
-    """Parts of Q30, A25, K4: threshold, boost, group by norm, keep boosted norms when there are any, order by reason and score"""
+    """Threshold, injected articles of missing norms, boost, norms by reason and score with their articles in order, totals; boosted norms alone when there are any"""
     from lexmesh.plans.retrieval import compliance
     lines = table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
-    scored = lines.groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").cast("string").alias("id_norma"), F.col("l_linenumber").alias("numero")).agg(
-        F.round(F.max("l_extendedprice") / 10000 - 4, 3).alias("score"))
+    price = F.round(F.max("l_extendedprice") / 10000 - 4, 3).alias("score")
+    article = (F.col("l_orderkey").cast("string").alias("id_norma"), F.col("l_linenumber").alias("numero"))
+    scored = lines.groupBy(F.col("l_suppkey").alias("query_id"), *article).agg(price)
+    articles = lines.groupBy(*article).agg(price).withColumn("place", F.col("numero"))
     defines = lines.where((F.col("l_discount") >= 0.1) & (F.col("l_linenumber") == 1)).select(
         F.col("l_suppkey").alias("query_id"), F.col("l_suppkey").alias("concept"), F.col("l_orderkey").cast("string").alias("norm"))
-    boosts = graph.context_boosts(defines.select("query_id", "concept").distinct(), defines.select("norm", "concept"), links(spark, d))
-    return compliance(scored, boosts, 50)
+    boosts = written(graph.context_boosts(defines.select("query_id", "concept").distinct(), defines.select("norm", "concept"), links(spark, d)))
+    classes = norms(spark, d, "id_norma", "titulo").select("id_norma", classify.norm_class(F.col("titulo")).alias("clase"))
+    return compliance(scored, boosts, articles, classes, 50)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmesh.functions import classify, text as T
-from lexmesh.operators import dense, fusion, lexical
+from lexmesh.operators import dense, fusion, lexical, rerank
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import THEMES_SQL, keywords_sql, tokens_sql
 from lexmesh.plans.views import norms, norms_sql
@@ -334,3 +334,15 @@ def _(spark, d):
         "query_id", dense.letter_vector(F.col("pregunta")).alias("qvec"), classify.search_strategy(F.col("pregunta")).alias("route"))
     out = by_strategy(routed, _routed_keywords(spark, d), title_vectors(spark, d), 10)
     return out.select("query_id", "doc_id", "score", "route", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("model_rerank",
+       f"""with {bm25_sql('all_tokens')}, {_CUT.format(n='scored', k=50)}, held as (select query_id, doc_id, list_distinct(all_tokens) as q, list_distinct(tokens) as t from scored_r join questions using (query_id) join docs using (doc_id) where score > 0),
+ late as (select query_id, doc_id, round(cast(len(list_intersect(q, t)) as double) / greatest(len(q), 1), 6) as score from held)
+ select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from late where score > 0.2 qualify rank <= 10""")
+def _(spark, d):
+    """Lexical candidates scored by a model that workers load, threshold first, then the best ten"""
+    pool = lexical.bm25_topk(documents(spark, d), passages(spark, d), 50).select("query_id", "doc_id")
+    pairs = pool.join(table(spark, d, "documents", "doc_id", "text"), "doc_id").join(
+        table(spark, d, "benchmark", F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    return _out(rerank.rerank(pairs, rerank.word_overlap, "doc_id", 10, 0.2))

@@ -11,25 +11,51 @@ from lexmesh.functions import classify, lexicon as L
 from lexmesh.operators import boosting, dense, fusion, lexical
 
 
-def compliance(scored: DataFrame, boosts: DataFrame, pool: int, threshold: float = L.COMPLIANCE_THRESHOLD) -> DataFrame:
-    """Report per question: norms by reason and best score.
+# Reasons for a norm to be in a report, in their order, by the class of the norm that defines; then what refers to it.
+REASONS = {"reglamento_base": ("define concepto", 0), "fija_valores": ("aplica concepto", 1), "modifica": ("modifica definición", 3)}
+MENTIONS, REFERS = ("menciona concepto", 2), ("referencia a definitoria", 4)
+INJECTED = 5  # articles of a missing norm
 
-    scored (query_id, id_norma, numero, score), boosts (query_id, norm, boost). When
-    any norm of a question is boosted, only boosted norms stay.
+
+def injected(pool: DataFrame, boosts: DataFrame, articles: DataFrame, threshold: float, most: int = INJECTED) -> DataFrame:
+    """(query_id, id_norma, numero, score): the first articles, in corpus order, of norms that define what is asked and have none in the pool.
+
+    ``articles`` (id_norma, numero, place, score) carries what the re-ranker gives each; the threshold holds for them too.
+    """
+    defining = boosts.where(F.col("boost") >= L.DEFINER_BOOST).select("query_id", F.col("norm").alias("id_norma"))
+    missing = defining.join(pool.select("query_id", "id_norma").distinct(), ["query_id", "id_norma"], "left_anti")
+    order = Window.partitionBy("id_norma").orderBy("place", "numero")
+    first = articles.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return missing.join(first, "id_norma").where(F.col("score") > threshold).select("query_id", "id_norma", "numero", "score")
+
+
+def compliance(scored: DataFrame, boosts: DataFrame, articles: DataFrame, classes: DataFrame, pool: int, threshold: float = L.COMPLIANCE_THRESHOLD) -> DataFrame:
+    """Report per question: norms by reason and best score, their articles in order, and totals.
+
+    scored (query_id, id_norma, numero, score), boosts (query_id, norm, boost), articles as for ``injected``, classes (id_norma, clase).
+    When any norm of a question is boosted, only boosted norms stay.
     """
     kept = fusion.above_then_top(
         scored.withColumn("clave", F.struct("id_norma", "numero")), threshold, pool, "clave").drop("clave", "rank")
-    lifted = kept.join(boosts.withColumnRenamed("norm", "id_norma"), ["query_id", "id_norma"], "left").withColumn(
-        "boost", F.coalesce("boost", F.lit(1.0)))
+    whole = kept.select("query_id", "id_norma", "numero", "score").unionByName(injected(kept, boosts, articles, threshold))
+    lifted = whole.join(boosts.withColumnRenamed("norm", "id_norma"), ["query_id", "id_norma"], "left").withColumn(
+        "boost", F.coalesce("boost", F.lit(1.0))).withColumn("alzado", F.round(F.col("score") * F.col("boost"), 3))
+    # A norm has at most the pool and the injected articles.
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("alzado")).alias("s"), F.col("numero").alias("n"))))
     per_norm = lifted.groupBy("query_id", "id_norma").agg(
-        F.round(F.max(F.col("score") * F.col("boost")), 3).alias("mejor"), F.count(F.lit(1)).alias("articulos"), F.max("boost").alias("boost"))
+        F.max("alzado").alias("mejor"), F.count(F.lit(1)).alias("articulos"), F.max("boost").alias("boost"), F.transform(listed, lambda x: x["n"]).alias("lista")
+    ).join(classes.select("id_norma", "clase"), "id_norma", "left")
     per_query = Window.partitionBy("query_id")  # bounded by the pool
-    reason = F.when(F.col("boost") >= L.DEFINER_BOOST, "define concepto").when(F.col("boost") > 1, "referencia a definitoria").otherwise("")
-    priority = F.when(F.col("boost") >= L.DEFINER_BOOST, 0).when(F.col("boost") > 1, 4).otherwise(5)
+    pick = lambda i: F.when(F.col("boost") <= 1, F.lit(("", 5)[i])).when(F.col("boost") < L.DEFINER_BOOST, F.lit(REFERS[i]))
+    reason, priority = pick(0), pick(1)
+    for name, (said, place) in REASONS.items():
+        reason, priority = reason.when(F.col("clase") == name, said), priority.when(F.col("clase") == name, place)
+    reason, priority = reason.otherwise(MENTIONS[0]), priority.otherwise(MENTIONS[1])
     shown = per_norm.withColumn("top", F.max("boost").over(per_query)).where((F.col("top") <= 1) | (F.col("boost") > 1))
     order = per_query.orderBy(priority, F.desc("mejor"), F.asc("id_norma"))
-    return shown.select("query_id", "id_norma", "mejor", "articulos", F.round("boost", 1).alias("boost"), reason.alias("razon"),
-                        F.row_number().over(order).cast("bigint").alias("orden"))
+    return shown.select("query_id", "id_norma", "mejor", "articulos", F.round("boost", 1).alias("boost"), reason.alias("razon"), "lista",
+                        F.row_number().over(order).cast("bigint").alias("orden"), F.sum("articulos").over(per_query).alias("total_articulos"),
+                        F.count(F.lit(1)).over(per_query).alias("total_normas"))
 
 
 def ranked_variants(documents: DataFrame, vectors: DataFrame, variants: DataFrame, weighted: bool) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lexmesh.operators import boosting, dense, fusion, lexical, postings
+from lexmesh.operators import boosting, dense, fusion, lexical, postings, rerank
 
 
 def rows(df):
@@ -91,6 +91,14 @@ def test_postings_follow_changes(spark, tmp_path):
     assert store.segments() == [2]
 
 
+def test_any_model_reranks(spark):
+    pairs = spark.createDataFrame([(1, 10, "la tarifa base", "tarifa base"), (1, 11, "la tarifa base", "nada de eso aquí"), (1, 12, "la tarifa base", None), (2, 10, None, "tarifa base")],
+                                  "query_id long, doc_id long, question string, text string")
+    assert rows(rerank.rerank(pairs, rerank.word_overlap, "doc_id", 2, 0.1)) == [(1, 10, 1.0, 1)]
+    longest = lambda: lambda questions, texts: [len(t) / 10 for t in texts]
+    assert rows(rerank.rerank(pairs, longest, "doc_id", 2)) == [(1, 10, 1.1, 2), (1, 11, 1.6, 1), (2, 10, 1.1, 1)]
+
+
 def test_graph_boost_rules(spark):
     pool = spark.createDataFrame([(1, 10, 1.0), (1, 20, 1.0), (1, 30, 1.0), (1, 40, 1.0)], "query_id long, articulo_id long, score double")
     links = spark.createDataFrame(
