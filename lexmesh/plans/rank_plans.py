@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexmesh.functions import classify, text as T
-from lexmesh.operators import dense, fusion, lexical, rerank
+from lexmesh.operators import dense, fusion, ivf, lexical, rerank
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import THEMES_SQL, keywords_sql, tokens_sql
 from lexmesh.plans.views import norms, norms_sql
@@ -346,3 +348,13 @@ def _(spark, d):
     pairs = pool.join(table(spark, d, "documents", "doc_id", "text"), "doc_id").join(
         table(spark, d, "benchmark", F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     return _out(rerank.rerank(pairs, rerank.word_overlap, "doc_id", 10, 0.2))
+
+
+@query("inverted_list_topk")
+def _(spark, d):
+    """Q5: nearest vectors of every hundredth vector through inverted lists, as many as give nine tenths; ``hallado`` tells which of the exact ten they give"""
+    corpus = vectors(spark, d).select("id", "vec")
+    asked = corpus.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vec")
+    index = ivf.InvertedLists.build(corpus, ivf.folder_of(spark, uuid.uuid4().hex))
+    found = ivf.with_recall(index, corpus, asked, 10, ivf.probes_for(index, corpus, asked, 10))
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"), "hallado")

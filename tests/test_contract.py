@@ -11,6 +11,7 @@ PLANS, ORACLES = catalogue.plans(), catalogue.oracles()
 #: SQL cannot say these; each is held against brute force or fixtures in the tests named.
 WITHOUT_SQL = {
     "cover_density_topk": "test_ranking", "norm_structure": "test_structure", "sentence_chunks": "test_structure", "routed_questions": "test_sources",
+    "inverted_list_topk": "test_ranking",
 }
 
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lexmesh.operators import boosting, dense, fusion, lexical, postings, rerank
+from lexmesh.operators import boosting, dense, fusion, ivf, lexical, postings, rerank
 
 
 def rows(df):
@@ -91,6 +91,23 @@ def test_postings_follow_changes(spark, tmp_path):
     assert store.segments() == [2]
 
 
+def test_inverted_lists_give_most_neighbours_and_all_when_all_are_read(spark, data, tmp_path, monkeypatch):
+    corpus = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("vec_id as id", "embedding as vec")
+    zero = spark.createDataFrame([(10 ** 6, [0.0] * 64)], "id long, vec array<float>")
+    corpus = corpus.unionByName(zero).cache()
+    asked = corpus.where("id % 10 = 0 and id < 1000000").selectExpr("id as query_id", "vec")
+    monkeypatch.setattr(ivf, "CHUNK", 7)
+    index = ivf.InvertedLists.build(corpus, str(tmp_path / "lists"))
+    assert index.rows.count() == corpus.count() and max(index.chunks.values()) > 1
+    probes = ivf.probes_for(index, corpus, asked, 10)
+    some = ivf.with_recall(index, corpus, asked, 10, probes).collect()
+    assert sum(r.hallado for r in some) >= 0.9 * len(some) and probes < len(index.centroids)
+    assert rows(index.search(asked, 10, len(index.centroids))) == rows(dense.dense_topk(corpus, asked, 10))
+    assert index.search(asked.limit(0), 10, 3).count() == 0
+    empty = ivf.InvertedLists.build(corpus.limit(0), str(tmp_path / "none"))
+    assert empty.search(asked, 10, 3).count() == 0
+
+
 def test_any_model_reranks(spark):
     pairs = spark.createDataFrame([(1, 10, "la tarifa base", "tarifa base"), (1, 11, "la tarifa base", "nada de eso aquí"), (1, 12, "la tarifa base", None), (2, 10, None, "tarifa base")],
                                   "query_id long, doc_id long, question string, text string")
