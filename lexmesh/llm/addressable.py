@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -36,27 +37,25 @@ def _pack(values: np.ndarray, width: int) -> bytes:
     """Values of ``width`` bits each, least bit first, without gaps."""
     if width == 8:
         return values.astype(np.uint8).tobytes()
-    out = np.zeros((len(values) * width + 7) // 8 + 8, np.uint8)
-    for b in range(width):
-        # Entries i and i + 8 share the bit's place within a byte, so each of eight strides writes distinct bytes.
-        for lane in range(8):
-            some = values[lane::8]
-            at = lane * width + b
-            first, bit = divmod(at, 8)
-            place = out[first:first + len(some) * width:width]
-            place |= (((some >> b) & 1) << bit).astype(np.uint8)[:len(place)]
-    return out[:(len(values) * width + 7) // 8].tobytes()
+    group = 8 // gcd(width, 8)  # so many values fill whole bytes, 64 bits at most
+    rows = np.zeros((-(-len(values) // group), group), np.uint64)
+    rows.reshape(-1)[:len(values)] = values
+    whole = np.bitwise_or.reduce(rows << (np.arange(group, dtype=np.uint64) * np.uint64(width)), axis=1)
+    return whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :group * width // 8].tobytes()[:(len(values) * width + 7) // 8]
 
 
 def _unpack(data: memoryview, count: int, width: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if width == 8:
         return raw[:count].astype(np.uint32)
-    at = np.arange(count, dtype=np.int64) * width
-    padded = np.concatenate([raw, np.zeros(4, np.uint8)]).astype(np.uint32)
-    first = at >> 3
-    word = padded[first] | padded[first + 1] << 8 | padded[first + 2] << 16 | padded[first + 3] << 24
-    return (word >> (at & 7).astype(np.uint32)) & np.uint32((1 << width) - 1)
+    group = 8 // gcd(width, 8)
+    size = group * width // 8
+    rows = np.zeros((-(-count // group), 8), np.uint8)
+    held = np.zeros(len(rows) * size, np.uint8)
+    held[:min(len(raw), len(held))] = raw[:len(held)]
+    rows[:, :size] = held.reshape(-1, size)
+    values = rows.view("<u8") >> (np.arange(group, dtype=np.uint64) * np.uint64(width))
+    return (values & np.uint64((1 << width) - 1)).astype(np.uint32).reshape(-1)[:count]
 
 
 def encode(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
@@ -150,7 +149,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, se
             types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "before", "n_tokens", "doc_ids", "sizes", "codes"])
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             held.append(ids_of.encode_ended(batch.column("text").to_pylist(), end_id))
             keys += batch.column("key").to_pylist()
             if sum(len(ids) for ids, _ in held) >= segment_tokens:
