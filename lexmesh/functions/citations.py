@@ -29,3 +29,21 @@ def strip_malformed(text: Column) -> Column:
 
 def is_refusal(text: Column, phrase: str) -> Column:
     return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(phrase))
+
+
+# Fixed value: a number that may be a norm's: thousands with dots, or three digits and more.
+NORM_NUMBER = r"\b\d{1,3}(?:\.\d{3})+\b|\b\d{3,}\b"
+
+
+def norm_numbers(text: Column) -> Column:
+    """Distinct norm numbers of a text, without dots."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NORM_NUMBER), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda n: F.replace(n, F.lit("."), F.lit(""))))
+
+
+def cites_its_norm(reasons: Column, title: Column, number: Column) -> Column:
+    """Whether a justification that names norm numbers names the one it picked, by title or number; true where there is nothing to compare."""
+    cited = norm_numbers(reasons)
+    bare = F.replace(F.coalesce(number, F.lit("")), F.lit("."), F.lit(""))
+    own = F.concat(norm_numbers(title), F.when(bare != "", F.array(bare)).otherwise(F.array().cast("array<string>")))
+    return (F.size(cited) == 0) | (F.size(own) == 0) | F.arrays_overlap(cited, own)

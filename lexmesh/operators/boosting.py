@@ -101,3 +101,14 @@ def inject(pool: DataFrame, curated: DataFrame, known: DataFrame, k: int, focuse
         front_scored.select("query_id", "id_norma", "numero", "score", "rank", "forma"))
     order = Window.partitionBy("query_id").orderBy("rank", "id_norma", "numero")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def bodies(injected: DataFrame, curated: DataFrame, articles: DataFrame) -> DataFrame:
+    """The rows of ``inject`` with ``cuerpo``: the article's text, the curated definition, or, for an alias, what it stands for and the definition.
+
+    curated (query_id, term, nombre, definicion) has one row a question, articles (id_norma, numero, texto).
+    """
+    about = curated.select("query_id", "term", "nombre", F.trim("definicion").alias("definicion"))
+    both = injected.join(about, "query_id", "left").join(articles.select("id_norma", "numero", "texto"), ["id_norma", "numero"], "left")
+    link = F.concat(F.lit("«"), "term", F.lit("» se refiere a «"), "nombre", F.lit("». "), "definicion")
+    return both.withColumn("cuerpo", F.when(F.col("forma") == "alias", link).when(F.col("forma") == "definicion", F.col("definicion")).otherwise(F.col("texto"))).drop("term", "nombre", "definicion", "texto")

@@ -28,9 +28,13 @@ def cosine(a: Column, b: Column) -> Column:
 LETTERS = "abcdefghijklmnopqrstuvwxyzñáéíóú"
 
 
-def letter_vector(text: Column) -> Column:
-    """Deterministic default embedder: how often each letter occurs. A model may replace it."""
-    low = F.lower(text)
+# What some models want in front of a question and of a passage.
+QUESTION_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
+
+
+def letter_vector(text: Column, prefix: str = "") -> Column:
+    """Deterministic default embedder: how often each letter occurs, a prefix's too. A model may replace it."""
+    low = F.lower(F.concat(F.lit(prefix), text) if prefix else text)
     total = F.length(low)
     return F.array(*[(total - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
 

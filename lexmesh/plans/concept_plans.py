@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmesh.functions import lexicon as L, text as T
+from lexmesh.functions import citations as C, lexicon as L, text as T
 from lexmesh.operators import boosting, definitions as D, fusion, terms
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import CLASSES_SQL, _FOLD, _LIST, normalize_sql
@@ -297,3 +297,35 @@ def _(spark, d):
     first = c.where(F.col("origin") == "retrieved").groupBy("concepto_id").agg(F.min(F.struct("id_norma", "articulo")).alias("x"))
     proposals = first.select("concepto_id", "x.id_norma", "x.articulo", F.lit("primera_cita").alias("criterio"))
     return D.decisions(concepts(spark, d).select("concepto_id", "nombre", "definicion"), c, confirmed, proposals)
+
+
+_REASONING = "case when o_orderpriority = '5-LOW' then 'Es la más específica' when o_orderkey % 3 = 0 then 'Conforme a la ley N° 20.' || lpad(cast(o_custkey % 1000 as string), 3, '0') else 'Según la norma ' || cast(o_custkey as string) || ' y otras' end"
+_NUMS = lambda e: f"list_distinct(list_transform(regexp_extract_all({e}, '[0-9]{{1,3}}(?:\\.[0-9]{{3}})+\\b|\\b[0-9]{{3,}}\\b'), lambda n: replace(n, '.', '')))"
+
+
+@query("number_checks",
+       f"""select id_norma, len(a) = 0 or list_has_any(a, list_append(b, numero)) as coherente from (select id_norma, numero, {_NUMS('f')} as a, {_NUMS('titulo')} as b
+ from (select cast(o_orderkey as string) as id_norma, {_REASONING} as f from orders) join ({norms_sql('id_norma', 'titulo', 'numero')}) using (id_norma))""")
+def _(spark, d):
+    """A justification that names numbers must name the norm it picked; others are marked for review"""
+    said = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_custkey").select(F.col("o_orderkey").cast("string").alias("id_norma"), F.expr(_REASONING).alias("fundamento"))
+    n = norms(spark, d, "id_norma", "titulo", "numero")
+    return said.join(n, "id_norma").select("id_norma", C.cites_its_norm(F.col("fundamento"), F.col("titulo"), F.col("numero")).alias("coherente"))
+
+
+@query("injected_bodies",
+       f"""with {_INJECT_SQL}, done as (select *, row_number() over (partition by query_id order by rank, id_norma, numero) as orden from merged qualify orden <= 5),
+ about as (select s.query_id, s.term, s.nombre, g.definicion from subject s join gl g using (concepto_id))
+ select query_id, id_norma, numero, forma, orden as rank, case when forma = 'alias' then '«' || term || '» se refiere a «' || nombre || '». ' || trim(definicion) else 'Artículo ' || numero || ' de la norma ' || id_norma end as cuerpo from done left join about using (query_id)""")
+def _(spark, d):
+    """Q26: the texts that injection puts before a question's pool; an alias question gets the link from alias to name and the definition"""
+    lines = table(spark, d, "lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    key = (F.col("l_orderkey").cast("string").alias("id_norma"), F.col("l_linenumber").cast("string").alias("numero"))
+    priced = lines.groupBy(F.col("l_partkey").alias("query_id"), *key).agg(F.max("l_extendedprice").alias("score")).withColumn("llave", F.struct("id_norma", "numero"))
+    pool = fusion.top_k(priced, 5, "llave").drop("llave")
+    idx = index(spark, d).select(F.col("form").alias("nf"), "id_norma", "numero")
+    g = concepts(spark, d).select("concepto_id", "definicion", T.normalize_for_match(F.col("nombre")).alias("nf"))
+    curated = terms.subject_concept(asked(spark, d)).select("query_id", "concepto_id", "by_alias", "term", "nombre").join(g, "concepto_id").join(idx, "nf")
+    articles = lines.select(*key).distinct().withColumn("texto", F.concat(F.lit("Artículo "), "numero", F.lit(" de la norma "), "id_norma"))
+    out = boosting.inject(pool, curated.select("query_id", "id_norma", "numero", "definicion", "by_alias"), articles, 5)
+    return boosting.bodies(out, curated, articles).select("query_id", "id_norma", "numero", "forma", F.col("rank").cast("bigint").alias("rank"), "cuerpo")

@@ -242,13 +242,17 @@ def _(spark, d):
     return X.name_acronym_pairs(texts(spark, d))
 
 
+_PLAIN = "(?:^|\\n)([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ\\s.]{{2,60}}):\\s*([^\\n]{{20,400}})".replace("{{", "{").replace("}}", "}")
+
+
 @query("longest_definitions",
-       f"""with {ARTICLES_SQL}, one as (select id_norma, texto from arts where numero = '1°'), e as (select id_norma, unnest(regexp_extract_all(texto, '(?m)(?:^|\\n)\\s*[a-z][).]\\s*([A-Za-z][^:\\n]{{2,80}}):\\s*([^\\n]+)', 1)) as term, unnest(regexp_extract_all(texto, '(?m)(?:^|\\n)\\s*[a-z][).]\\s*([A-Za-z][^:\\n]{{2,80}}):\\s*([^\\n]+)', 2)) as definition from one)
- select id_norma, regexp_replace(term, '\\.+$', '') as term, trim(definition) as definition from e where length(regexp_replace(term, '\\.+$', '')) > 2""")
+       f"""with {ARTICLES_SQL}, one as (select id_norma, texto from arts), e as (select id_norma, unnest(regexp_extract_all(texto, '(?m)(?:^|\\n)\\s*[a-z][).]\\s*([A-Za-z][^:\\n]{{2,80}}):\\s*([^\\n]+)', 1)) as term, unnest(regexp_extract_all(texto, '(?m)(?:^|\\n)\\s*[a-z][).]\\s*([A-Za-z][^:\\n]{{2,80}}):\\s*([^\\n]+)', 2)) as definition from one),
+ p as (select id_norma, unnest(regexp_extract_all(texto, '{_PLAIN}', 1)) as term, unnest(regexp_extract_all(texto, '{_PLAIN}', 2)) as definition from one)
+ select id_norma, term, definition from (select id_norma, regexp_replace(trim(term), '\\.+$', '') as term, trim(definition) as definition from (select * from e union all select * from p))
+ where length(term) between 3 and 79 and length(definition) > 15 qualify row_number() over (partition by id_norma, term order by length(definition) desc) = 1""")
 def _(spark, d):
-    """E33"""
-    first = S.articles(texts(spark, d), ["id_norma"]).where(F.col("numero") == "1°").select("id_norma", "texto")
-    return X.longest_definitions(first, ["id_norma"])
+    """Over all articles of a norm"""
+    return X.longest_definitions(S.articles(texts(spark, d), ["id_norma"]).select("id_norma", "texto"), ["id_norma"])
 
 
 @query("pattern_counts",

@@ -358,3 +358,47 @@ def _(spark, d):
     index = ivf.InvertedLists.build(corpus, ivf.folder_of(spark, uuid.uuid4().hex))
     found = ivf.with_recall(index, corpus, asked, 10, ivf.probes_for(index, corpus, asked, 10))
     return found.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"), "hallado")
+
+
+_TITLE_DENSE_SQL = (f"tvec as (select doc_id, {_LETTERS_SQL('titulo')} as v from {_TITLES_SQL}), pvec as (select query_id, {_LETTERS_SQL('pregunta')} as q from {_QUESTIONS_SQL}), "
+                    f"tdense as (select query_id, doc_id, {_COS.format(a='v', b='q')} as score from tvec, pvec)")
+
+
+@query("three_list_rrf_titles",
+       f"with {_LITE_SQL}, {_SPARSE_SQL}, {_TITLE_DENSE_SQL}, {_CUT.format(n='lite', k=100)}, {_CUT.format(n='sparse', k=100)}, {_CUT.format(n='tdense', k=100)}, "
+       f"fused as ({rrf_sql(['lite_r', 'sparse_r', 'tdense_r'])}) select * from fused where rank <= 10")
+def _(spark, d):
+    """Q14: lexical, sparse and dense title rankings fused"""
+    q = norm_questions(spark, d).select("query_id", dense.letter_vector(F.col("pregunta")).alias("vec"))
+    near = dense.dense_topk(title_vectors(spark, d).withColumnRenamed("doc_id", "id"), q, 100).withColumnRenamed("id", "doc_id")
+    lists = [fusion.top_k(_lite(spark, d), 100, "doc_id"), fusion.top_k(_sparse(spark, d), 100, "doc_id"), near]
+    return _out(fusion.rrf(lists, "doc_id").where(F.col("rank") <= 10))
+
+
+_SAID = lambda prefix: f"('{prefix}' || text)"
+
+
+@query("prefixed_vector_topk",
+       f"with dvec as (select doc_id, {_LETTERS_SQL(_SAID('passage: '))} as v from documents), qvec as (select item_id as query_id, {_LETTERS_SQL(_SAID('query: '))} as q from benchmark), "
+       f"dense as (select query_id, doc_id, {_COS.format(a='v', b='q')} as score from dvec, qvec), {_CUT.format(n='dense', k=10)} select query_id, doc_id, score, rank from dense_r")
+def _(spark, d):
+    """Q6: question and passage prefixes before the embedder"""
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), dense.letter_vector(F.col("text"), dense.PASSAGE_PREFIX).alias("vec"))
+    asked = table(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), dense.letter_vector(F.col("text"), dense.QUESTION_PREFIX).alias("vec"))
+    return _out(dense.dense_topk(docs, asked, 10).withColumnRenamed("id", "doc_id"))
+
+
+@query("expert_rerank_by_company",
+       f"""with {_KW_SQL}, usage as (select cast(o_orderkey as bigint) as doc_id, o_orderstatus, floor(o_totalprice / 1000) as freq, o_custkey % 3 = 0 as generador from orders where o_orderstatus = 'F' or floor(o_totalprice / 1000) >= 50),
+ cand as (select query_id, doc_id, score, o_orderstatus, freq, generador, row_number() over (partition by query_id order by score desc, doc_id) as r from kwscored join usage using (doc_id) where score > 0 qualify r <= 50),
+ lifted as (select query_id, doc_id, round(((score * (case when o_orderstatus = 'F' then 1.3 else 1.0 end) * (case when query_id % 2 = 0 and generador then 1.3 else 1.0 end)) + (case when freq > 100 then least(freq / 500, 0.2) else 0.0 end)) * (case when o_orderstatus = 'P' then 0.7 else 1.0 end), 6) as score from cand)
+ select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from lifted qualify rank <= 10""")
+def _(spark, d):
+    """Q13: critical or much used norms only; those that apply to the asking company are lifted, here every second question comes from a generator"""
+    usage = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), "o_orderstatus", F.floor(F.col("o_totalprice") / 1000).alias("freq"), (F.col("o_custkey") % 3 == 0).alias("generador"))
+    known = keyword_ranking(spark, d).where("score > 0").join(usage.where("o_orderstatus = 'F' or freq >= 50"), "doc_id")
+    pool = fusion.top_k(known, 50, "doc_id").drop("rank")
+    match = (F.col("query_id") % 2 == 0) & F.col("generador")
+    score = fusion.expert_score(F.col("score"), F.col("o_orderstatus") == "F", match, F.col("freq"), F.col("o_orderstatus") == "P")
+    return _out(fusion.top_k(pool.select("query_id", "doc_id", F.round(score, 6).alias("score")), 10, "doc_id"))
