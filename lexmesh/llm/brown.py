@@ -17,18 +17,18 @@ they are few; adaptive execution splits a key that is hot all the same.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import held, slices
+from lexmesh.llm.common import slices
 from lexmesh.session import written
 
 CLASSED, CLASSES, SHIPPED, LONGEST = 2048, 64, 65_536, 256
@@ -36,6 +36,11 @@ END = b""
 _LENGTHS = (4, 7, 11)
 SHAPES = 2 * (len(_LENGTHS) + 1)
 _SIGNS = frozenset(b".,;:!?")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE, _SIGN = np.zeros(256, bool), np.zeros(256, np.int64)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SIGN[list(_SIGNS)] = 1
 _HELD = 300_000
 
 
@@ -61,8 +66,9 @@ def vocabulary(documents: DataFrame, text: str = "text") -> DataFrame:
             return out
 
         for batch in slices(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                seen.update(words_of(t))
+            found = cut(batch.column("text").to_pylist())[0].value_counts()
+            for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                seen[word] += n
             seen[END] += batch.num_rows
             if len(seen) > _HELD:
                 yield flush()
@@ -101,27 +107,42 @@ def bigrams(documents: DataFrame, classed: list[bytes], text: str = "text") -> n
     return out.reshape(size, size)
 
 
-def _symbols(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], first_shape: int, end: int) -> Iterator[np.ndarray]:
-    """The words of whole texts as numbers, ends between them: their own, or ``first_shape`` on by shape."""
-    for batch in slices(batches, "text"):
-        found = [end]
-        for t in batch.column("text").to_pylist():
-            for w in words_of(t):
-                k = number.get(w)
-                found.append(first_shape + shape(w) if k is None else k)
-            found.append(end)
-        yield np.array(found, np.int64)
+def cut(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words of all texts, number of words per text, shape of each word): as ``words_of`` and ``shape`` have them, all at once."""
+    parts = [t or b"" for t in texts]
+    raw = _LOWER[np.frombuffer(b" ".join(parts) + b" ", np.uint8)]
+    inside = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    spelt = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw[inside])])
+    counts = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts])))
+    return spelt, counts, 2 * (sizes[:, None] > np.array(_LENGTHS)).sum(axis=1) + _SIGN[raw[ends - 1]]
+
+
+def numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known ones, -1 if it is none."""
+    return pa.compute.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def with_ends(symbols: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+    """The symbols of all texts with the end before, between and behind them."""
+    out = np.full(len(symbols) + len(counts) + 1, end, np.int64)
+    out[np.arange(len(symbols)) + np.repeat(np.arange(len(counts)), counts) + 1] = symbols
+    return out
 
 
 def _pairs(documents: DataFrame, text: str, words: list[bytes], symbols: int, codes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(code, n): how often each code arises from the symbols of the texts; words are symbols 0 on, then shapes, then the end."""
-    shared, name = documents.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+    shared = documents.sparkSession.sparkContext.broadcast(pa.array(words, pa.large_binary()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held(f"words {name}", lambda: {w: i for i, w in enumerate(shared.value)})
-        kept: list[np.ndarray] = []
-        for s in _symbols(batches, number, len(number), symbols - 1):
-            kept.append(codes(s))
+        known, kept = shared.value, []
+        for batch in slices(batches, "text"):
+            found, counts, kinds = cut(batch.column("text").to_pylist())
+            number = numbered(found, known)
+            kept.append(codes(with_ends(np.where(number < 0, len(known) + kinds, number), counts, symbols - 1)))
             if sum(map(len, kept)) > 4_000_000:
                 yield flush(kept)
                 kept = []
@@ -297,42 +318,37 @@ def fit(documents: DataFrame, words: DataFrame, text: str = "text") -> Model:
 
 def _scored_in_task(documents: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """What a task knows of each text: counts, sums over shipped words, and its other words with how often each occurs."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = pa.array(list(model.known), pa.large_binary())
+    sent = np.array(list(model.known.values()), np.float64).reshape(-1, 3)
+    shared = documents.sparkSession.sparkContext.broadcast((names, sent, model.steps, model.tail, model.first_shape, model.end_count))
     kind = documents.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        get, end = m.known.get, len(m.steps) - 1
-        row, at_end = TaskContext.get().partitionId() << 33, float(np.log10(m.end_count + 1))
+        known, facts, steps, tail, first_shape, end_count = shared.value
+        facts = np.vstack([facts, np.zeros((1, 3))])  # the last row is for words that were not sent
+        row, at_end, end = TaskContext.get().partitionId() << 33, float(np.log10(end_count + 1)), len(steps) - 1
         for batch in slices(batches, "text"):
-            columns: list[list] = [[] for _ in range(6)]
-            for t in batch.column("text").to_pylist():
-                words = words_of(t)
-                classes, rest = [end], []
-                chance, plain, seen = 0.0, at_end, int(m.end_count > 0)
-                for w in words:
-                    k = get(w)
-                    if k is None:
-                        rest.append(w)
-                        s = shape(w)
-                        classes.append(m.first_shape + s)
-                        chance -= m.tail[s]
-                    else:
-                        classes.append(k[0])
-                        chance += k[1]
-                        plain += k[2]
-                        seen += 1
-                classes.append(end)
-                c = np.array(classes)
-                chance += float(m.steps[c[:-1], c[1:]].sum())
-                others = Counter(rest)
-                for column, value in zip(columns, (len(words) + 1, seen, plain, float(chance), list(others), list(others.values()))):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            words, counts, kinds = cut(batch.column("text").to_pylist())
+            number, texts = numbered(words, known), batch.num_rows
+            text_of, other = np.repeat(np.arange(texts), counts), number < 0
+            classes = np.where(other, first_shape + kinds, facts[number, 0].astype(np.int64))
+            path = with_ends(classes, counts, end)
+            ends = np.cumsum(counts + 1)  # where each text's end stands; a step belongs to the text that it leads into
+            into = np.searchsorted(ends, np.arange(1, len(path)), side="left")
+            total = lambda of, values: np.bincount(of, values, texts)
+            chance = total(into, steps[path[:-1], path[1:]]) + total(text_of, np.where(other, -tail[kinds], facts[number, 1]))
+            plain = at_end + total(text_of, facts[number, 2])
+            seen = int(end_count > 0) + total(text_of, ~other).astype(np.int64)
+            rest = words.take(pa.array(np.flatnonzero(other))).dictionary_encode()
+            size = max(len(rest.dictionary), 1)
+            cells, times = np.unique(text_of[other] * size + rest.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            doc, word = np.divmod(cells, size)
+            lists = pa.array(np.searchsorted(doc, np.arange(texts + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(np.arange(row, row + batch.num_rows)), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                [batch.column("key"), pa.array(np.arange(row, row + texts)), pa.array(counts.astype(np.int64) + 1), pa.array(seen), pa.array(plain), pa.array(chance),
+                 pa.ListArray.from_arrays(lists, rest.dictionary.take(pa.array(word)).cast(pa.binary())), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64)))],
                 ["key", "row", "n_tokens", "seen", "plain", "chance", "words", "times"])
-            row += batch.num_rows
+            row += texts
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(score, f"key {kind}, row long, n_tokens long, seen long, plain double, chance double, words array<binary>, times array<bigint>")
