@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import slices
+from lexmesh.llm.common import held, slices
 
 #: Steps of a walk and how many of them a key samples, from the longest; an item uses the first it is long enough for.
 LEVELS = ((24, 6), (12, 4), (6, 3), (2, 2))
@@ -39,7 +39,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FILTER_BITS = 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_STRIDE = 1 << 12
+_STRIDE, _SPAN = 1 << 12, 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +56,13 @@ def _powers(places: np.ndarray) -> np.ndarray:
     return found if rows == 1 else found * high[places // _STRIDE]
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """The base to each power up to a span, and its inverse."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([one, np.full(_SPAN, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
+
+
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(a hash for each word of all texts, number of words per text). Words are runs of letters and digits, lower-cased."""
     parts = [(t or "").lower().encode() for t in texts]
@@ -65,13 +72,16 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
     found = np.empty(len(starts), np.uint64)
     at = 0
-    while at < len(starts):  # stretches of about a million bytes, a longer word whole
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20))))
-        span = slice(starts[at], ends[stop - 1])
-        sizes = ends[at:stop] - starts[at:stop]
-        first = np.cumsum(sizes) - sizes
-        places = np.arange(sizes.sum()) - np.repeat(first, sizes)
-        found[at:stop] = np.add.reduceat((raw[span][inside[span]] + np.uint64(1)) * _powers(places), first)
+    while at < len(starts):  # stretches of up to a million bytes, a longer word whole
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, side="right")))
+        some = raw[starts[at]:ends[stop - 1]]
+        if len(some) <= _SPAN:
+            up, down = held("powers", _tables)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((some + np.uint64(1)) * up[:len(some)], dtype=np.uint64)])
+            begin = starts[at:stop] - starts[at]
+            found[at:stop] = (sums[ends[at:stop] - starts[at]] - sums[begin]) * down[begin]
+        else:
+            found[at] = ((some + np.uint64(1)) * _powers(np.arange(len(some)))).sum()
         at = stop
     found = _mix(found)
     firsts = np.cumsum([0] + [len(p) + 1 for p in parts])
@@ -150,7 +160,7 @@ class Items:
     ids: list
     words: list[np.ndarray]
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    filters: dict[tuple[int, int], np.ndarray]
+    filters: dict[tuple[int, int], tuple[np.uint64, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple], similarity: float = 0.8, target: float = TARGET) -> Items:
@@ -178,9 +188,10 @@ class Items:
             key, item, offset = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(key, kind="stable")
             tables[place] = key[order], item[order], offset[order]
-            there = np.zeros(1 << _FILTER_BITS, bool)
-            there[key >> np.uint64(64 - _FILTER_BITS)] = True
-            filters[place] = np.packbits(there, bitorder="little")
+            shift = np.uint64(64 - min(_FILTER_BITS, max(14, len(key).bit_length() + 8)))  # about one in 250 is set
+            there = np.zeros(1 << int(64 - shift), bool)
+            there[key >> shift] = True
+            filters[place] = shift, there
         return cls([i for i, _ in kept], [w for _, w in kept], tables, filters)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
@@ -193,8 +204,8 @@ class Items:
             keys, _ = _keys(words, walk, levels)
             for level in levels:
                 table, item, offset = self.tables[walk, level]
-                mark = keys[level] >> np.uint64(64 - _FILTER_BITS)
-                some = np.flatnonzero(self.filters[walk, level][mark >> np.uint64(3)] >> (mark & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+                shift, there = self.filters[walk, level]
+                some = np.flatnonzero(there[keys[level] >> shift])
                 first = np.searchsorted(table, keys[level][some], side="left")
                 count = np.searchsorted(table, keys[level][some], side="right") - first
                 at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

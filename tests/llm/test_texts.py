@@ -237,3 +237,14 @@ def test_copies_with_all_edits_are_found_at_every_length():
             texts.append(" ".join(["before"] * 9 + words + ["after"] * 9))
         found = {(t, n) for t, n, *_ in decontaminate.matches(decontaminate.Items.of(items), texts, 0.8)}
         assert found == {(i, i) for i, _ in found} and len(found) >= 0.98 * len(items), (size, len(found))
+
+
+def test_word_hashes_do_not_depend_on_what_is_around(monkeypatch):
+    text = "Ab cd " + "x" * 5000 + " cd, ab é1 " + "y" * 90
+    whole, counts = decontaminate.symbols([text, None, "", "ab"])
+    assert counts.tolist() == [7, 0, 0, 1] and whole[0] == whole[4] == whole[7] and whole[1] == whole[3] and len(set(whole.tolist())) == 5
+    monkeypatch.setattr(decontaminate, "_SPAN", 64)  # most words alone, one longer than a stretch
+    decontaminate.held("other", dict)
+    again, _ = decontaminate.symbols([text, None, "", "ab"])
+    assert (again == whole).all()
+    decontaminate.held("other", dict)
