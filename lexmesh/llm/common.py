@@ -55,3 +55,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             held += int(n) + 64
         if at < batch.num_rows:
             yield batch.slice(at)
+    pa.default_memory_pool().release_unused()  # the worker is used again by tasks of other stages

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.llm import gru
-from lexmesh.llm.common import slices
+from lexmesh.llm.common import held, slices
 
 UNDETERMINED = "und"
 
@@ -75,6 +75,7 @@ def identify(documents: DataFrame, model: Model, key: str = "doc_id", text: str
     repeated rows pass through, extra columns are ignored, an empty table gives an empty one.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language", dict)  # what other operators kept here goes
         for batch in slices(batches, "text", 1 << 20):
             names, scores = predict(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(scores)], ["key", "lang_pred", "score"])
@@ -91,6 +92,7 @@ def keep(documents: DataFrame, model: Model, wanted: Column | None = None, text:
     rows, null keys and extra columns stay as they are. Undetermined texts go.
     """
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language", dict)
         for batch in slices(batches, text, 1 << 20):
             _, scores = predict(model, batch.column(text).to_pylist())
             yield batch.filter(pa.array(scores >= least))
