@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions import lexicon as L
 from lexmesh.functions.dates import recency
+from lexmesh.session import unsent, written
 
 
 def edge_factor(kind: Column) -> Column:
@@ -89,14 +90,14 @@ def inject(pool: DataFrame, curated: DataFrame, known: DataFrame, k: int, focuse
     substantive = F.length(F.trim(F.coalesce("definicion", F.lit("")))) > 0
     as_document = substantive & (F.col("by_alias") | F.lit(focused))
     exists = known.select("id_norma", "numero").distinct().withColumn("existe", F.lit(True))
-    wanted = curated.join(exists, ["id_norma", "numero"], "left").withColumn(
+    wanted = curated.join(unsent(exists), ["id_norma", "numero"], "left").withColumn(
         "forma", F.when(substantive & F.col("by_alias"), "alias").when(as_document, "definicion").otherwise("articulo"))
-    front = wanted.where((F.col("forma") != "articulo") | F.col("existe")).select("query_id", "id_norma", "numero", "forma")
+    front = written(wanted.where((F.col("forma") != "articulo") | F.col("existe")).select("query_id", "id_norma", "numero", "forma"))
     held = pool.select("query_id", "id_norma", "numero", F.col("score").alias("held_score"))
-    front_scored = front.join(held, ["query_id", "id_norma", "numero"], "left").withColumn(
+    front_scored = front.join(unsent(held), ["query_id", "id_norma", "numero"], "left").withColumn(
         "score", F.when((F.col("forma") == "articulo") & F.col("held_score").isNotNull(), F.col("held_score"))
         .otherwise(L.INJECTED_SCORE)).withColumn("rank", F.lit(0)).drop("held_score")
-    rest = pool.join(front, ["query_id", "id_norma", "numero"], "left_anti").withColumn("forma", F.lit("recuperado"))
+    rest = pool.join(unsent(front), ["query_id", "id_norma", "numero"], "left_anti").withColumn("forma", F.lit("recuperado"))
     merged = rest.select("query_id", "id_norma", "numero", "score", "rank", "forma").unionByName(
         front_scored.select("query_id", "id_norma", "numero", "score", "rank", "forma"))
     order = Window.partitionBy("query_id").orderBy("rank", "id_norma", "numero")
@@ -109,6 +110,6 @@ def bodies(injected: DataFrame, curated: DataFrame, articles: DataFrame) -> Data
     curated (query_id, term, nombre, definicion) has one row a question, articles (id_norma, numero, texto).
     """
     about = curated.select("query_id", "term", "nombre", F.trim("definicion").alias("definicion"))
-    both = injected.join(about, "query_id", "left").join(articles.select("id_norma", "numero", "texto"), ["id_norma", "numero"], "left")
+    both = injected.join(unsent(about), "query_id", "left").join(unsent(articles.select("id_norma", "numero", "texto")), ["id_norma", "numero"], "left")
     link = F.concat(F.lit("«"), "term", F.lit("» se refiere a «"), "nombre", F.lit("». "), "definicion")
     return both.withColumn("cuerpo", F.when(F.col("forma") == "alias", link).when(F.col("forma") == "definicion", F.col("definicion")).otherwise(F.col("texto"))).drop("term", "nombre", "definicion", "texto")

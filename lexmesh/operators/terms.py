@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.text import WORD, normalize_for_match
 from lexmesh.operators.spans import occurrences
+from lexmesh.session import unsent, written
 
 #: Bytes of terms that are sent to tasks; more are joined.
 SENT_BYTES = 16 << 20
@@ -56,7 +57,7 @@ def _by_grams(form: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
     grams = F.flatten(F.transform("lengths", lambda n: F.when(
         F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: gram(i, n))).otherwise(none)))
     spread = led.select(*keep, F.explode_outer(grams).alias("g")).where(F.col("g").isNotNull()).select(*keep, "g.*")
-    hits = spread.join(table, "gram").where(F.contains("surface", F.col("form"))).drop("surface", "gram", "n")
+    hits = unsent(spread).join(unsent(table), "gram").where(F.contains("surface", F.col("form"))).drop("surface", "gram", "n")
     return hits.dropDuplicates([*keep, *(c for c in table.columns if c not in ("gram", "n") and not c.startswith("_"))])
 
 
@@ -84,11 +85,12 @@ def subject_concept(matches: DataFrame) -> DataFrame:
 
     ``matches`` holds (query_id, concepto_id, nombre, term, form, by_alias). The
     longest term is the subject; a further term that is not a part of it makes
-    the question relational, and it gets no subject.
+    the question relational, and it gets no subject. Matches are found once and written.
     """
+    matches = written(matches)
     longest = matches.groupBy("query_id").agg(F.max_by(
         F.struct("concepto_id", "nombre", "term", "form", "by_alias"),
         F.struct(F.length("term"), -F.col("concepto_id"))).alias("s"))
-    others = matches.select("query_id", F.col("form").alias("other")).join(longest, "query_id")
+    others = matches.select("query_id", F.col("form").alias("other")).join(unsent(longest), "query_id")
     single = others.groupBy("query_id").agg(F.bool_and(F.contains(F.col("s.form"), F.col("other"))).alias("single"))
-    return longest.join(single.where("single"), "query_id").select("query_id", "s.*")
+    return longest.join(unsent(single.where("single")), "query_id").select("query_id", "s.*")

@@ -10,6 +10,7 @@ from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import CLASSES_SQL, _FOLD, _LIST, normalize_sql
 from lexmesh.plans.views import (CANDIDATES_SQL, CONCEPTS_SQL, EDGES_SQL, QUESTIONS_SQL, candidates, concepts, edges,
                                  norms, norms_sql, part_questions)
+from lexmesh.session import unsent, written
 from lexmesh.sources.tables import table
 
 
@@ -72,8 +73,8 @@ _DEFINED_SQL = (f"defined as (select e.concepto_id, g.nombre, g.nf, g.af, n.fech
 def index(spark, d):
     named = terms.name_and_alias_terms(glossary(spark, d)).withColumn("form", T.normalize_for_match(F.col("term")))
     e = edges(spark, d).where(F.col("kind") == "define_termino").select("concepto_id", "id_norma", "numero")
-    dated = e.join(norms(spark, d, "id_norma", "fecha"), "id_norma")
-    return boosting.concept_index(dated.join(named, "concepto_id"))
+    dated = e.join(unsent(norms(spark, d, "id_norma", "fecha")), "id_norma")
+    return boosting.concept_index(dated.join(unsent(named), "concepto_id"))
 
 
 @query("concept_index", f"with {ASKED_SQL}, {_DEFINED_SQL} select form, concepto_id, id_norma, numero from idx")
@@ -186,7 +187,7 @@ def _(spark, d):
     subject = terms.subject_concept(asked(spark, d))
     idx = index(spark, d).select(F.col("form").alias("nf"), "id_norma", "numero")
     g = concepts(spark, d).select("concepto_id", "definicion", T.normalize_for_match(F.col("nombre")).alias("nf"))
-    curated = subject.select("query_id", "concepto_id", "by_alias").join(g, "concepto_id").join(idx, "nf")
+    curated = written(subject.select("query_id", "concepto_id", "by_alias").join(unsent(g), "concepto_id").join(unsent(idx), "nf"))
     known = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id_norma"), F.col("l_linenumber").cast("string").alias("numero"))
     out = boosting.inject(pool, curated.select("query_id", "id_norma", "numero", "definicion", "by_alias"), known, 5)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
@@ -325,7 +326,7 @@ def _(spark, d):
     pool = fusion.top_k(priced, 5, "llave").drop("llave")
     idx = index(spark, d).select(F.col("form").alias("nf"), "id_norma", "numero")
     g = concepts(spark, d).select("concepto_id", "definicion", T.normalize_for_match(F.col("nombre")).alias("nf"))
-    curated = terms.subject_concept(asked(spark, d)).select("query_id", "concepto_id", "by_alias", "term", "nombre").join(g, "concepto_id").join(idx, "nf")
+    curated = written(terms.subject_concept(asked(spark, d)).select("query_id", "concepto_id", "by_alias", "term", "nombre").join(unsent(g), "concepto_id").join(unsent(idx), "nf"))
     articles = lines.select(*key).distinct().withColumn("texto", F.concat(F.lit("Artículo "), "numero", F.lit(" de la norma "), "id_norma"))
     out = boosting.inject(pool, curated.select("query_id", "id_norma", "numero", "definicion", "by_alias"), articles, 5)
     return boosting.bodies(out, curated, articles).select("query_id", "id_norma", "numero", "forma", F.col("rank").cast("bigint").alias("rank"), "cuerpo")

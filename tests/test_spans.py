@@ -47,3 +47,12 @@ def test_terms_in_a_very_long_text(spark):
     table = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(0, 20_000, 1000)], "concept int, term string")
     for sent in (1 << 20, 0):
         assert terms.find_terms(texts, table, ["id"], sent=sent).count() == 20
+
+
+def test_many_terms_are_not_sent_whole(spark, tmp_path):
+    """A few compressed bytes may hold terms for which the driver has no room."""
+    spark.range(20_000).selectExpr("id as concept", "concat('cod ', id) as term").write.parquet(str(tmp_path / "terms"))
+    table = spark.read.parquet(str(tmp_path / "terms"))
+    hits = terms.find_terms(table.selectExpr("concept as id", "term as text"), table, ["id"], sent=0)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 20_000 and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
