@@ -14,6 +14,7 @@ from lexmesh.functions.text import fold_accents, squeeze
 from lexmesh.operators import mentions, sections
 from lexmesh.operators.extraction import definition_items
 from lexmesh.operators.spans import occurrences
+from lexmesh.session import unsent, written
 from lexmesh.sources.keyed import KeyedTable
 
 CONCEPT = "concepto:"
@@ -33,14 +34,15 @@ def edges(texts: DataFrame, targets: DataFrame, catalog: DataFrame, aliases: Dat
     items = definition_items(sections.articles(texts, ["id_norma"]), ["id_norma"])
     edge = lambda df, destino, relacion, fuente: df.select(
         F.col("id_norma").alias("origen"), destino.alias("destino"), F.lit(relacion).alias("relacion"), F.lit(fuente).alias("fuente")).distinct()
-    defines = edge(items, F.concat(F.lit(CONCEPT), "llave"), "define", "texto")
-    cited = mentions.citations(texts, ["id_norma"], targets).join(catalog, "canonico")
-    refers = edge(cited.where(F.col("destino") != F.col("id_norma")), F.col("destino"), "referencia", "texto")
+    # Layers that later ones are compared with are written: reading them out of the texts is what costs.
+    defines = written(edge(items, F.concat(F.lit(CONCEPT), "llave"), "define", "texto"))
+    cited = mentions.citations(texts, ["id_norma"], targets).join(unsent(catalog), "canonico")
+    refers = written(edge(cited.where(F.col("destino") != F.col("id_norma")), F.col("destino"), "referencia", "texto"))
     named = occurrences(texts, aliases.select(F.lower("term").alias("form")), ["id_norma"], "texto", borders=None, margin=0).join(
-        aliases.select(F.lower("term").alias("form"), "entry"), "form")
-    other = edge(named.where(F.col("entry") != F.col("id_norma")), F.col("entry"), "alias", "texto").join(refers, ["origen", "destino"], "left_anti")
+        unsent(aliases.select(F.lower("term").alias("form"), "entry")), "form")
+    other = edge(named.where(F.col("entry") != F.col("id_norma")), F.col("entry"), "alias", "texto").join(unsent(refers), ["origen", "destino"], "left_anti")
     here = manual.join(texts.select("id_norma"), "id_norma", "left_semi")
-    added = edge(here, concept_id(F.col("concepto")), "define", "manual").join(defines, ["origen", "destino"], "left_anti")
+    added = edge(here, concept_id(F.col("concepto")), "define", "manual").join(unsent(defines), ["origen", "destino"], "left_anti")
     return defines.unionByName(refers).unionByName(other).unionByName(added)
 
 

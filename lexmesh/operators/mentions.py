@@ -9,6 +9,7 @@ from lexmesh.functions import lexicon as L
 from lexmesh.functions.text import WORD, catalog_key
 from lexmesh.operators.extraction import ARTICLE_OF_NORM, NORM_ALONE
 from lexmesh.operators.spans import following, matched, occurrences
+from lexmesh.session import unsent, written
 
 CITATION_MARGIN, TERM_MARGIN = 50, 30
 # How far a name or an alias is trusted, verbs of reform, the norm they may name, and how far behind them it may stand.
@@ -26,13 +27,14 @@ def citations(texts: DataFrame, keep: list[str], targets: DataFrame, text: str =
     Articles of norms come first, one for each (norm, article, part). A norm named alone counts once,
     and not where it lies inside one of those. ``keep`` tells texts apart.
     """
-    found = matched(texts, {"article": _python(ARTICLE_OF_NORM), "norm": _python(NORM_ALONE)}, keep, text, CITATION_MARGIN)
+    # Matches are written, so that texts are walked once although several steps read what was found.
+    found = written(matched(texts, {"article": _python(ARTICLE_OF_NORM), "norm": _python(NORM_ALONE)}, keep, text, CITATION_MARGIN))
     part = lambda i: F.get("groups", F.lit(i))
     article = F.col("kind") == "article"
     cited = F.concat(F.trim(F.when(article, part(3)).otherwise(part(0))), F.lit(" "), F.translate(F.when(article, part(4)).otherwise(part(1)), ".", ""))
     rows = found.select(*keep, "kind", "start", "end", "context", catalog_key(cited).alias("llave"), F.when(article, part(1)).alias("articulo"),
                         F.when(article, F.coalesce(part(0), part(2))).alias("sub"))
-    known = rows.join(targets, "llave").drop("llave")
+    known = written(rows.join(unsent(targets), "llave").drop("llave"))
     first = Window.partitionBy(*keep, "kind", "canonico", "articulo", "sub").orderBy("start")
     whole = known.where(article).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     # A norm lies in at most one article's span; spans of one text that do not overlap are told apart by the last to begin before it.
@@ -78,7 +80,7 @@ def regained_edges(texts: DataFrame, keep: list[str], names: DataFrame, existing
 
 def reform_references(texts: DataFrame, keep: list[str], text: str = "texto") -> DataFrame:
     """(keep..., verbo, start, tipo, numero): verbs that change a norm, with the first numbered norm within reach behind each; null where there is none."""
-    found = matched(texts, {"verb": REFORM_VERB, "norm": NUMBERED_NORM}, keep, text, 0)
+    found = written(matched(texts, {"verb": REFORM_VERB, "norm": NUMBERED_NORM}, keep, text, 0))  # texts are walked once
     verbs = found.where("kind = 'verb'").select(*keep, "start", F.lower(F.get("groups", F.lit(0))).alias("verbo"))
     norms = found.where("kind = 'norm'").select(*keep, "start", "end", F.lower(F.get("groups", F.lit(0))).alias("tipo"), F.translate(F.get("groups", F.lit(1)), ".", "").alias("numero"))
     near = following(verbs, norms, keep, REFORM_REACH).select(*keep, "start", "verbo", F.col("next.tipo").alias("tipo"), F.col("next.numero").alias("numero"))

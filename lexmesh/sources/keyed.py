@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexmesh.session import written
+
 STAMP = "updated_at"
 _BUCKET = "bucket"
 
@@ -73,6 +75,7 @@ class KeyedTable:
     def _change(self, rows: DataFrame, number: int | None, removed: bool) -> list[int]:
         number = max(self.versions(), default=-1) + 1 if number is None else number
         places = self.places(before=number)
+        rows = written(rows)  # read up to three times below: buckets, keys and rows
         new = rows.withColumn(_BUCKET, self.bucket_of())
         touched = [r.bucket for r in new.select(_BUCKET).distinct().collect()]  # no more than there are buckets
         held = self._rows({b: v for b, v in places.items() if b in touched})
@@ -85,8 +88,8 @@ class KeyedTable:
         if not removed or held is not None:
             # A bucket of a large table is written by several tasks: rows are spread by bucket and key.
             stamped.repartition(_BUCKET, F.pmod(F.xxhash64(*self.key), F.lit(self.buckets * 16))).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.folder}/version={number}")
-        written = {int(p.getName().split("=")[1]) for p in self._glob(f"version={number}/{_BUCKET}=*")} if not removed or held is not None else set()
-        now = {b: v for b, v in places.items() if b not in touched} | {b: number for b in touched if b in written}
+        filled = {int(p.getName().split("=")[1]) for p in self._glob(f"version={number}/{_BUCKET}=*")} if not removed or held is not None else set()
+        now = {b: v for b, v in places.items() if b not in touched} | {b: number for b in touched if b in filled}
         self.spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list={number}")
         self._clear()
         return sorted(touched)

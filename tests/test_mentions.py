@@ -46,3 +46,36 @@ def test_matches_have_groups_and_context(spark):
     texts = frame(spark, "ab AB xx", None)
     got = [tuple(r) for r in spans.matched(texts, {"p": "(a)(z)?b"}, ["id"], "texto", 1).orderBy("start").collect()]
     assert got == [(0, "p", 0, 2, ["a", None], "ab "), (0, "p", 3, 5, ["A", None], " AB ")]
+
+
+def test_texts_are_walked_once_for_references(spark, tmp_path):
+    texts = spark.createDataFrame([("1", "Derógase la ley N° 5, según artículo 7 de la ley N° 5."), ("2", "nada"), ("3", None)], "id_norma string, texto string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    targets = spark.createDataFrame([("ley 5", "LEY_5")], "llave string, canonico string")
+    for read in (lambda t: mentions.reform_references(t, ["id_norma"]), lambda t: mentions.citations(t, ["id_norma"], targets)):
+        before = seen.value
+        assert read(texts.mapInArrow(counted, texts.schema)).count() >= 1
+        assert seen.value - before == 3
+
+
+def test_a_change_reads_its_rows_once(spark, tmp_path):
+    from lexmesh.sources.keyed import KeyedTable
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("id", "id * 2 as v").mapInArrow(counted, "id long, v long")
+    table = KeyedTable(spark, str(tmp_path / "kept"), ["id"], buckets=4)
+    table.upsert(rows)
+    table.upsert(rows)
+    assert seen.value == 100 and table.read().count() == 50
