@@ -102,3 +102,21 @@ def test_prompt_keeps_what_fits_whatever_the_ranks(spark):
     rows = [("q", 1, "1", "a", "x" * 20), ("q", 40, None, "b", "y" * 20), ("q", 41, "3", "c", "z" * 500)]
     docs = spark.createDataFrame(rows, "query_id string, rank int, numero string, id_norma string, texto string")
     assert [r["rank"] for r in evaluation.budget(docs, 200).orderBy("rank").collect()] == [1, 40]
+
+
+def test_rows_of_one_row_group_reach_all_cores(spark, tmp_path):
+    """Splits of a file get no rows unless a row group's middle lies in them."""
+    from lexmesh.sources.tables import spread
+
+    spark.range(200_000).selectExpr("id", "uuid() as v").coalesce(1).write.option("parquet.block.size", 1 << 30).parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = [r["count"] for r in spread(scan, 10_000).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(rows) == 200_000 and max(rows) <= 20_000
+    even = spark.range(0, 1000, 1, 16)
+    assert spread(even).rdd.getNumPartitions() == 16 and spread(even.where("id < 0")).count() == 0
