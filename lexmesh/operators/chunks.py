@@ -108,7 +108,9 @@ def glossary_chunks(sections: DataFrame, keep: list[str], number: str = "numero"
     """Header chunk plus one chunk per definition, only for sections with four definitions or more."""
     header = strip(F.concat(F.try_element_at(F.split("texto", GLOSSARY_OPENER, 2), F.lit(1)), F.regexp_extract("texto", GLOSSARY_OPENER, 0)))
     lead = F.concat(F.lit("[Artículo "), F.col(number), F.lit(" de "), F.col(norm), F.lit("]"))
-    kept = sections.withColumn("items", glossary_items(F.col("texto"))).where(F.size("items") >= MIN_DEFINITIONS)
+    # The generator keeps Catalyst from reading the items again for the test of their number and for each use of them.
+    read = sections.where(F.col("texto").rlike(GLOSSARY_OPENER)).withColumn("items", F.explode_outer(F.array(glossary_items(F.col("texto")))))
+    kept = read.where(F.size("items") >= MIN_DEFINITIONS)
     first = F.array(F.struct(header.alias("raw"), F.concat(lead, F.lit(" "), header).alias("contextual")))
     rest = F.transform("items", lambda x: F.struct(
         F.concat(x["term"], F.lit(": "), x["definition"]).alias("raw"),
