@@ -125,6 +125,16 @@ def to_edges(refs: DataFrame) -> DataFrame:
     ).withColumn("origen_norma", F.when(origin_article.isNull(), F.col("origen_norma")))
 
 
+def with_norms_of_articles(refs: DataFrame, articles: DataFrame) -> DataFrame:
+    """References (articulo_id, origen_norma, destino, ...) with the norm of the article they start from (articles: articulo_id, id_norma); null where they start from none.
+
+    References without an article get a key of their own that no article has: equal keys, nulls too, would bring all of them to one task.
+    """
+    spread = F.concat_ws("/", F.lit(""), "origen_norma", "destino")
+    keyed = refs.withColumn("_key", F.coalesce(F.col("articulo_id").cast("string"), spread))
+    return keyed.join(articles.select(F.col("articulo_id").cast("string").alias("_key"), "id_norma"), "_key", "left").drop("_key")
+
+
 def edge_violations(edges: DataFrame) -> DataFrame:
     """Rows that break an edge constraint, with the names of the broken ones."""
     kind_ok = F.col("kind").isin(L.EDGE_KINDS)

@@ -212,7 +212,7 @@ def _(spark, d):
         F.when(~modifies, F.col("src")).alias("origen_norma"), F.col("dst").alias("destino"), F.col("kind").alias("tipo"))
     arts = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").select(
         F.expr("l_orderkey * 10 + l_linenumber").alias("articulo_id"), F.col("l_orderkey").cast("string").alias("id_norma")).distinct()
-    return refs.join(arts, "articulo_id", "left").where(F.col("destino").isNotNull()).select(
+    return references.with_norms_of_articles(refs, arts).where(F.col("destino").isNotNull()).select(
         F.coalesce("id_norma", "origen_norma").alias("origen"), "destino", "tipo").distinct()
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexmesh.operators import definitions as D, extraction as X, graph, increments as I, quantiles, terms
+from lexmesh.operators import definitions as D, extraction as X, graph, increments as I, quantiles, references, terms
 
 
 def test_components_against_union_find(spark):
@@ -122,3 +122,18 @@ def test_status_dominance(spark):
 def test_strict_definitions(spark):
     df = spark.createDataFrame([("A.V.I.", "el A.V.I.: anualidad"), ("Panel", "se entenderá por Panel el órgano"), ("Panel", "el Panel resolvió"), ("Zona", "Por Zona se entenderá")], "t string, x string")
     assert [r["x"] for r in X.strict_definitions(df, F.col("t"), F.col("x")).collect()] == ["el A.V.I.: anualidad", "se entenderá por Panel el órgano", "Por Zona se entenderá"]
+
+
+def test_references_without_an_article_reach_many_tasks(spark):
+    refs = spark.createDataFrame([(None, f"n{i}", "x", "DEROGA") for i in range(400)] + [(11, None, "x", "MODIFICA"), (12, None, "y", "MODIFICA"), (None, None, None, "DEROGA")],
+                                 "articulo_id long, origen_norma string, destino string, tipo string")
+    arts = spark.createDataFrame([(11, "1"), (21, "2"), (None, "3")], "articulo_id long, id_norma string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = references.with_norms_of_articles(refs, arts).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 403 and [(r.articulo_id, r.id_norma) for r in got if r.id_norma] == [(11, "1")]
+    assert len({r.task for r in got if r.articulo_id is None}) == 8
