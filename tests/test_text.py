@@ -1,8 +1,13 @@
+import collections
 import datetime as dt
+import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from lexmesh.functions import citations as C, classify, dates, text as T
+from lexmesh.operators import extraction as X
 
 
 def column(spark, expr, *values):
@@ -70,3 +75,41 @@ def test_citations(spark):
 def test_year_filter(spark):
     df = spark.createDataFrame([("1999-01-01", None, "x"), (None, "2021", "x"), (None, None, "norma 2020"), ("1990", None, "nada")], "a string, b string, t string")
     assert [r[0] for r in df.select(dates.year_filter(F.col("a"), F.col("b"), F.col("t"), 2020)).collect()] == [False, True, True, False]
+
+
+def _weighed(texts, features, min_df, max_df, top):
+    """The same by counting everything."""
+    tf = collections.Counter()
+    for i, t in texts:
+        words = re.findall(r"(?<!\w)[a-z]{4,}(?!\w)", (t or "").lower())
+        tf.update((i, " ".join(words[j:j + n])) for n in (1, 2, 3) for j in range(len(words) - n + 1))
+    df, total = collections.Counter(term for _, term in tf), collections.Counter()
+    for (_, term), n in tf.items():
+        total[term] += n
+    kept = sorted((t for t in df if min_df <= df[t] <= max_df * len(texts)), key=lambda t: (-total[t], t))[:features]
+    idf = {t: math.log((1 + len(texts)) / (1 + df[t])) + 1 for t in kept}
+    found = {}
+    for i in {i for i, _ in texts if i is not None}:
+        w = {t: n * idf[t] for (k, t), n in tf.items() if k == i and t in idf}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        best = sorted(((round(x / length, 6), t) for t, x in w.items()), key=lambda p: (-p[0], p[1]))[:top]
+        found |= {(i, t): (r, s) for r, (s, t) in enumerate(best, 1)}
+    return found
+
+
+def test_terms_equal_counting_everything(spark):
+    rng = random.Random(4)
+    words = [a + b for a in ("casa", "peso", "linea", "red") for b in ("", "mar", "sol", "uno")]
+    texts = [(i % 50 if i % 9 else None, " ".join(rng.choices(words, [1 / (k + 1) for k in range(16)], k=rng.randrange(30)))) for i in range(70)] + [(90, None), (91, ""), (92, "casa casa casa casa")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for features, min_df, max_df in ((5000, 2, 0.7), (60, 2, 0.7), (25, 3, 0.3), (6, 1, 0.05)):
+        got = {(r.doc_id, r.term): (r["rank"], r.score) for r in X.tfidf_terms(rows, features=features, min_df=min_df, max_df=max_df, top=8).collect()}
+        want = _weighed(texts, features, min_df, max_df, 8)
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_grams_of_rare_words_are_not_shuffled(spark):
+    counted = spark.createDataFrame([(1, "alta baja", 1), (1, "alta rara", 2), (1, "rara alta", 1), (2, "alta baja alta", 1)], "doc_id long, term string, tf long")
+    parts = spark.createDataFrame([("alta",), ("baja",), ("alta baja",)], "term string")
+    assert [tuple(r) for r in X._sound(counted, parts).collect()] == [(1, "alta baja", 1)]
+    assert X._sound(counted.where("doc_id = 2"), parts.unionByName(spark.createDataFrame([("baja alta",)], "term string"))).count() == 1
