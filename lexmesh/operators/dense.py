@@ -46,11 +46,15 @@ def _unit(rows: pd.Series) -> np.ndarray:
 
 
 def _best(ids, vectors: np.ndarray, query_ids, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """Rows of one batch that can still be among the best ``k`` of a question (ties kept)."""
+    """Rows of one batch that can still be among the best ``k`` of a question; of equal scores the least ids, nulls first."""
     scores = np.round(vectors @ queries.T, 6) + 0.0
     if len(scores) > k:
+        # Rows come in the order of their ids, so that of equal scores at the cut the first are taken.
+        order = np.argsort(np.where(pd.isna(ids), -np.inf, ids) if pd.isna(ids).any() else np.asarray(ids), kind="stable")
+        ids, scores = np.asarray(ids)[order], scores[order]
         floor = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-        row, col = np.nonzero(scores >= floor)
+        above, level = scores > floor, scores == floor
+        row, col = np.nonzero(above | level & (np.cumsum(level, axis=0, dtype=np.int32) <= k - above.sum(axis=0)))
     else:
         row, col = np.indices(scores.shape).reshape(2, -1)
     return pd.DataFrame({

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.operators.fusion import top_k
-from lexmesh.operators.postings import Index
+from lexmesh.operators.postings import TASK_PAIRS, Index
 from lexmesh.operators.spans import occurrences
-from lexmesh.session import written
+from lexmesh.session import dealt, written
 
 # Parameters of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -82,10 +82,12 @@ def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text
 
     ``questions`` holds (query_id, tokens), one row per question. Every text is walked once for all
     tokens; hits alone are joined to their questions, and occurrences that overlap an earlier one don't count.
+    Hits are dealt by document first, over tasks that follow the pairs there may be, so that scores add up where they are.
     """
     pairs = written(questions.select("query_id", F.explode("tokens").alias("token")))
     hits = occurrences(documents, pairs.select(F.col("token").alias("form")), ["doc_id"], text, borders=None, margin=0)
-    return hits.select("doc_id", F.col("form").alias("token"), F.col("n").alias("tf")).join(pairs, "token")
+    found = hits.select("doc_id", F.col("form").alias("token"), F.col("n").alias("tf"))
+    return dealt(found, "doc_id", documents.count() * pairs.select("query_id").distinct().count(), TASK_PAIRS).join(pairs, "token")
 
 
 def saturated_scores(hits: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
-from lexmesh.operators import boosting, dense, fusion, ivf, lexical, postings, rerank
+from lexmesh.operators import boosting, dense, extraction, fusion, ivf, lexical, postings, rerank
 
 
 def rows(df):
@@ -144,3 +146,48 @@ def test_injection(spark):
     assert listed[4][0] == ("K", "articulo")
     focused = boosting.inject(pool, curated, known, 3, focused=True).where("query_id = 2 and rank = 1").collect()[0]
     assert focused["forma"] == "definicion" and focused["score"] == 9999.0
+
+
+def test_workers_count_tokens_in_runs():
+    lists = [["a"] * 3, [], ["b"] * 9, ["c"] * 2, ["d"] * 2, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    cut = list(postings.runs(iter([batch, batch.slice(2), batch.slice(0, 0)]), "tokens", 4))
+    assert [r.column("doc_id").to_pylist() for r in cut] == [[0, 1], [2], [3, 4, 5], [2], [3, 4, 5]]
+    assert [r.column("tokens").to_pylist() for r in cut[:3]] == [lists[:2], lists[2:3], lists[3:]]
+
+
+def test_tasks_that_score_follow_questions_and_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "uno dos tres") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, ["uno", "dos"]) for q in range(20)], "query_id long, tokens array<string>")
+    before = rows(lexical.bm25_topk(docs, asked, 3))
+    monkeypatch.setattr(postings, "TASK_PAIRS", 100)
+    index = postings.Index.of(docs)
+    assert index.holding(lexical.question_terms(asked), "tf").rdd.getNumPartitions() == 12
+    assert rows(lexical.bm25_topk(index, asked, 3)) == before
+
+
+def test_equal_scores_are_cut_in_the_batch():
+    ids, vectors = np.random.default_rng(1).permutation(500), np.ones((500, 2)) / np.sqrt(2)
+    got = dense._best(pd.Series(ids), vectors, [1, 2], np.eye(2), 7)
+    assert sorted(zip(got.query_id, got.id)) == [(q, i) for q in (1, 2) for i in range(7)]
+    with_null = dense._best(pd.Series([5.0, 3.0, None, 4.0]), vectors[:4], [1], np.eye(2)[:1], 2)
+    assert sorted(map(str, with_null.id)) == ["3.0", "nan"]
+
+
+def test_title_scores_follow_questions_and_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 25, "ley de peaje" if i % 2 else "decreto de ley") for i in range(30)] + [(None, "ley")], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, ["ley", "de", "no"]) for q in range(10)], "query_id long, tokens array<string>")
+    before = rows(lexical.saturated_scores(lexical.substring_hits(docs, asked)).fillna(-1))
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 20)
+    scored = lexical.saturated_scores(lexical.substring_hits(docs, asked))
+    assert rows(scored.fillna(-1)) == before and len(before) == 260
+    assert scored.rdd.getNumPartitions() == 16
+
+
+def test_phrases_are_counted_in_tasks_of_so_many_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(i % 30 if i else None, "La Comisión Nacional y la Comisión Nacional.") for i in range(40)], "id long, texto string")
+    known = spark.createDataFrame([("nada",)], "nombre string")
+    monkeypatch.setattr(extraction, "TASK_TEXTS", 3)
+    got = extraction.frequent_phrases(texts, "id", known)
+    assert rows(got) == [("Comisión Nacional", 40, 31)]
+    assert "hashpartitioning(id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 14), REPARTITION_BY_NUM" in plan
