@@ -55,8 +55,7 @@ def pieces(text: Column, heading: str, flags: str = LINES) -> Column:
 
 def spans(text: Column, heading: str, flags: str = LINES) -> Column:
     """One piece per heading; an empty array without headings."""
-    parts = pieces(text, heading, flags)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.slice(pieces(text, heading, flags), 2, 1 << 30)  # to the end; its number of pieces would split the text once more
 
 
 def articles(norms: DataFrame, keep: list[str], text: str = "texto") -> DataFrame:
@@ -75,15 +74,15 @@ def articles(norms: DataFrame, keep: list[str], text: str = "texto") -> DataFram
 def short_articles(norms: DataFrame, keep: list[str], text: str = "texto", shortest: int = 50) -> DataFrame:
     """The older splitter: any ``Artículo N``, cleaned bodies of at least fifty characters,
     the last one cut at the next section header."""
-    body = F.col(text)
-    found = spans(body, SHORT_HEADING, CASELESS)
-    last = F.size(found) - 1
+    # The generators keep Catalyst from making the text once more for the test of its length, and from splitting it anew for every piece.
+    whole = norms.select(*keep, F.explode_outer(F.array(F.col(text))).alias("_whole")).where(F.length("_whole") >= shortest)
+    parts = whole.select(*keep, F.explode_outer(F.array(spans(F.col("_whole"), SHORT_HEADING, CASELESS))).alias("partes"))
     cut = lambda p: F.regexp_replace(p, rf"(?isu){SECTION_END}.*$", "")
-    listed = F.transform(found, lambda p, i: F.struct(
+    listed = F.transform("partes", lambda p, i: F.struct(
         F.trim(F.regexp_extract(p, r"(?iu)(\d+(?:\s*bis|\s*ter|\s*quáter)?)", 1)).alias("numero"),
-        clean_article_text(F.when(i == last, cut(p)).otherwise(p)).alias("texto")))
+        clean_article_text(F.when(i == F.size("partes") - 1, cut(p)).otherwise(p)).alias("texto")))
     long = F.filter(listed, lambda a: F.length(a["texto"]) >= shortest)
-    return norms.where(F.length(body) >= shortest).select(*keep, F.posexplode_outer(long).alias("orden", "a")).where(F.col("a").isNotNull()).select(
+    return parts.select(*keep, F.posexplode_outer(long).alias("orden", "a")).where(F.col("a").isNotNull()).select(
         *keep, "orden", "a.numero", "a.texto")
 
 

@@ -19,6 +19,24 @@ def test_short_articles_end_at_section(spark):
     assert set(got) == {"1", "3"} and not got["3"].endswith("sobra")
 
 
+def test_short_articles_split_a_text_once(spark):
+    """The number of pieces was asked for every piece, each time with the text made and split anew."""
+    df = spark.range(1).selectExpr("cast(id as string) as id_norma", "concat('Artículo ', id, ' ', repeat('a', 60), '\n\n\u0001b\tc\u00a0\u000b d\u007f') as texto")
+    found = sections.short_articles(df, ["id_norma"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(Art[íi]culo") == 1 and plan.count("Artículo ") == 1
+    assert sections.short_articles(spark.createDataFrame([("n", None), ("m", "Artículo 1")], "id_norma string, texto string"), ["id_norma"]).count() == 0
+
+
+def test_article_text_is_cleaned_as_by_the_pattern(spark):
+    from lexmesh.functions.text import clean_article_text
+
+    rng = random.Random(3)
+    said = ["".join(rng.choice("ab \t\n\x0b\f\r\u00a0\x00\x1f\x7f\u2003") for _ in range(rng.randint(0, 12))) for _ in range(500)] + [None]
+    got = [r.c for r in spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", clean_article_text("t").alias("c")).orderBy("i").collect()]
+    assert got == [None if t is None else re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub("[ \t\n\x0b\f\r\u00a0]+", " ", t)).strip(" ") for t in said]
+
+
 def test_structure(spark):
     text = ("TÍTULO I: GENERAL\nArtículo 1°.- Según la Ley 20.936 y el D.S. 62.\nDecreto 70, ENERGÍA\nArt. primero\nD.O. 05.06.2024\n"
             "TÍTULO II: FINAL\nArtículo 2°.- Nada.")
