@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions import lexicon as L
 from lexmesh.functions.text import WORD, catalog_key
-from lexmesh.operators.extraction import ARTICLE_OF_NORM, NORM_ALONE
+from lexmesh.operators.extraction import ARTICLE_LEADS, ARTICLE_OF_NORM, NORM_ALONE, NORM_LEADS
 from lexmesh.operators.spans import following, matched, occurrences
 from lexmesh.session import unsent, written
 
@@ -21,29 +21,28 @@ REFORM_REACH = 120
 _python = lambda pattern: pattern.replace(WORD, r"\w").replace(r"[\p{L}\p{N}_]+", r"\w+")
 
 
-def citations(texts: DataFrame, keep: list[str], targets: DataFrame, text: str = "texto") -> DataFrame:
+def citations(texts: DataFrame, keep: list[str], targets: DataFrame, text: str = "texto", margin: int = CITATION_MARGIN) -> DataFrame:
     """(keep..., canonico, articulo, sub, confianza, start, context): norms a text cites, resolved by ``targets`` (llave, canonico).
 
     Articles of norms come first, one for each (norm, article, part). A norm named alone counts once,
     and not where it lies inside one of those. ``keep`` tells texts apart.
     """
-    # Matches are written, so that texts are walked once although several steps read what was found.
-    found = written(matched(texts, {"article": _python(ARTICLE_OF_NORM), "norm": _python(NORM_ALONE)}, keep, text, CITATION_MARGIN))
+    found = matched(texts, {"article": _python(ARTICLE_OF_NORM), "norm": _python(NORM_ALONE)}, keep, text, margin, {"article": ARTICLE_LEADS, "norm": NORM_LEADS})
     part = lambda i: F.get("groups", F.lit(i))
     article = F.col("kind") == "article"
     cited = F.concat(F.trim(F.when(article, part(3)).otherwise(part(0))), F.lit(" "), F.translate(F.when(article, part(4)).otherwise(part(1)), ".", ""))
     rows = found.select(*keep, "kind", "start", "end", "context", catalog_key(cited).alias("llave"), F.when(article, part(1)).alias("articulo"),
                         F.when(article, F.coalesce(part(0), part(2))).alias("sub"))
-    known = written(rows.join(unsent(targets), "llave").drop("llave"))
-    first = Window.partitionBy(*keep, "kind", "canonico", "articulo", "sub").orderBy("start")
-    whole = known.where(article).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    # A norm lies in at most one article's span; spans of one text that do not overlap are told apart by the last to begin before it.
-    spans = whole.select(*keep, F.col("start").alias("_from"), F.col("end").alias("_to"))
-    alone = known.where(F.col("kind") == "norm")
-    outside = alone.join(spans, [alone[k].eqNullSafe(spans[k]) for k in keep] + [F.col("_from") <= F.col("start"), F.col("end") <= F.col("_to")], "left_anti")
-    once = outside.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    # What a text cites meets once; all that follows is decided there, without another shuffle.
+    known = rows.join(unsent(targets), "llave").drop("llave").repartition(*keep)
+    alike = Window.partitionBy(*keep, "kind", "canonico", "articulo", "sub").orderBy("start")
+    before = Window.partitionBy(*keep).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = known.withColumn("_n", F.row_number().over(alike)).where(~article | (F.col("_n") == 1))
+    # A norm lies inside an article's span if one of those that begin no later reaches as far.
+    outside = first.withColumn("_to", F.max(F.when(article, F.col("end"))).over(before)).where(article | F.col("_to").isNull() | (F.col("_to") < F.col("end")))
+    once = outside.withColumn("_n", F.row_number().over(alike)).where("_n = 1")
     trust = F.when(article, L.CONFIDENCE_ARTICLE_REF).otherwise(L.CONFIDENCE_NORM_REF)
-    return whole.unionByName(once).select(*keep, "canonico", "articulo", "sub", trust.alias("confianza"), "start", "context")
+    return once.select(*keep, "canonico", "articulo", "sub", trust.alias("confianza"), "start", "context")
 
 
 def _named(texts: DataFrame, keep: list[str], names: DataFrame, text: str, trust: float) -> DataFrame:

@@ -58,16 +58,25 @@ def spans(text: Column, heading: str, flags: str = LINES) -> Column:
     return F.slice(pieces(text, heading, flags), 2, 1 << 30)  # to the end; its number of pieces would split the text once more
 
 
-def articles(norms: DataFrame, keep: list[str], text: str = "texto") -> DataFrame:
-    """(keep..., orden, numero, texto): the first occurrence of a number wins, order counts from zero."""
-    found = F.transform(spans(F.coalesce(F.col(text), F.lit("")), HEADING), lambda p: F.struct(
+def articles(norms: DataFrame, keep: list[str], text: str = "texto", holding: str | None = None) -> DataFrame:
+    """(keep..., orden, numero, texto): the first occurrence of a number wins, order counts from zero.
+
+    Who reads only articles that hold a pattern names it in ``holding``: those behind the last one that holds it are then
+    not read at all, and texts without it have none.
+    """
+    parts = norms.select(*keep, F.explode_outer(F.array(spans(F.coalesce(F.col(text), F.lit("")), HEADING))).alias("partes"))
+    if holding is not None:
+        last = F.array_max(F.transform("partes", lambda p, i: F.when(p.rlike(holding), i + 1).otherwise(0)))
+        parts = parts.select(*keep, "partes", F.explode_outer(F.array(last)).alias("_last")).where(F.col("_last") > 0).select(
+            *keep, F.slice("partes", F.lit(1), F.col("_last")).alias("partes"))
+    found = F.transform("partes", lambda p: F.struct(
         article_number(
             F.regexp_extract(p, rf"(?iu)^{SPACE}*(?:art[íi]culos?|art\.){SPACE}+({NUMBER})(?:\s+transitorio)?\s*[.\-:]", 1),
             p.rlike(rf"(?iu)^{SPACE}*(?:art[íi]culos?|art\.){SPACE}+{NUMBER}\s+transitorio\s*[.\-:]"),
         ).alias("numero"),
         strip(p).alias("texto")))
     first = F.filter("partes", lambda a, i: F.array_position(F.transform("partes", lambda x: x["numero"]), a["numero"]) == i + 1)
-    return norms.withColumn("partes", found).select(*keep, F.posexplode_outer(first).alias("orden", "a")).where(F.col("a").isNotNull()).select(
+    return parts.select(*keep, found.alias("partes")).select(*keep, F.posexplode_outer(first).alias("orden", "a")).where(F.col("a").isNotNull()).select(
         *keep, "orden", "a.numero", "a.texto")
 
 

@@ -1,7 +1,8 @@
 """Where many terms occur in many texts: one walk over each text finds all of them.
 
 The terms become one automaton (each state is a prefix of a term and knows the longest shorter
-prefix to fall back to), so a text is read once however many terms there are. Terms
+prefix to fall back to), so a text is read once however many terms there are. An automaton takes much memory, so
+many terms are looked up by hashes of their first signs instead. Terms
 reach the tasks in parts of bounded size. Positions are those of the text itself, so
 context can be cut from it and spans can be compared with other spans.
 """
@@ -12,12 +13,17 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of terms in one part. An automaton takes some fifty times as much in a worker.
-PART_BYTES = 4 << 20
+#: Bytes of terms in one part.
+PART_BYTES = 32 << 20
+#: Bytes of terms that become an automaton, which takes some fifty times as much in a worker.
+AUTOMATON_BYTES = 4 << 20
+#: Signs that are hashed at once.
+CHUNK = 1 << 18
 #: A sign of one of these kinds beside a term makes it part of a longer word.
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, range(0xC0, 0x100)))
 _LATEST: list = [None, None]  # the automaton this worker used last, and the part it was made of
@@ -63,6 +69,91 @@ class Finder:
                     found[form] = [1, start]
         return found
 
+    def find_all(self, texts: list[str]) -> Iterator[dict[str, list[int]]]:
+        return map(self.find, texts)
+
+
+class Lookup:
+    """The same for so many terms that an automaton would take too much memory: some 200 bytes a term.
+
+    Terms are kept by the hash of their first signs, the largest power of two up to 16 of them. These hashes are made for all places of
+    many texts at once, each from two of half the length; where one is known, the lengths of terms that begin so are tried.
+    """
+
+    _FACTORS = {2: 0x9E3779B97F4A7C15, 4: 0xC2B2AE3D27D4EB4F, 8: 0x165667B19E3779F9, 16: 0xD6E8FEB86659FD93}
+
+    def __init__(self, forms: list[str], borders: str | None) -> None:
+        self._forms = frozenset(forms)
+        known = frozenset(LETTERS)
+        self._flanks = {None: None, "letters": known.__contains__, "words": _word_sign}[borders]
+        self._known: dict[int, tuple] = {}
+        groups: dict[int, list[str]] = {}
+        for form in forms:
+            groups.setdefault(1 << min(len(form).bit_length() - 1, 4), []).append(form)
+        for size, held in groups.items():
+            first = "".join(form[:size] for form in held)
+            hashes = next(h for q, h in self._hashes(first) if q == size)[::size]
+            pairs = np.unique(np.rec.fromarrays([hashes, np.fromiter(map(len, held), np.int64, len(held))]))
+            shift = np.uint64(64 - min(24, max(8, int(len(pairs) * 16).bit_length())))
+            marked = np.zeros(1 << (64 - int(shift)), bool)
+            marked[self._mixed(pairs.f0) >> shift] = True
+            self._known[size] = np.ascontiguousarray(pairs.f0), np.ascontiguousarray(pairs.f1), shift, marked
+
+    @staticmethod
+    def _mixed(hashes: np.ndarray) -> np.ndarray:
+        return hashes * np.uint64(0x9FB21C651E98DF25)
+
+    def _hashes(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, hash of that many signs from each place); of shorter places at the end there is none."""
+        here = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = 1
+        while True:
+            yield size, here
+            size *= 2
+            if size > 16 or len(here) <= size // 2:
+                return
+            here = here[:-(size // 2)] * np.uint64(self._FACTORS[size]) + here[size // 2:]
+
+    def find_all(self, texts: list[str]) -> Iterator[dict[str, list[int]]]:
+        """What ``Finder.find`` gives, for each of some lower-cased texts."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._find(held)
+                held, size = [], 0
+        if held:
+            yield from self._find(held)
+
+    def _find(self, texts: list[str]) -> Iterator[dict[str, list[int]]]:
+        whole, ends = "".join(texts), np.cumsum([len(t) for t in texts])
+        found: list[dict[str, list[int]]] = [{} for _ in texts]
+        last: list[dict[str, int]] = [{} for _ in texts]
+        for size, hashes in self._hashes(whole):
+            if size not in self._known:
+                continue
+            known, lengths, shift, marked = self._known[size]
+            at = np.flatnonzero(marked[self._mixed(hashes) >> shift])
+            low, high = np.searchsorted(known, hashes[at], "left"), np.searchsorted(known, hashes[at], "right")
+            sure = high > low
+            at, low, high = at[sure], low[sure], high[sure]
+            for place, which, a, b in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), low.tolist(), high.tolist()):
+                text = texts[which]
+                start = place - int(ends[which]) + len(text)
+                for length in lengths[a:b].tolist():
+                    form, end = text[start:start + length], start + length
+                    if end > len(text) or form not in self._forms or start < last[which].get(form, 0):
+                        continue
+                    if self._flanks and (start and self._flanks(text[start - 1]) or end < len(text) and self._flanks(text[end])):
+                        continue
+                    last[which][form] = end
+                    if form in found[which]:
+                        found[which][form][0] += 1
+                    else:
+                        found[which][form] = [1, start]
+        return iter(found)
+
 
 def parts(forms: DataFrame, most: int = PART_BYTES) -> Iterator[list[str]]:
     """Distinct non-empty lower-cased forms (column ``form``) in lists of about ``most`` bytes."""
@@ -78,12 +169,12 @@ def parts(forms: DataFrame, most: int = PART_BYTES) -> Iterator[list[str]]:
 
 
 def occurrences(texts: DataFrame, forms: DataFrame, keep: list[str], text: str = "text", borders: str | None = "letters", margin: int = 30,
-                most: int = PART_BYTES) -> DataFrame:
+                most: int = PART_BYTES, automaton: int = AUTOMATON_BYTES) -> DataFrame:
     """(keep..., form, n, start, context): one row for each text and form that occurs in it, case apart.
 
     ``start`` is the place of the first occurrence, from 0, and ``context`` that occurrence with
     ``margin`` signs on both sides. Null texts hold nothing; empty forms are nowhere.
-    Each part of the forms is one pass over the texts; nothing is shuffled.
+    Each part of the forms is one pass over the texts; nothing is shuffled. Parts beyond ``automaton`` bytes are looked up.
     """
     spark = texts.sparkSession
     rows = texts.select(*keep, F.col(text).cast("string").alias("_text"))
@@ -91,18 +182,19 @@ def occurrences(texts: DataFrame, forms: DataFrame, keep: list[str], text: str =
     schema = f"{kinds}, form string, n long, start long, context string"
     out = spark.createDataFrame([], schema)
     for part in parts(forms, most):
-        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+        shared, name, many = spark.sparkContext.broadcast(part), uuid.uuid4().hex, sum(len(form) + 16 for form in part) > automaton
 
-        def walk(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+        def walk(batches: Iterator[pa.RecordBatch], shared=shared, name=name, many=many) -> Iterator[pa.RecordBatch]:
             if _LATEST[0] != name:
-                _LATEST[:] = name, Finder(shared.value, borders)
+                _LATEST[:] = None, None  # the one before goes first
+                _LATEST[:] = name, (Lookup if many else Finder)(shared.value, borders)
             finder = _LATEST[1]
             for batch in batches:
                 index, found = [], []
-                said = batch.column(batch.num_columns - 1)
-                for i in range(batch.num_rows):
-                    whole = said[i].as_py()
-                    for form, (n, start) in (finder.find(lowered(whole)) if whole else {}).items():
+                said = [whole or "" for whole in batch.column(batch.num_columns - 1).to_pylist()]
+                for i, hits in enumerate(finder.find_all([lowered(whole) for whole in said])):
+                    whole = said[i]
+                    for form, (n, start) in hits.items():
                         index.append(i)
                         found.append((form, n, start, whole[max(0, start - margin):start + len(form) + margin]))
                 if found:
@@ -115,24 +207,45 @@ def occurrences(texts: DataFrame, forms: DataFrame, keep: list[str], text: str =
     return out
 
 
-def matched(texts: DataFrame, patterns: dict[str, str], keep: list[str], text: str = "text", margin: int = 50) -> DataFrame:
+# Signs that a pattern for either case takes for a Latin letter although their lower case is another sign or two.
+_ODD = "\u017f\u212a\u0130\u0131"
+
+
+def _places(pattern: re.Pattern, leads: tuple[str, ...], whole: str, low: str) -> Iterator[re.Match]:
+    """What ``finditer`` gives for a pattern whose matches all begin with one of some lower-case strings; only there it is tried."""
+    starts = set()
+    for lead in leads:
+        at = low.find(lead)
+        while at >= 0:
+            starts.add(at)
+            at = low.find(lead, at + 1)
+    end = 0
+    for start in sorted(starts):
+        if start >= end and (m := pattern.match(whole, start)):
+            yield m
+            end = m.end()
+
+
+def matched(texts: DataFrame, patterns: dict[str, str], keep: list[str], text: str = "text", margin: int = 50, leads: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(keep..., kind, start, end, groups array<string>, context): every match of every pattern, case apart, in whole texts.
 
     ``kind`` names the pattern; ``groups`` are its groups, null where one took no part; places count
-    from 0; ``context`` is the match with ``margin`` signs on both sides. Null texts hold nothing.
+    from 0; ``context`` is the match with ``margin`` signs on both sides. Null texts hold nothing. ``leads`` tells
+    what each match of a pattern begins with, in lower case, so that it need not be tried everywhere.
     """
     rows = texts.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(name, re.compile(p, re.IGNORECASE)) for name, p in patterns.items()]
+        compiled = [(name, re.compile(p, re.IGNORECASE), (leads or {}).get(name)) for name, p in patterns.items()]
         for batch in batches:
             index, found = [], []
-            said = batch.column(batch.num_columns - 1)
-            for i in range(batch.num_rows):
-                whole = said[i].as_py() or ""
-                for name, pattern in compiled:
-                    for m in pattern.finditer(whole):
+            for i, whole in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if not whole:
+                    whole = ""
+                low = None if any(sign in whole for sign in _ODD) else whole.lower()
+                for name, pattern, known in compiled:
+                    for m in pattern.finditer(whole) if known is None or low is None else _places(pattern, known, whole, low):
                         index.append(i)
                         found.append((name, m.start(), m.end(), list(m.groups()), whole[max(0, m.start() - margin):m.end() + margin]))
             if found:

@@ -33,6 +33,41 @@ def test_occurrences_equal_counting(spark):
     assert spans.occurrences(texts, forms.limit(0), ["id"]).count() == 0
 
 
+def test_a_lookup_finds_what_an_automaton_does():
+    """Beyond a few megabytes terms were walked in parts, one pass over all texts for each."""
+    rng = np.random.default_rng(5)
+    said = lambda n: "".join(rng.choice(list("aab ñ1,\U0001f600"), n))
+    forms = sorted({said(int(n)) for n in rng.integers(1, 40, 400)} | {"decreto 1, energía", "decreto 12, energía", "x" * 70})
+    texts = ["", "decreto 1, energía decreto 12, energía", "x" * 200, *(said(int(n)) for n in rng.integers(0, 300, 60)), "".join(forms)]
+    for borders in (None, "letters", "words"):
+        assert list(spans.Lookup(forms, borders).find_all(texts)) == [spans.Finder(forms, borders).find(t) for t in texts]
+
+
+def test_many_forms_are_one_pass(spark):
+    forms = spark.range(300_000).selectExpr("concat('decreto ', id, ', energía') as form")
+    texts = spark.createDataFrame([(0, "el Decreto 299999, ENERGÍA y el decreto 7, energía; Decreto 300000, ENERGÍA")], "id int, text string")
+    hits = spans.occurrences(texts, forms, ["id"], borders=None)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.form, r.n, r.start) for r in hits.collect()) == [("decreto 299999, energía", 1, 3), ("decreto 7, energía", 1, 32)]
+
+
+def test_matches_are_tried_only_where_they_can_begin():
+    from lexmesh.operators import mentions
+    from lexmesh.operators.extraction import ARTICLE_LEADS, ARTICLE_OF_NORM, NORM_ALONE, NORM_LEADS
+
+    rng = np.random.default_rng(6)
+    slots = (["letra b)", "inciso X", "Número 3", "numero 3", ""], ["de la", "del", ""], ["art.", "ARTÍCULO", "Artículos", "art°", "partes"], ["5", "5°", "12"], ["letra b)", "inciso X", ""], ["de la", "del", "de", "y"],
+             ["Ley", "ley", "D.S.", "DS", "D.F.L.", "dfl", "Decreto", "Decreto Supremo", "Res. Ex.", "Resolución Exenta"], ["N°", ""], ["20.936", "1,2", "12.3a", "x"])
+    for kind, leads in ((ARTICLE_OF_NORM, ARTICLE_LEADS), (NORM_ALONE, NORM_LEADS)):
+        pattern, hits = re.compile(mentions._python(kind), re.IGNORECASE), 0
+        for _ in range(1000):
+            text = "".join(str(rng.choice(slot)) + str(rng.choice(["", " ", " ", " ", "\n"])) for slot in slots * 3 if rng.random() < 0.95)
+            got, want = ([m.span() for m in x] for x in (spans._places(pattern, leads, text, text.lower()), pattern.finditer(text)))
+            assert got == want, text
+            hits += len(got)
+        assert hits > 300
+
+
 def test_terms_are_found_alike_by_walking_and_by_joining(spark):
     rng = np.random.default_rng(1)
     words = ["peaje", "cod-1", "V.I.", "Área", "tarifa", "a", "cod", "1", "potencia firme"]
