@@ -11,6 +11,7 @@ from lexmesh.operators import dense, fusion, ivf, lexical, rerank
 from lexmesh.plans.register import query
 from lexmesh.plans.text_plans import THEMES_SQL, keywords_sql, tokens_sql
 from lexmesh.plans.views import norms, norms_sql
+from lexmesh.session import written
 from lexmesh.sources.tables import table, texts
 
 
@@ -294,13 +295,15 @@ def routed_questions(spark, d):
     return norm_questions(spark, d).select("query_id", text.alias("pregunta"))
 
 
-def title_vectors(spark, d):
-    return titles(spark, d).select("doc_id", dense.letter_vector(F.col("titulo")).alias("vec"))
+def title_vectors(spark, d, both=None):
+    both = titles(spark, d) if both is None else both
+    return both.select("doc_id", dense.letter_vector(F.col("titulo")).alias("vec"))
 
 
-def _routed_keywords(spark, d):
-    asked = routed_questions(spark, d).select("query_id", T.keywords(F.col("pregunta")).alias("tokens"))
-    both = titles(spark, d)
+def _routed_keywords(spark, d, questions=None, both=None):
+    """``questions`` (query_id, pregunta) and titles ``both`` may come written, if others read them too."""
+    asked = (routed_questions(spark, d) if questions is None else questions).select("query_id", T.keywords(F.col("pregunta")).alias("tokens"))
+    both = titles(spark, d) if both is None else both
     part = lambda c, w: lexical.substring_hits(both.select("doc_id", F.col(c).alias("text")), asked).select("query_id", "doc_id", F.lit(w).alias("part"))
     total = part("titulo", 1.0).unionByName(part("temas", 0.5)).groupBy("query_id", "doc_id").agg(F.sum("part").alias("total"))
     return total.join(asked.select("query_id", F.size("tokens").alias("n")), "query_id").select(
@@ -332,9 +335,11 @@ _STRAT = " + ".join(f"(case when contains(pregunta, '{t}') then 1 else 0 end)" f
 def _(spark, d):
     """Q12, Q34"""
     from lexmesh.plans.retrieval import by_strategy
-    routed = routed_questions(spark, d).select(
-        "query_id", dense.letter_vector(F.col("pregunta")).alias("qvec"), classify.search_strategy(F.col("pregunta")).alias("route"))
-    out = by_strategy(routed, _routed_keywords(spark, d), title_vectors(spark, d), 10)
+    # Titles and themes are read out of the texts once; keywords of questions that go by vectors alone are not looked for.
+    both, asked = written(titles(spark, d)), written(routed_questions(spark, d))
+    routed = asked.select("query_id", dense.letter_vector(F.col("pregunta")).alias("qvec"), classify.search_strategy(F.col("pregunta")).alias("route"))
+    worded = asked.where(classify.search_strategy(F.col("pregunta")) != "embeddings")
+    out = by_strategy(routed, _routed_keywords(spark, d, worded, both), title_vectors(spark, d, both), 10)
     return out.select("query_id", "doc_id", "score", "route", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions import classify, lexicon as L
 from lexmesh.operators import boosting, dense, fusion, lexical
+from lexmesh.session import written
 
 
 # Reasons for a norm to be in a report, in their order, by the class of the norm that defines; then what refers to it.
@@ -135,8 +136,12 @@ def by_strategy(routed: DataFrame, keyword_scores: DataFrame, vectors: DataFrame
     pick = lambda name: routed.where(F.col("route") == name)
     words = fusion.top_k(keyword_scores.join(pick("keywords").select("query_id"), "query_id", "left_semi"), k, "doc_id")
     near = dense.dense_topk(vectors.withColumnRenamed("doc_id", "id"), pick("embeddings").withColumnRenamed("qvec", "vec"), k)
-    both = keyword_scores.join(pick("hybrid").select("query_id", "qvec"), "query_id").join(vectors, "doc_id").select(
-        "query_id", "doc_id", F.col("score").alias("kw"), F.round(dense.cosine(F.col("vec"), F.col("qvec")), 6).alias("emb"))
+    # Lengths are worked out once for each vector, not for each pair; pairs are written, since bounds and blend read them.
+    sized = lambda df, vec: df.withColumn(f"{vec}_length", F.sqrt(dense.dot(F.col(vec), F.col(vec))))
+    pairs = keyword_scores.join(sized(pick("hybrid").select("query_id", "qvec"), "qvec"), "query_id").join(sized(vectors, "vec"), "doc_id")
+    length = F.col("vec_length") * F.col("qvec_length")
+    cosine = F.when(length == 0, 0.0).otherwise(dense.dot(F.col("vec"), F.col("qvec")) / length)
+    both = written(pairs.select("query_id", "doc_id", F.col("score").alias("kw"), F.round(cosine, 6).alias("emb")))
     blended = fusion.top_k(fusion.linear_fusion(both, alpha).select("query_id", "doc_id", "score"), k, "doc_id")
     out = words.withColumn("route", F.lit("keywords")).unionByName(
         near.withColumnRenamed("id", "doc_id").withColumn("route", F.lit("embeddings")))

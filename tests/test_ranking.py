@@ -191,3 +191,16 @@ def test_phrases_are_counted_in_tasks_of_so_many_texts(spark, monkeypatch):
     got = extraction.frequent_phrases(texts, "id", known)
     assert rows(got) == [("Comisión Nacional", 40, 31)]
     assert "hashpartitioning(id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 14), REPARTITION_BY_NUM" in plan
+
+
+def test_a_blend_works_out_its_pairs_once(spark):
+    """Bounds and blend each worked out the vectors' cosines, with the lengths of both anew for every pair."""
+    from lexmesh.plans.retrieval import by_strategy
+
+    routed = spark.createDataFrame([(1, [1.0, 0.0], "hybrid"), (2, [0.0, 1.0], "keywords"), (3, [3.0, 4.0], "embeddings"), (4, [0.0, 0.0], "hybrid")], "query_id long, qvec array<double>, route string")
+    words = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5), (1, 3, 0.0), (2, 1, 0.2), (4, 1, 0.7)], "query_id long, doc_id long, score double")
+    vectors = spark.createDataFrame([(1, [0.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 0.0])], "doc_id long, vec array<double>")
+    found = by_strategy(routed, words, vectors, 2)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"], r.route) for r in found.collect()) == [
+        (1, 2, 0.57, 2, "hybrid"), (1, 3, 0.7, 1, "hybrid"), (2, 1, 0.2, 1, "keywords"), (3, 1, 0.8, 2, "embeddings"), (3, 2, 1.0, 1, "embeddings"), (4, 1, 0.0, 1, "hybrid")]
