@@ -39,7 +39,7 @@ def edges(texts: DataFrame, targets: DataFrame, catalog: DataFrame, aliases: Dat
     defines = edge(items, F.concat(F.lit(CONCEPT), "llave"), 0)
     cited = mentions.citations(texts, ["id_norma"], targets, margin=0).select("id_norma", "canonico").distinct().join(unsent(catalog), "canonico")
     refers = edge(cited.where(F.col("destino") != F.col("id_norma")), F.col("destino"), 1)
-    named = occurrences(texts, aliases.select(F.lower("term").alias("form")), ["id_norma"], "texto", borders=None, margin=0).join(
+    named = occurrences(texts, aliases.select(F.lower("term").alias("form")), ["id_norma"], "texto", borders=None, margin=None).join(
         unsent(aliases.select(F.lower("term").alias("form"), "entry")), "form")
     other = edge(named.where(F.col("entry") != F.col("id_norma")), F.col("entry"), 2)
     here = manual.join(texts.select("id_norma"), "id_norma", "left_semi")

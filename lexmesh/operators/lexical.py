@@ -85,7 +85,7 @@ def substring_hits(documents: DataFrame, questions: DataFrame, text: str = "text
     Hits are dealt by document first, over tasks that follow the pairs there may be, so that scores add up where they are.
     """
     pairs = written(questions.select("query_id", F.explode("tokens").alias("token")))
-    hits = occurrences(documents, pairs.select(F.col("token").alias("form")), ["doc_id"], text, borders=None, margin=0)
+    hits = occurrences(documents, pairs.select(F.col("token").alias("form")), ["doc_id"], text, borders=None, margin=None)
     found = hits.select("doc_id", F.col("form").alias("token"), F.col("n").alias("tf"))
     return dealt(found, "doc_id", documents.count() * pairs.select("query_id").distinct().count(), TASK_PAIRS).join(pairs, "token")
 

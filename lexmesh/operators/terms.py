@@ -1,6 +1,6 @@
 """Whole-term matching of many texts against many terms.
 
-Terms up to a bound go to the tasks as one automaton, and each text is walked once.
+Terms up to a bound go to the tasks to be looked up, and each text is read once.
 Beyond it texts and terms are joined: a term of ``n`` words can only occur where ``n``
 consecutive words of the text spell it, so texts are cut into word n-grams of the
 lengths that terms really have, joined to the terms on the spelling, and verified on
@@ -41,7 +41,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str], sent: int =
     form = texts.select(*keep, normalize_for_match(F.col("text")).alias("haystack"))
     if size > sent:
         return _by_grams(form, spelled(terms), keep)
-    hits = occurrences(form, table, keep, "haystack", "words")
+    hits = occurrences(form, table, keep, "haystack", "words", margin=None)
     return hits.select(*keep, "form").join(table, "form")
 
 

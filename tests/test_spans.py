@@ -33,14 +33,32 @@ def test_occurrences_equal_counting(spark):
     assert spans.occurrences(texts, forms.limit(0), ["id"]).count() == 0
 
 
-def test_a_lookup_finds_what_an_automaton_does():
-    """Beyond a few megabytes terms were walked in parts, one pass over all texts for each."""
+def walked(form, text, borders):
+    """(count, first) by Python's own search; of places that overlap only those that begin behind the last that counts."""
+    beside = {None: lambda c: False, "letters": lambda c: c in spans.LETTERS, "words": lambda c: c.isalnum() or c == "_"}[borders]
+    found, end, at = [], 0, text.find(form)
+    while at >= 0:
+        flanked = at and beside(text[at - 1]) or at + len(form) < len(text) and beside(text[at + len(form)])
+        if at >= end and not flanked:
+            found.append(at)
+            end = at + len(form)
+        at = text.find(form, at + 1)
+    return (len(found), found[0]) if found else None
+
+
+def test_a_lookup_finds_what_a_search_does(monkeypatch):
+    """Terms were walked in parts of 4 MB, one pass over all texts for each, and each hit was a step of Python's."""
     rng = np.random.default_rng(5)
     said = lambda n: "".join(rng.choice(list("aab ñ1,\U0001f600"), n))
-    forms = sorted({said(int(n)) for n in rng.integers(1, 40, 400)} | {"decreto 1, energía", "decreto 12, energía", "x" * 70})
-    texts = ["", "decreto 1, energía decreto 12, energía", "x" * 200, *(said(int(n)) for n in rng.integers(0, 300, 60)), "".join(forms)]
-    for borders in (None, "letters", "words"):
-        assert list(spans.Lookup(forms, borders).find_all(texts)) == [spans.Finder(forms, borders).find(t) for t in texts]
+    long = "y" * 20 + "1" + "y" * 20
+    forms = sorted({said(int(n)) for n in rng.integers(1, 40, 400)} | {"decreto 1, energía", "decreto 12, energía", "x" * 70, long, long.replace("1", "2")})
+    texts = ["", "decreto 1, energía decreto 12, energía", "x" * 200, long, *(said(int(n)) for n in rng.integers(0, 300, 60)), "".join(forms)]
+    for chunk in (spans.CHUNK, 64):
+        monkeypatch.setattr(spans, "CHUNK", chunk)
+        for borders in (None, "letters", "words"):
+            got = {(int(w), forms[t]): (int(n), int(s)) for block in spans.Lookup(forms, borders).find(texts) for w, t, n, s in zip(*block)}
+            want = {(i, f): x for i, t in enumerate(texts) for f in forms if (x := walked(f, t, borders))}
+            assert got == want and len(want) > 500
 
 
 def test_many_forms_are_one_pass(spark):

@@ -113,3 +113,24 @@ def test_grams_of_rare_words_are_not_shuffled(spark):
     parts = spark.createDataFrame([("alta",), ("baja",), ("alta baja",)], "term string")
     assert [tuple(r) for r in X._sound(counted, parts).collect()] == [(1, "alta baja", 1)]
     assert X._sound(counted.where("doc_id = 2"), parts.unionByName(spark.createDataFrame([("baja alta",)], "term string"))).count() == 1
+
+
+def test_grams_are_added_up_and_pruned_where_they_are_read(spark):
+    """Every gram of every text was sent to a join with the parts that are frequent enough."""
+    from collections import Counter
+
+    from lexmesh.operators.postings import gram_totals, grams
+
+    rng = random.Random(4)
+    lists = [[rng.choice("abcd") + rng.choice("xy") for _ in range(rng.randint(0, 9))] for _ in range(80)] + [None]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, w array<string>")
+    runs = lambda w, n: [" ".join(w[i:i + n]) for i in range(len(w or []) - n + 1)]
+    for size in (1, 2, 3):
+        parts = None if size == 1 else sorted({g for w in lists for g in runs(w, size - 1)})[::2]
+        sound = lambda g: parts is None or {" ".join(g.split(" ")[:-1]), " ".join(g.split(" ")[1:])} <= set(parts)
+        tf = Counter(g for w in lists for g in runs(w, size) if sound(g))
+        dfs = Counter(g for w in lists for g in set(runs(w, size)) if sound(g))
+        got = gram_totals(df, "w", size, parts).groupBy("term").agg({"df": "sum", "tf": "sum"}).collect()
+        assert {r.term: (r["sum(df)"], r["sum(tf)"]) for r in got} == {g: (dfs[g], tf[g]) for g in tf} and tf
+        only = sorted(tf)[::3]
+        assert sorted(tuple(r) for r in grams(df, ["id"], "w", size, only).collect()) == sorted((i, g, n) for i, w in enumerate(lists) for g, n in Counter(runs(w, size)).items() if g in only)
